@@ -1,11 +1,11 @@
-"""Queries p3, p5, p8, p9 and p10 and their SQL, where SQL can express them."""
+"""Queries p3, p5, p6, p8, p9 and p10 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import distinctive, mixing, packing, rank_fusion, sentences
+from rankloom.llm import distinctive, mixing, nearest, packing, rank_fusion, sentences
 from rankloom.sources.tables import table
 
 SCORES = ("bm25", "semantic", "pop_total")
@@ -50,6 +50,13 @@ def p5_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return weights.select(F.col("id").alias("article_id"), "term", F.round("weight", 8).alias("weight"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of articles with cosine 0.65 or more of which one is among the other's five nearest."""
+    near = nearest.nearest(table(spark, folder, "document_vector"), "article_id", "document_vector", 300, 5, 0.65)
+    pair = near.select(F.least("id", "neighbour").cast("int").alias("article_id_a"), F.greatest("id", "neighbour").cast("int").alias("article_id_b"))
+    return pair.distinct()
+
+
 def _packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), "doc_id", packing.byte_tokens(F.col("text")), SEQUENCE)
 
@@ -108,7 +115,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_principal, p3_ranks, p5_found, p5_divergence, p8_found, p8_sequences, p8_fill, p9_found, p9_mix, p9_report, p10_found)
+    for f in (p3_found, p3_principal, p3_ranks, p5_found, p5_divergence, p6_found, p8_found, p8_sequences, p8_fill, p9_found, p9_mix, p9_report, p10_found)
 }
 
 _RANKED = """WITH s AS (SELECT DISTINCT * FROM candidate_scores WHERE impression_id IS NOT NULL AND pos IS NOT NULL),
@@ -134,6 +141,11 @@ SELECT impression_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY impres
     "p5_divergence": f"""{_COUNTED}, q AS (SELECT tf.id, tf.term, df.cf / n.c AS p, (tf.tf + {distinctive.DIRICHLET_MU}::DOUBLE * (df.cf / n.c)) / (dl.dl + {distinctive.DIRICHLET_MU}::DOUBLE) AS q
   FROM tf JOIN df USING (term) JOIN dl ON dl.id = tf.id, n WHERE df.df >= 2 AND df.df < n)
 SELECT id AS article_id, term, round(q * ln(q / p), 8) AS weight FROM q""",
+    "p6_found": """WITH u AS (SELECT DISTINCT article_id AS id, CAST(document_vector AS DOUBLE[]) AS v FROM document_vector
+  WHERE len(document_vector) = 300 AND len(list_filter(document_vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(document_vector, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS cosine FROM u a JOIN u b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rn FROM c)
+SELECT DISTINCT least(a, b) AS article_id_a, greatest(a, b) AS article_id_b FROM r WHERE rn <= 5 AND cosine >= 0.65""",
     "p8_found": f"SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND strlen(text) > {SEQUENCE}",
     "p9_found": """WITH t AS (SELECT DISTINCT * FROM mix_targets WHERE source IS NOT NULL),
 d AS (SELECT lower(trim(source)) AS key, sum(strlen(text)) AS size FROM documents GROUP BY 1),
