@@ -80,8 +80,7 @@ def p7_features(spark: SparkSession, folder: str) -> DataFrame:
     """One wide feature row per reader."""
     log = in_log(table(spark, folder, "behaviors"))
     events, _ = feature_table.entity_events(log, feature_table.article_types(table(spark, folder, "articles")))
-    wide = feature_table.wide_rows(events, WIDE_TYPES, "2025-04-12 00:00:00")
-    return wide.select(*[F.round(c, 6).alias(c) if c.startswith("days_") else F.col(c) for c in wide.columns])
+    return feature_table.wide_rows(events, WIDE_TYPES, "2025-04-12 00:00:00")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_article_totals, p2_found, p2_rolling, p4_found, p4_attributes, p7_found, p7_features)}
@@ -131,7 +130,7 @@ SELECT article_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY artic
     "p7_features": f"{_EVENTS} SELECT user_id, "
     + ", ".join(
         f"CAST(coalesce(sum(n) FILTER (WHERE event_type = '{t}'), 0) AS BIGINT) AS \"n_{t.replace(':', '_')}\", "
-        f"round((epoch_us(TIMESTAMP '2025-04-12') - epoch_us(max(last_time) FILTER (WHERE event_type = '{t}'))) / 86400000000.0::DOUBLE, 6) AS \"days_since_{t.replace(':', '_')}\""
+        f"(epoch_us(TIMESTAMP '2025-04-12') - epoch_us(max(last_time) FILTER (WHERE event_type = '{t}'))) / 86400000000.0::DOUBLE AS \"days_since_{t.replace(':', '_')}\""
         for t in WIDE_TYPES
     )
     + ", CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY user_id",
