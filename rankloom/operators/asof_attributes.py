@@ -3,8 +3,8 @@
 Every attribute has a change history of its own: (entity, attribute, known_from, rank, value). A change counts from
 the later of the moment it holds from and the moment it was recorded, so at any time the changes that count are a
 growing set, and the best of them (latest valid_from, then latest recorded_time, then highest version) is a running
-maximum. Each attribute is matched on its own, so updates of one never produce versions of another; the matched
-values are then put side by side again.
+maximum. Each attribute is matched on its own, by a running maximum over its own changes only, so updates of one never
+produce versions of another; the matched values stand side by side in the event's row.
 """
 
 from __future__ import annotations
@@ -49,61 +49,50 @@ def as_known(
     Repeated event rows stay repeated. Columns of ``events`` keep their names, so names shared with ``versions``
     do not clash.
 
-    Events and changes are united, sorted by time within (entity, attribute) and carried forward; there is no
-    range join. Entities that hold a large share of the events are cut into hourly buckets, and every bucket starts
+    Events and changes are united, sorted by time within the entity and carried forward; there is no range join,
+    and events are not multiplied by the number of attributes. Entities that hold a large share of the events are cut into hourly buckets, and every bucket starts
     with the change that held when it began, so no task receives all events of one entity.
     """
     attributes = list(attributes)
     history = change_histories(versions, entity, attributes, valid, recorded, version)
     hot = heavy_keys(events, entity) if keys is None else keys
-    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(BUCKET_S * 1_000_000))
-    best = F.struct("rank", "value")
+    bucket = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(BUCKET_S * 1_000_000)).cast("long")
+    zero = F.lit(0).cast("long")
     state_type = T.StructType([T.StructField("rank", history.schema["rank"].dataType), T.StructField("value", T.StringType())])
 
-    changes = history.select("entity", "attribute", F.col("known_from").alias("t"), best.alias("state"))
-    own = changes.select("*", (bucket if hot else F.lit(0)).cast("long").alias("bucket"))
+    changes = history.select("entity", "attribute", F.col("known_from").alias("t"), F.struct("rank", "value").alias("state"))
+    own = changes.withColumn("bucket", zero)
     if hot:
-        light = own.where(~F.col("entity").isin(hot)).withColumn("bucket", F.lit(0).cast("long"))
-        running = Window.partitionBy("entity", "attribute").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        after = Window.partitionBy("entity", "attribute").orderBy("t")
+        heavy = changes.where(F.col("entity").isin(hot)).withColumn("bucket", bucket)
+        parts = [own.where(~F.col("entity").isin(hot)), heavy]
         span = events.where(F.col(entity).isin(hot)).agg(F.min(time).alias("t0"), F.max(time).alias("t1")).first()
-        heavy = own.where(F.col("entity").isin(hot))
         if span["t0"] is not None:
             b0, b1 = (int(span[x].replace(tzinfo=UTC).timestamp() // BUCKET_S) for x in ("t0", "t1"))
-            line = heavy.select("entity", "attribute", "t", "bucket", F.max("state").over(running).alias("state"), F.lead("bucket").over(after).alias("next"))
+            line = Window.partitionBy("entity", "attribute").orderBy("t")
+            upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            held = heavy.select("entity", "attribute", "bucket", F.max("state").over(upto).alias("state"), F.lead("bucket").over(line).alias("next"))
             first = F.greatest(F.col("bucket") + 1, F.lit(b0))
             last = F.least(F.coalesce("next", F.lit(b1)), F.lit(b1))
-            carried = line.where(first <= last).select("entity", "attribute", F.explode(F.sequence(first, last)).alias("bucket"), "state")
+            carried = held.where(first <= last).select("entity", "attribute", F.explode(F.sequence(first, last)).alias("bucket"), "state")
             start = (F.col("bucket") * BUCKET_S).cast("timestamp").cast(history.schema["known_from"].dataType)
-            carried = carried.select("entity", "attribute", start.alias("t"), "state", "bucket")
-            own = light.unionByName(heavy).unionByName(carried)
-        else:
-            own = light.unionByName(heavy)
+            parts.append(carried.select("entity", "attribute", start.alias("t"), "state", "bucket"))
+        own = parts[0]
+        for part in parts[1:]:
+            own = own.unionByName(part)
 
+    states = [f"s{i}" for i in range(len(attributes))]
+    apart = own.select("entity", "t", "bucket", F.lit(0).alias("kind"), *[F.when(F.col("attribute") == a, F.col("state")).alias(s) for s, a in zip(states, attributes)])
     row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
-    base = events.select(F.col(entity).alias("entity"), F.col(time).alias("t"), row.alias("row"))
-    if len(attributes) > 1:
-        base = base.withColumn("id", F.monotonically_increasing_id())
-    each = F.lit(attributes[0]) if len(attributes) == 1 else F.explode(F.array(*[F.lit(a) for a in attributes]))
-    asked = base.withColumn("attribute", each).withColumn("bucket", F.when(F.col("entity").isin(hot), bucket).otherwise(F.lit(0)).cast("long") if hot else F.lit(0).cast("long"))
-    asked = asked.withColumn("kind", F.lit(1))
-    both = own.select("*", F.lit(0).alias("kind")).unionByName(asked, allowMissingColumns=True)
-    upto = Window.partitionBy("entity", "attribute", "bucket").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    matched = both.withColumn("state", F.max("state").over(upto)).where("kind = 1")
+    asked = events.select(F.col(entity).alias("entity"), F.col(time).alias("t"), row.alias("row"), F.lit(1).alias("kind"))
+    asked = asked.withColumn("bucket", F.when(F.col("entity").isin(hot), bucket).otherwise(zero) if hot else zero)
+    both = apart.unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy("entity", "bucket").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = both.select("entity", "t", "kind", "row", *[F.max(s).over(upto).alias(s) for s in states]).where("kind = 1")
     known = F.col("entity").isNotNull() & F.col("t").isNotNull()
-    state = F.when(known, F.col("state")).cast(state_type)
-    if len(attributes) == 1:
-        out = matched.select("row.*", state.alias("__s"))
-        picked = {attributes[0]: F.col("__s")}
-    else:
-        wide = matched.groupBy("id").agg(
-            F.first("row").alias("row"), *[F.max(F.when(F.col("attribute") == a, state)).alias(f"__s{i}") for i, a in enumerate(attributes)]
-        )
-        out = wide.select("row.*", *[f"__s{i}" for i in range(len(attributes))])
-        picked = {a: F.col(f"__s{i}") for i, a in enumerate(attributes)}
+    picked = {a: F.when(known, F.col(s)).cast(state_type) for s, a in zip(states, attributes)}
     kinds = {a: versions.schema[a].dataType for a in attributes}
-    return out.select(
-        *[F.col(f"`{c}`") for c in events.columns],
+    return matched.select(
+        *[F.col(f"row.`{c}`").alias(c) for c in events.columns],
         *[s["value"].cast(kinds[a]).alias(f"known_{a}") for a, s in picked.items()],
         *[s.isNotNull().alias(f"has_{a}") for a, s in picked.items()],
     )

@@ -97,23 +97,28 @@ def asof_counts(events: DataFrame, asked: DataFrame, entity: str, time: str, win
         question = question.select("e", "t", "row", "bucket", *[F.coalesce(f"c{s}", zero).alias(f"c{s}") for s in sums])
     else:
         question = question.select("*", *[zero.alias(f"c{s}") for s in sums])
-    both = held.unionByName(question, allowMissingColumns=True)
-    out = {}
-    for i, prefix in enumerate(measures):
-        for name, seconds in windows.items():
-            if seconds is None:
-                frame = f"RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING"
-                inner = f"m{i} * own"
-            else:
-                d, rest = divmod(seconds, DAY_S)
-                h, rest = divmod(rest, 3600)
-                frame = f"RANGE BETWEEN INTERVAL '{d} {h:02d}:{rest // 60:02d}:{rest % 60:02d}' DAY TO SECOND PRECEDING AND INTERVAL '0 00:00:00.000001' DAY TO SECOND PRECEDING"
-                inner = f"m{i}"
-            count = F.coalesce(F.expr(f"sum({inner}) OVER (PARTITION BY e, bucket ORDER BY t {frame})"), zero)
-            out[f"{prefix}{name}"] = count + F.coalesce(f"cm{i}", zero) if seconds is None else count
+    # One row per asked moment: the time itself and the start of each window. Counts are differences of running sums,
+    # so a crowded window costs no more than an empty one.
+    starts = [None, *[n for n, w in windows.items() if w is not None]]
+    moment = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), (F.col("t") - F.expr(f"INTERVAL {windows[n] if n else 0} SECONDS")).alias("at")) for j, n in enumerate(starts)]))
+    points = question.withColumn("id", F.monotonically_increasing_id()).select("e", "bucket", "id", "row", *[f"c{s}" for s in sums], moment.alias("p"))
+    points = points.select("e", "bucket", "id", F.when(F.col("p.j") == 0, F.col("row")).alias("row"), *[f"c{s}" for s in sums], F.col("p.j").alias("j"), F.col("p.at").alias("t"), F.lit(0).alias("kind"))
+    both = held.withColumn("kind", F.lit(1)).unionByName(points, allowMissingColumns=True)
+    upto = Window.partitionBy("e", "bucket").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = both.select("*", *[F.coalesce(F.sum(s).over(upto), zero).alias(f"r{s}") for s in sums], *[F.coalesce(F.sum(F.col(s) * F.col("own")).over(upto), zero).alias(f"o{s}") for s in sums])
+    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c)))
+    # All points of a row are in one partition of the window, so this grouping needs no shuffle.
+    wide = run.where("kind = 0").groupBy("e", "bucket", "id").agg(
+        F.first("row", ignorenulls=True).alias("row"), F.max(F.when(F.col("j") == 0, F.col("t"))).alias("t"), *[F.max(f"c{s}").alias(f"c{s}") for s in sums],
+        *[at(f"o{s}", 0).alias(f"o{s}") for s in sums], *[at(f"r{s}", j).alias(f"r{s}_{j}") for s in sums for j in range(len(starts))],
+    )
     known = F.col("e").isNotNull() & F.col("t").isNotNull()
-    counted = both.withColumns(out).where("row IS NOT NULL")
-    return counted.select("row.*", *[F.when(known, F.col(c)).otherwise(zero).alias(c) for c in out])
+    out = []
+    for s, prefix in zip(sums, measures):
+        for name, seconds in windows.items():
+            count = F.col(f"o{s}") + F.col(f"c{s}") if seconds is None else F.col(f"r{s}_0") - F.col(f"r{s}_{starts.index(name)}")
+            out.append(F.when(known, count).otherwise(zero).alias(f"{prefix}{name}"))
+    return wide.select("row.*", *out)
 
 
 def rate(clicks: str, views: str, prior: float = CTR_PRIOR):

@@ -12,18 +12,52 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.vectors import dot, normalised, usable
+from rankloom.functions.vectors import dot
 
 #: Newest-first decay of clicks in the recency pooling.
 TAU = 5.0
-#: Most query vectors of one block of the exact search (300 floats each are 12 MB).
+#: Query vectors or readers of one block (300 doubles each are 24 MB).
 BLOCK = 10_000
+#: Article vectors of one block of a grid (300 doubles each are 240 MB).
+UNIT_BLOCK = 100_000
 
 
 def unit_vectors(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
-    """(id, v): usable vectors scaled to length 1; of repeated ids one row, unusable ones left out."""
-    good = vectors.where(F.col(key).isNotNull() & usable(F.col(column), dim)).select(F.col(key).alias("id"), F.col(column).alias("v"))
-    return good.dropDuplicates(["id"]).select("id", normalised(F.col("v")).alias("v"))
+    """(id, v ARRAY<DOUBLE>): usable vectors scaled to length 1; of repeated ids one row, unusable ones left out.
+
+    Usable are vectors of exactly ``dim`` finite components that are not all zero.
+    """
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            good = np.flatnonzero((lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False) == dim) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
+            if not len(good):
+                continue
+            flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            x = flat[lists.offsets.to_numpy(zero_copy_only=False)[good][:, None] + np.arange(dim)]
+            keep = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x = x[keep] / np.linalg.norm(x[keep], axis=1, keepdims=True)
+            yield _lists(b.column(0).take(pa.array(good[keep])), x)
+
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(F.col(key).alias("id"), F.col(column).alias("v")).mapInArrow(scale, f"id {kind}, v array<double>").dropDuplicates(["id"])
+
+
+def _lists(ids: pa.Array, x: np.ndarray, *more: tuple[str, pa.Array], name: str = "id") -> pa.RecordBatch:
+    """A batch of ids with the rows of a matrix as lists."""
+    offsets = pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32))
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), *[a for _, a in more]], [name, "v", *[n for n, _ in more]])
+
+
+def _matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+def _blocks(n: int, size: int, least: int, spark) -> int:
+    """Blocks of at most about ``size`` rows, and enough of them to keep the cores busy unless they get tiny."""
+    return max(1, -(-n // size), min(spark.sparkContext.defaultParallelism, n // least))
 
 
 def pooled(histories: DataFrame, units: DataFrame, key: str, dim: int, tau: float | None = None) -> DataFrame:
@@ -33,77 +67,66 @@ def pooled(histories: DataFrame, units: DataFrame, key: str, dim: int, tau: floa
     known or not. Articles without a vector add nothing; a history without any known article has no row. A
     mean of length 0 stays zero.
 
-    Weighted vectors are added up inside each task before they are shuffled, and again behind the shuffle.
+    Readers and articles are cut into blocks; a cell of the grid of blocks gets its reads and each article vector of
+    its block once, and gives one sum per reader.
     """
+    spark = units.sparkSession
     age = F.size("article_ids") - 1 - F.col("p")
-    reads = histories.select(key, "article_ids", F.posexplode("article_ids").alias("p", "id"))
+    reads = histories.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "article_ids").select("k", "article_ids", F.posexplode("article_ids").alias("p", "id"))
     weight = F.lit(1.0) if tau is None else F.exp(-age / F.lit(float(tau)))
-    rows = reads.select(F.col(key).alias("k"), "id", weight.alias("w")).join(units, "id").select("k", "w", "v")
-    kind = histories.schema[key].dataType.simpleString()
-
-    def add(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
-        count: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            names = np.concatenate(keys)
-            unique, place = np.unique(names, return_inverse=True)
-            order = np.argsort(place, kind="stable")
-            start = np.flatnonzero(np.r_[True, np.diff(place[order]) != 0])
-            total = np.add.reduceat(np.concatenate(sums)[order], start, axis=0)
-            n = np.add.reduceat(np.concatenate(count)[order], start)
-            keys[:], sums[:], count[:] = [unique], [total], [n]
-            flat = pa.array(total.ravel())
-            return pa.RecordBatch.from_arrays([pa.array(unique), pa.ListArray.from_arrays(pa.array(np.arange(0, total.size + 1, dim, dtype=np.int32)), flat), pa.array(n)], ["k", "v", "n"])
-
-        held = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            keys.append(b.column("k").to_numpy(zero_copy_only=False))
-            sums.append(x * b.column("w").to_numpy(zero_copy_only=False)[:, None] if first else x)
-            count.append(np.ones(b.num_rows, np.int64) if first else b.column("n").to_numpy(zero_copy_only=False))
-            held += b.num_rows
-            if held >= 20_000:  # sums of at most so many keys and rows stay in memory
-                out = flush()
-                held = len(keys[0])
-                if held >= 10_000:
-                    yield out
-                    keys.clear(), sums.clear(), count.clear()
-                    held = 0
-        if keys:
-            yield flush()
+    kind, item = histories.schema[key].dataType.simpleString(), units.schema["id"].dataType.simpleString()
+    left = _blocks(histories.count(), BLOCK, 1000, spark)
+    n_units = units.count()
+    right = max(1, -(-n_units // UNIT_BLOCK))
+    lb = F.pmod(F.xxhash64("k"), F.lit(left)).cast("int")
+    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
+    wanted = reads.where("id IS NOT NULL").groupBy("k", "id").agg(F.sum(weight).alias("w"), F.count("*").alias("c"))
+    asked = wanted.select((lb * right + rb).alias("cell"), "k", F.col("id").cast(item).alias("id"), "w", "c")
+    shipped = units.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("l"), "id", "v").select((F.col("l") * right + rb).alias("cell"), "id", "v")
+
+    def add(table: pa.Table) -> pa.Table:
+        is_unit = table["v"].is_valid().to_numpy()
+        vecs, rows = table.filter(pa.array(is_unit)), table.filter(pa.array(~is_unit))
+        if not vecs.num_rows or not rows.num_rows:
+            return _empty(kind, dim)
+        ids = vecs["id"].to_numpy()
+        order = np.argsort(ids)
+        place = np.searchsorted(ids[order], want := rows["id"].to_numpy()).clip(max=len(ids) - 1)
+        hit = ids[order][place] == want
+        if not hit.any():
+            return _empty(kind, dim)
+        x = _matrix(vecs["v"], dim)
+        names, code = np.unique(rows["k"].to_numpy()[hit], return_inverse=True)
+        sums, count = np.zeros((len(names), dim)), np.zeros(len(names), np.int64)
+        w, c, at = rows["w"].to_numpy()[hit], rows["c"].to_numpy()[hit], order[place[hit]]
+        by = np.argsort(code, kind="stable")
+        for s in range(0, len(by), 50_000):
+            part = by[s : s + 50_000]
+            start = np.flatnonzero(np.r_[True, np.diff(code[part]) != 0])
+            sums[code[part][start]] += np.add.reduceat(x[at[part]] * w[part, None], start, axis=0)
+            count[code[part][start]] += np.add.reduceat(c[part], start)
+        return pa.Table.from_batches([_lists(pa.array(names), sums, ("n", pa.array(count)), name="k")])
 
     schema = f"k {kind}, v array<double>, n bigint"
-    part = rows.where("k IS NOT NULL").mapInArrow(lambda b: add(b, True), schema)
-    spread = part.repartition("k").sortWithinPartitions("k")
+    sums = asked.unionByName(shipped, allowMissingColumns=True).groupBy("cell").applyInArrow(add, schema)
+    if right > 1:  # a reader's articles lie in several blocks: add up their few partial sums
+        parts = sums.select("k", "n", F.posexplode("v").alias("d", "x")).groupBy("k", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"), F.max("n").alias("n"))  # dim entries
+        sums = whole.select("k", F.transform("v", lambda e: e["x"]).alias("v"), "n")
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: tuple | None = None  # the last key of a batch may go on in the next
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            k = b.column("k").to_numpy(zero_copy_only=False)
-            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            if carry is not None:
-                k, x, n = np.concatenate([carry[0], k]), np.concatenate([carry[1], x]), np.concatenate([carry[2], n])
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            k, x, n = k[start], np.add.reduceat(x, start, axis=0), np.add.reduceat(n, start)
-            carry = (k[-1:], x[-1:], n[-1:])
-            if len(k) > 1:
-                yield pack(k[:-1], x[:-1], n[:-1])
-        if carry is not None:
-            yield pack(*carry)
-
-    def pack(k: np.ndarray, x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(size == 0, 1.0, size)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel())), pa.array(n)], ["k", "v", "n"])
-
-    return spread.mapInArrow(finish, schema).withColumnRenamed("k", key)
+            if b.num_rows:
+                x = _matrix(b.column("v"), dim)
+                size = np.linalg.norm(x, axis=1, keepdims=True)
+                yield _lists(b.column("k"), x / np.where(size == 0, 1.0, size), ("n", b.column("n")), name="k")
+
+    return sums.mapInArrow(scale, schema).withColumnRenamed("k", key)
+
+
+def _empty(kind: str, dim: int) -> pa.Table:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    return pa.table({"k": pa.array([], types[kind]), "v": pa.array([], pa.list_(pa.float64())), "n": pa.array([], pa.int64())})
 
 
 def flat_search(queries: DataFrame, units: DataFrame, dim: int, k: int, key: str = "query") -> DataFrame:
@@ -146,12 +169,46 @@ def flat_search(queries: DataFrame, units: DataFrame, dim: int, k: int, key: str
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", key)
 
 
-def slate_cosine(pairs: DataFrame, readers: DataFrame, units: DataFrame, key: str, item: str = "article_id") -> DataFrame:
-    """(key, item, cosine) of distinct pairs; 0.0 where the reader or the article has no vector."""
-    wanted = pairs.select(key, item).distinct()
-    with_item = wanted.join(units.select(F.col("id").alias(item), F.col("v").alias("iv")), item, "left")
-    both = with_item.join(readers.select(key, F.col("v").alias("rv")), key, "left")
-    return both.select(key, item, F.coalesce(dot(F.col("iv"), F.col("rv")), F.lit(0.0)).alias("cosine"))
+def slate_cosine(pairs: DataFrame, readers: DataFrame, units: DataFrame, key: str, dim: int, item: str = "article_id") -> DataFrame:
+    """(key, item, cosine) of distinct pairs; 0.0 where the reader or the article has no vector. Null keys are left out.
+
+    Readers and articles are cut into blocks. A cell of the grid of blocks gets its pairs and each vector of its two
+    blocks once, so a vector is not shuffled for every pair it is in.
+    """
+    spark = units.sparkSession
+    wanted = pairs.select(F.col(key).alias("k"), F.col(item).alias("id")).dropna().distinct()
+    kind, what = wanted.schema["k"].dataType.simpleString(), wanted.schema["id"].dataType.simpleString()
+    left = _blocks(readers.count(), BLOCK, 1000, spark)
+    right = max(1, -(-units.count() // UNIT_BLOCK))
+    lb = F.pmod(F.xxhash64("k"), F.lit(left)).cast("int")
+    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
+    asked = wanted.select((lb * right + rb).alias("cell"), "k", "id")
+    articles = units.select(F.col("id").cast(what).alias("id"), "v").select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("l"), "id", "v").select((F.col("l") * right + rb).alias("cell"), "id", "v")
+    people = readers.select(F.col(key).cast(kind).alias("k"), "v").select(F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("r"), "k", "v").select((lb * right + F.col("r")).alias("cell"), "k", "v")
+
+    def find(names: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(names):
+            return np.zeros(len(want), int), np.zeros(len(want), bool)
+        order = np.argsort(names)
+        place = np.searchsorted(names[order], want).clip(max=len(names) - 1)
+        return order[place], names[order][place] == want
+
+    def score(table: pa.Table) -> pa.Table:
+        has_v, has_k = table["v"].is_valid().to_numpy(), table["k"].is_valid().to_numpy()
+        rows, arts, users = (table.filter(pa.array(m)) for m in (~has_v, has_v & ~has_k, has_v & has_k))
+        x, y = (_matrix(t["v"], dim) if t.num_rows else np.zeros((0, dim)) for t in (arts, users))
+        i, found_i = find(arts["id"].to_numpy(), rows["id"].to_numpy())
+        j, found_j = find(users["k"].to_numpy(), rows["k"].to_numpy())
+        out = np.zeros(rows.num_rows)
+        both = np.flatnonzero(found_i & found_j)
+        for s in range(0, len(both), 20_000):
+            p = both[s : s + 20_000]
+            out[p] = np.einsum("nd,nd->n", x[i[p]], y[j[p]])
+        return pa.table({"k": rows["k"], "id": rows["id"], "cosine": pa.array(out)})
+
+    cells = asked.unionByName(articles, allowMissingColumns=True).unionByName(people, allowMissingColumns=True)
+    got = cells.groupBy("cell").applyInArrow(score, f"k {kind}, id {what}, cosine double")
+    return got.withColumnRenamed("k", key).withColumnRenamed("id", item)
 
 
 def ivf_lists(units: DataFrame, nlist: int | None = None, seed: int = 0, sample: int = 20_000):

@@ -336,7 +336,7 @@ def slate_cosine(spark, folder):
     pairs = _impressions(spark, folder).where("user_id <> 0").select("user_id", F.explode("candidates").alias("article_id"))
     units = _units(spark, folder)
     readers = vectors.pooled(_history(spark, folder), units, "user_id", DIM)
-    return vectors.slate_cosine(pairs, readers, units, "user_id").select("user_id", "article_id", F.round("cosine", 5).alias("cosine"))
+    return vectors.slate_cosine(pairs, readers, units, "user_id", DIM).select("user_id", "article_id", F.round("cosine", 5).alias("cosine"))
 
 
 def latent_vectors(spark, folder):
