@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ K1, B = 1.2, 0.75
 #: Share of the mean IDF that replaces an Okapi IDF of 0 or less.
 OKAPI_FLOOR = 0.25
 RECALL_AT = (50, 100, 200)
+#: Queries and documents of one block of the scoring grid.
+QUERY_BLOCK, DOC_BLOCK = 5_000, 50_000
 
 
 @dataclass(frozen=True)
@@ -85,24 +89,120 @@ def query_terms(histories: DataFrame, texts: DataFrame, query: str, tokens: Colu
 def search(queries: DataFrame, weights: DataFrame, query: str, k: int) -> DataFrame:
     """(query, id, score, place): the k best documents that share a term with the query, ties by smaller id.
 
-    ``queries`` is (query, term, q), ``weights`` comes from ``impacts``. Repeated query terms are counted in q, so
-    the join meets every term once; its sums are built map-side before they are shuffled. The rows of terms that
-    most documents share are spread by joining heavy terms against their few query rows.
+    ``queries`` is (query, term, q), ``weights`` comes from ``impacts``. Joining them on the term would shuffle a row
+    for every query, term and document that meet; instead queries and documents are cut into blocks, a cell of the
+    grid of blocks gets its queries and postings once, adds up scores term by term in memory and keeps k documents
+    per query. Terms meet by a hash of 64 bits. Scores are compared after rounding to 9 decimals.
     """
-    hits = weights.join(queries, "term").groupBy(query, "id").agg(F.sum(F.col("impact") * F.col("q")).alias("score"))
-    order = Window.partitionBy(query).orderBy(F.round("score", 9).desc(), "id")
-    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    kind, what = queries.schema[query].dataType.simpleString(), weights.schema["id"].dataType.simpleString()
+
+    def best(table: pa.Table) -> pa.Table:
+        asked, impact, term_ids, docs = _cell(table)
+        names, start = np.unique(asked[0], return_index=True)
+        ids, doc_code = np.unique(docs, return_inverse=True)
+        out_q, out_id, out_s = [], [], []
+        lo, hi = np.searchsorted(term_ids, asked[1], "left"), np.searchsorted(term_ids, asked[1], "right")
+        ends = np.r_[start[1:], len(asked[0])]
+        for i, name in enumerate(names):
+            rows = np.arange(start[i], ends[i])
+            rows = rows[hi[rows] > lo[rows]]
+            if not len(rows):
+                continue
+            hit = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
+            q = np.repeat(asked[2][rows], hi[rows] - lo[rows])
+            score = np.bincount(doc_code[hit], impact[hit] * q, len(ids))
+            found = np.unique(doc_code[hit])
+            value = np.round(score[found], 9)
+            if len(found) > k:
+                edge = np.partition(value, len(value) - k)[len(value) - k]
+                found, value = found[value >= edge], value[value >= edge]
+            order = np.lexsort((ids[found], -value))[:k]
+            out_q.append(np.full(len(order), name))
+            out_id.append(ids[found[order]])
+            out_s.append(score[found[order]])
+        join = lambda parts, like: np.concatenate(parts) if parts else like[:0]
+        return pa.table({"q": join(out_q, asked[0]), "id": join(out_id, docs), "score": join(out_s, impact)})
+
+    got = _grid(queries, weights, query, None).groupBy("cell").applyInArrow(best, f"q {kind}, id {what}, score double")
+    order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
+    return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", query)
+
+
+def _cell(table: pa.Table) -> tuple:
+    """Query rows (query, term, q) sorted by query, and postings sorted by term, of a cell of the grid."""
+    part = table["part"].to_numpy()
+    q, p = table.filter(pa.array(part == 0)), table.filter(pa.array(part == 1))
+    qo = np.argsort(q["query"].to_numpy(), kind="stable")
+    po = np.argsort(p["term"].to_numpy(), kind="stable")
+    asked = tuple(q[c].to_numpy()[qo] for c in ("query", "term", "value"))
+    return asked, p["value"].to_numpy()[po], p["term"].to_numpy()[po], p["id"].to_numpy()[po]
+
+
+def _grid(queries: DataFrame, weights: DataFrame, query: str, pairs: DataFrame | None) -> DataFrame:
+    """Rows of all cells: (cell, part, query, term, id, value), part 0 query terms, 1 postings, 2 pairs to score."""
+    spark = queries.sparkSession
+    n_queries, n_docs = queries.select(query).distinct().count(), weights.select("id").distinct().count()
+    left = max(1, -(-n_queries // QUERY_BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // 64))
+    right = max(1, -(-n_docs // DOC_BLOCK))
+    cell = lambda l, r: (l * right + r).alias("cell")  # noqa: E731,E741
+    lb = F.pmod(F.xxhash64("query"), F.lit(left)).cast("int")
+    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    term = F.xxhash64("term").alias("term")
+    q = queries.select(F.col(query).alias("query"), term, F.col("q").cast("double").alias("value"))
+    q = q.select(every(right, "r"), "*").select(cell(lb, F.col("r")), F.lit(0).alias("part"), "query", "term", "value")
+    p = weights.select("id", term, F.col("impact").alias("value")).select(every(left, "l"), "*").select(cell(F.col("l"), rb), F.lit(1).alias("part"), "id", "term", "value")
+    rows = q.unionByName(p, allowMissingColumns=True)
+    if pairs is not None:
+        rows = rows.unionByName(pairs.select(cell(lb, rb), F.lit(2).alias("part"), "query", "id"), allowMissingColumns=True)
+    return rows.select("cell", "part", "query", "term", "id", "value")
 
 
 def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query: str, doc: str = "article_id") -> DataFrame:
     """(query, doc, score) of given pairs, 0.0 where nothing is shared or the document is not indexed.
 
-    Pairs are made distinct first, so a pair that occurs in many slates is scored once.
+    Pairs are made distinct first, so a pair that occurs in many slates is scored once; pairs with a null are left
+    out. They are scored in the cells of a grid of query and document blocks, so neither postings nor query terms
+    are shuffled for every pair.
     """
-    wanted = pairs.select(query, doc).distinct()
-    terms = wanted.join(weights, wanted[doc] == weights["id"]).select(query, doc, "term", "impact")
-    scored = terms.join(queries, [query, "term"]).groupBy(query, doc).agg(F.sum(F.col("impact") * F.col("q")).alias("score"))
-    return wanted.join(scored, [query, doc], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    what = weights.schema["id"].dataType.simpleString()
+    kind = queries.schema[query].dataType.simpleString()
+    wanted = pairs.select(F.col(query).cast(kind).alias("query"), F.col(doc).cast(what).alias("id")).dropna().distinct()
+
+    def score(table: pa.Table) -> pa.Table:
+        rows = table.filter(pa.array(table["part"].to_numpy() == 2))
+        if not rows.num_rows:
+            return pa.table({"query": rows["query"], "id": rows["id"], "score": pa.array([], pa.float64())})
+        asked, impact, term, docs = _cell(table)
+        terms = np.unique(asked[1])
+        keep = np.isin(term, terms)
+        code, impact, docs = np.searchsorted(terms, term[keep]), impact[keep], docs[keep]
+        order = np.argsort(docs, kind="stable")
+        code, impact, docs = code[order], impact[order], docs[order]
+        want_q, want_d = rows["query"].to_numpy(), rows["id"].to_numpy()
+        by = np.argsort(want_q, kind="stable")
+        want_q, want_d = want_q[by], want_d[by]
+        lo, hi = np.searchsorted(docs, want_d, "left"), np.searchsorted(docs, want_d, "right")
+        weight = np.zeros(len(terms))
+        out = np.zeros(len(want_q))
+        names, start = np.unique(want_q, return_index=True)
+        ends = np.r_[start[1:], len(want_q)]
+        q0, q1 = np.searchsorted(asked[0], names, "left"), np.searchsorted(asked[0], names, "right")
+        for i in range(len(names)):
+            if q0[i] == q1[i]:
+                continue
+            mine = np.searchsorted(terms, asked[1][q0[i] : q1[i]])
+            weight[mine] = asked[2][q0[i] : q1[i]]
+            size = (hi - lo)[start[i] : ends[i]]
+            if size.sum():
+                base = np.repeat(lo[start[i] : ends[i]] - np.r_[0, np.cumsum(size)[:-1]], size)
+                at = base + np.arange(size.sum())
+                out[start[i] : ends[i]] = np.bincount(np.repeat(np.arange(len(size)), size), impact[at] * weight[code[at]], len(size))
+            weight[mine] = 0.0
+        return pa.table({"query": want_q, "id": want_d, "score": out})
+
+    got = _grid(queries, weights, query, wanted).groupBy("cell").applyInArrow(score, f"query {kind}, id {what}, score double")
+    return got.withColumnRenamed("query", query).withColumnRenamed("id", doc)
 
 
 def recall_at(retrieved: DataFrame, relevant: DataFrame, query: str, at: tuple[int, ...] = RECALL_AT) -> DataFrame:
