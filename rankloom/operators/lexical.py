@@ -1,4 +1,4 @@
-"""Inverted index and BM25 as tables: postings(term, id, tf), docs(id, dl), idf(term, df, idf)."""
+"""Inverted index and BM25 as tables: postings(term, id, dl, tf), docs(id, dl), idf(term, df, idf)."""
 
 from __future__ import annotations
 
@@ -39,7 +39,7 @@ def build_index(texts: DataFrame, doc: str, tokens: Column) -> Index:
     figures = lengths.groupBy("id").agg(F.count("*").alias("c"), F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.max("c").alias("most")).first()
     if (figures["most"] or 0) > 1:
         raise ValueError("a document id occurs more than once")
-    postings = docs.select("id", F.explode("w").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    postings = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     return Index(postings, lengths, figures["n"], figures["avgdl"] or 0.0)
 
 
@@ -67,8 +67,7 @@ def idf(index: Index, variant: str = "lucene") -> DataFrame:
 
 def impacts(index: Index, variant: str = "lucene", k1: float = K1, b: float = B) -> DataFrame:
     """(term, id, impact): what one occurrence of the term in a query adds to the document's score."""
-    rows = index.postings.join(index.docs, "id")
-    rows = join_on_skewed_key(rows, idf(index, variant), "term", heavy_keys(index.postings, "term"), "inner")
+    rows = join_on_skewed_key(index.postings, idf(index, variant), "term", heavy_keys(index.postings, "term"), "inner")
     length = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl or 1.0)
     return rows.select("term", "id", (F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * length)).alias("impact"))
 
@@ -86,13 +85,14 @@ def query_terms(histories: DataFrame, texts: DataFrame, query: str, tokens: Colu
     return reads.join(words, "article_id").select(query, "c", F.explode("w").alias("term")).groupBy(query, "term").agg(F.sum("c").alias("q"))
 
 
-def search(queries: DataFrame, weights: DataFrame, query: str, k: int) -> DataFrame:
+def search(queries: DataFrame, weights: DataFrame, query: str, k: int, n_docs: int | None = None) -> DataFrame:
     """(query, id, score, place): the k best documents that share a term with the query, ties by smaller id.
 
     ``queries`` is (query, term, q), ``weights`` comes from ``impacts``. Joining them on the term would shuffle a row
     for every query, term and document that meet; instead queries and documents are cut into blocks, a cell of the
     grid of blocks gets its queries and postings once, adds up scores term by term in memory and keeps k documents
-    per query. Terms meet by a hash of 64 bits. Scores are compared after rounding to 9 decimals.
+    per query. Terms meet by a hash of 64 bits. Scores are compared after rounding to 9 decimals. ``n_docs`` spares
+    counting the documents.
     """
     kind, what = queries.schema[query].dataType.simpleString(), weights.schema["id"].dataType.simpleString()
 
@@ -111,7 +111,7 @@ def search(queries: DataFrame, weights: DataFrame, query: str, k: int) -> DataFr
             hit = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
             q = np.repeat(asked[2][rows], hi[rows] - lo[rows])
             score = np.bincount(doc_code[hit], impact[hit] * q, len(ids))
-            found = np.unique(doc_code[hit])
+            found = np.flatnonzero(np.bincount(doc_code[hit], minlength=len(ids)))
             value = np.round(score[found], 9)
             if len(found) > k:
                 edge = np.partition(value, len(value) - k)[len(value) - k]
@@ -123,7 +123,7 @@ def search(queries: DataFrame, weights: DataFrame, query: str, k: int) -> DataFr
         join = lambda parts, like: np.concatenate(parts) if parts else like[:0]
         return pa.table({"q": join(out_q, asked[0]), "id": join(out_id, docs), "score": join(out_s, impact)})
 
-    got = _grid(queries, weights, query, None).groupBy("cell").applyInArrow(best, f"q {kind}, id {what}, score double")
+    got = _grid(queries, weights, query, None, n_docs).groupBy("cell").applyInArrow(best, f"q {kind}, id {what}, score double")
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
     return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", query)
 
@@ -138,10 +138,11 @@ def _cell(table: pa.Table) -> tuple:
     return asked, p["value"].to_numpy()[po], p["term"].to_numpy()[po], p["id"].to_numpy()[po]
 
 
-def _grid(queries: DataFrame, weights: DataFrame, query: str, pairs: DataFrame | None) -> DataFrame:
+def _grid(queries: DataFrame, weights: DataFrame, query: str, pairs: DataFrame | None, n_docs: int | None = None) -> DataFrame:
     """Rows of all cells: (cell, part, query, term, id, value), part 0 query terms, 1 postings, 2 pairs to score."""
     spark = queries.sparkSession
-    n_queries, n_docs = queries.select(query).distinct().count(), weights.select("id").distinct().count()
+    n_queries = queries.select(query).distinct().count()
+    n_docs = weights.select("id").distinct().count() if n_docs is None else n_docs
     left = max(1, -(-n_queries // QUERY_BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // 64))
     right = max(1, -(-n_docs // DOC_BLOCK))
     cell = lambda l, r: (l * right + r).alias("cell")  # noqa: E731,E741
@@ -158,7 +159,7 @@ def _grid(queries: DataFrame, weights: DataFrame, query: str, pairs: DataFrame |
     return rows.select("cell", "part", "query", "term", "id", "value")
 
 
-def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query: str, doc: str = "article_id") -> DataFrame:
+def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query: str, doc: str = "article_id", n_docs: int | None = None) -> DataFrame:
     """(query, doc, score) of given pairs, 0.0 where nothing is shared or the document is not indexed.
 
     Pairs are made distinct first, so a pair that occurs in many slates is scored once; pairs with a null are left
@@ -201,7 +202,7 @@ def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query
             weight[mine] = 0.0
         return pa.table({"query": want_q, "id": want_d, "score": out})
 
-    got = _grid(queries, weights, query, wanted).groupBy("cell").applyInArrow(score, f"query {kind}, id {what}, score double")
+    got = _grid(queries, weights, query, wanted, n_docs).groupBy("cell").applyInArrow(score, f"query {kind}, id {what}, score double")
     return got.withColumnRenamed("query", query).withColumnRenamed("id", doc)
 
 

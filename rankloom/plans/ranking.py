@@ -169,28 +169,33 @@ def idf_okapi(spark, folder):
     return lexical.idf(_index(spark, folder), "okapi").select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-def _searched(spark, folder, n_recent: int, k: int) -> DataFrame:
-    asked = _twentieth(_history(spark, folder), "user_id")
-    terms = lexical.query_terms(asked, _texts(spark, folder), "user_id", _tokens(), n_recent)
-    return lexical.search(terms, lexical.impacts(_index(spark, folder)), "user_id", k)
+def _terms_of(spark, folder, histories: DataFrame, n_recent: int) -> DataFrame:
+    return lexical.query_terms(histories, _texts(spark, folder), "user_id", _tokens(), n_recent)
 
 
 def bm25_search(spark, folder):
-    top = _searched(spark, folder, 5, 50)
+    index = _index(spark, folder)
+    terms = _terms_of(spark, folder, _twentieth(_history(spark, folder), "user_id"), 5)
+    top = lexical.search(terms, lexical.impacts(index), "user_id", 50, index.n)
     return top.select("user_id", F.col("id").alias("article_id"), F.round("score", 5).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def bm25_slate_scores(spark, folder):
+    index = _index(spark, folder)
     pairs = _impressions(spark, folder).where("user_id <> 0").select("user_id", F.explode("candidates").alias("article_id"))
-    terms = lexical.query_terms(_history(spark, folder), _texts(spark, folder), "user_id", _tokens(), 5)
-    return lexical.slate_scores(pairs, terms, lexical.impacts(_index(spark, folder)), "user_id").select("user_id", "article_id", F.round("score", 5).alias("score"))
+    terms = _terms_of(spark, folder, _history(spark, folder), 5)
+    return lexical.slate_scores(pairs, terms, lexical.impacts(index), "user_id", n_docs=index.n).select("user_id", "article_id", F.round("score", 5).alias("score"))
 
 
 def recall_ablation(spark, folder):
+    index = _index(spark, folder)
+    weights = lexical.impacts(index)
+    asked = _twentieth(_history(spark, folder), "user_id")
     relevant = _twentieth(clicks(table(spark, folder, "behaviors")).where("user_id <> 0"), "user_id").select("user_id", F.col("article_id").alias("id"))
     out = None
     for n in (1, 5, 20):
-        got = lexical.recall_at(_searched(spark, folder, n, max(lexical.RECALL_AT)), relevant, "user_id").select(F.lit(n).alias("n_recent"), "*")
+        found = lexical.search(_terms_of(spark, folder, asked, n), weights, "user_id", max(lexical.RECALL_AT), index.n)
+        got = lexical.recall_at(found, relevant, "user_id").select(F.lit(n).alias("n_recent"), "*")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("recall", F.round("recall", 6))
 
