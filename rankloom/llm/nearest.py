@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Curves, projected directions of each, and bits of a direction: 16 * 2 bits make a key of 32 bits.
-CURVES, DIRECTIONS, BITS = 20, 16, 2
+CURVES, DIRECTIONS, BITS = 28, 16, 2
 #: Sketch words of 64 sign bits. The first WORDS_FIRST of them are compared first.
 WORDS, WORDS_FIRST = 6, 2
 #: Records behind a record that it is compared with, on every curve.
-WINDOW = 768
+WINDOW = 1024
 #: Vectors the borders are fitted on, and records of one range.
 SAMPLE, RANGE_RECORDS = 4096, 50_000
 #: Most ids that are broadcast to thin out the vectors before the rerank (8 bytes each); beyond, they are joined.
