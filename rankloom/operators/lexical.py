@@ -121,7 +121,8 @@ def search(queries: DataFrame, weights: DataFrame, query: str, k: int, n_docs: i
             out_id.append(ids[found[order]])
             out_s.append(score[found[order]])
         join = lambda parts, like: np.concatenate(parts) if parts else like[:0]
-        return pa.table({"q": join(out_q, asked[0]), "id": join(out_id, docs), "score": join(out_s, impact)})
+        types = [table.schema.field(c).type for c in ("query", "id")]
+        return pa.table({"q": pa.array(join(out_q, asked[0]), types[0]), "id": pa.array(join(out_id, docs), types[1]), "score": pa.array(join(out_s, impact), pa.float64())})
 
     got = _grid(queries, weights, query, None, n_docs).groupBy("cell").applyInArrow(best, f"q {kind}, id {what}, score double")
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
@@ -200,7 +201,7 @@ def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query
                 at = base + np.arange(size.sum())
                 out[start[i] : ends[i]] = np.bincount(np.repeat(np.arange(len(size)), size), impact[at] * weight[code[at]], len(size))
             weight[mine] = 0.0
-        return pa.table({"query": want_q, "id": want_d, "score": out})
+        return pa.table({"query": pa.array(want_q, rows.schema.field("query").type), "id": pa.array(want_d, rows.schema.field("id").type), "score": out})
 
     got = _grid(queries, weights, query, wanted, n_docs).groupBy("cell").applyInArrow(score, f"query {kind}, id {what}, score double")
     return got.withColumnRenamed("query", query).withColumnRenamed("id", doc)
