@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 #: Documents one sequence may hold.
 MAX_DOCUMENTS = 512
-#: Weights of the residual shares of tokens, documents and attention cost.
-WEIGHTS = (1.0, 0.05, 0.05)
 SHARD_ITEMS = 20_000
 
 
@@ -28,12 +26,18 @@ def byte_tokens(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
-def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float, weights: Sequence[float] = WEIGHTS) -> np.ndarray:
+def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: float, weights: Sequence[float] | None = None) -> np.ndarray:
     """Bin of every item, for items sorted from large to small.
 
     An item's cost is the square of its size. An item that breaks a bound by itself still gets a bin of its own.
+    ``weights`` are those of the residual shares of tokens, documents and cost; by default they follow from how many
+    bins each bound alone would need, falling steeply for a bound that does not bind.
     """
     n = len(sizes)
+    if weights is None:
+        wide = sizes.astype(float)
+        need = np.array([wide.sum() / capacity, n / max_documents, (wide * wide).sum() / max_cost])
+        weights = (need / max(need.max(), 1e-300)) ** 8
     bins = np.empty(n, dtype=np.int64)
     room = np.empty((3, 1024))
     names = np.empty(1024, dtype=np.int64)
@@ -70,7 +74,7 @@ def best_fit(sizes: np.ndarray, capacity: int, max_documents: int, max_cost: flo
 
 def pack(
     documents: DataFrame, doc: str, tokens: Column, capacity: int = 4096, max_documents: int = MAX_DOCUMENTS, max_cost: float | None = None,
-    weights: Sequence[float] = WEIGHTS, shard_items: int = SHARD_ITEMS,
+    weights: Sequence[float] | None = None, shard_items: int = SHARD_ITEMS,
 ) -> DataFrame:
     """(sequence STRING, doc, piece, first_token, n_tokens): where every document lies, each token exactly once.
 
@@ -92,7 +96,7 @@ def pack(
             "doc", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("n_tokens"),
         )
     )
-    items = sizes.where(rest > 0).select("doc", full.alias("piece"), rest.alias("n"), F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard"))
+    items = sizes.where(rest > 0).select("doc", full.alias("piece"), rest.alias("n"), F.pmod(F.xxhash64("doc", F.lit(11)), F.lit(shards)).cast("int").alias("shard"))
 
     def place(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["n", "doc"], ascending=[False, True], kind="stable")
