@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.lineage import cut_lineage
+
 #: Curves, projected directions of each, and bits of a direction: 16 * 2 bits make a key of 32 bits.
 CURVES, DIRECTIONS, BITS = 28, 16, 2
 #: Sketch words of 64 sign bits. The first WORDS_FIRST of them are compared first.
@@ -178,14 +179,6 @@ def _unpack_vectors(packed: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the session's spark.checkpoint.dir; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
-    return df.checkpoint()
-
-
 def _copies(rows: DataFrame, dim: int) -> tuple[DataFrame, int, int]:
     """(id, digest) of the usable vectors, how many there are, and how many share their components with another."""
 

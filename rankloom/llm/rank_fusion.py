@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.heavy import heavy_keys
+from rankloom.operators.lineage import cut_lineage
 
 #: A group is ranked by several tasks if it holds at least this share of the rows and this many.
 HOT_SHARE, HOT_ROWS = 0.005, 200_000
@@ -30,7 +31,7 @@ def _usable(score: Column, unknown) -> Column:
 def _rank_hot(rows: DataFrame, score: str, tasks: int) -> DataFrame:
     """Ranks of groups too large for one task: ranges of (group, score, pos), each ranked on its own, plus an offset."""
     order = [F.col(score).desc_nulls_last(), F.col("pos").asc()]
-    cut = rows.repartitionByRange(tasks, F.col("grp"), *order).withColumn("cut", F.spark_partition_id()).checkpoint()
+    cut = cut_lineage(rows.repartitionByRange(tasks, F.col("grp"), *order).withColumn("cut", F.spark_partition_id()))
     have = F.count(score).alias("n")
     before = Window.partitionBy("grp").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy("grp", "cut").agg(have)  # at most tasks rows per hot group
