@@ -18,8 +18,8 @@ from rankloom.functions.vectors import dot
 TAU = 5.0
 #: Query vectors or readers of one block (300 doubles each are 24 MB).
 BLOCK = 10_000
-#: Article vectors of one block of a grid (300 doubles each are 240 MB).
-UNIT_BLOCK = 100_000
+#: Article vectors of one block of a grid (300 doubles each are 120 MB).
+UNIT_BLOCK = 50_000
 
 
 def unit_vectors(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
