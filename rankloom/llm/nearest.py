@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from rankloom.operators.lineage import cut_lineage
 
 #: Curves, projected directions of each, and bits of a direction: 16 * 2 bits make a key of 32 bits.
-CURVES, DIRECTIONS, BITS = 28, 16, 2
+CURVES, DIRECTIONS, BITS = 24, 16, 2
 #: Sketch words of 64 sign bits. The first WORDS_FIRST of them are compared first.
 WORDS, WORDS_FIRST = 6, 2
 #: Records behind a record that it is compared with, on every curve.
-WINDOW = 1024
+WINDOW = 1280
 #: Vectors the borders are fitted on, and records of one range.
 SAMPLE, RANGE_RECORDS = 4096, 50_000
 #: Most ids that are broadcast to thin out the vectors before the rerank (8 bytes each); beyond, they are joined.
@@ -165,18 +165,14 @@ def _window_pairs(x: np.ndarray, window: int, most: int, keep: int) -> tuple[np.
 
 
 def _pack_vectors(x: np.ndarray) -> list[bytes]:
-    """Components as half precision where that loses nothing, else as single."""
-    half = x.astype(np.float16)
-    same = (half.astype(np.float32) == x).all(axis=1)
-    return [h.tobytes() if s else r.tobytes() for h, r, s in zip(half, x, same)]
+    """Single-precision components, byte by byte of equal weight: rounded vectors then hold runs that shuffles compress."""
+    planes = np.ascontiguousarray(x.astype("<f4")).view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)
+    return [p.tobytes() for p in planes]
 
 
 def _unpack_vectors(packed: pa.Array, dim: int) -> np.ndarray:
-    out = np.empty((len(packed), dim))
-    for i, b in enumerate(packed):
-        raw = b.as_buffer()
-        out[i] = np.frombuffer(raw, np.float16 if raw.size == 2 * dim else np.float32)
-    return out
+    planes = np.frombuffer(b"".join(packed.to_pylist()), np.uint8).reshape(-1, 4, dim).transpose(0, 2, 1)
+    return np.ascontiguousarray(planes).view("<f4").reshape(-1, dim).astype(np.float64)
 
 
 def _copies(rows: DataFrame, dim: int) -> tuple[DataFrame, int, int]:
