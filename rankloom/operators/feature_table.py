@@ -81,3 +81,14 @@ def wide_rows(events: DataFrame, types: Sequence[str], as_of: str) -> DataFrame:
         columns.append(F.coalesce(F.sum(F.when(mine, F.col("n"))), F.lit(0)).alias(f"n_{name}"))
         columns.append(((F.unix_micros(at) - F.unix_micros(last)) / F.lit(86_400_000_000.0)).alias(f"days_since_{name}"))
     return events.groupBy("user_id").agg(*columns, F.sum("n").alias("n_all"), F.count("*").alias("n_types"), F.max("last_time").alias("last_time"))
+
+
+def type_rows(events: DataFrame) -> DataFrame:
+    """One row per entity with all its types: event_types, counts and last_times in one order, and n_all, n_types, last_time.
+
+    The lists are sorted by event_type and hold the types that occurred, whatever their number. The grouping reuses
+    the partitioning by entity of ``events``.
+    """
+    one = F.struct("event_type", "n", "last_time")
+    rows = events.groupBy("user_id").agg(F.sort_array(F.collect_list(one)).alias("e"), F.sum("n").alias("n_all"), F.count("*").alias("n_types"), F.max("last_time").alias("last_time"))
+    return rows.select("user_id", F.col("e.event_type").alias("event_types"), F.col("e.n").alias("counts"), F.col("e.last_time").alias("last_times"), "n_all", "n_types", "last_time")

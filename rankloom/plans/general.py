@@ -77,13 +77,20 @@ WIDE_TYPES = tuple(f"{e}:{k}" for e in ("view", "click") for k in ("bil", "debat
 
 
 def p7_features(spark: SparkSession, folder: str) -> DataFrame:
-    """One wide feature row per reader."""
+    """One wide feature row per reader, with columns for WIDE_TYPES only; p7_reader_rows has every type."""
     log = in_log(table(spark, folder, "behaviors"))
     events, _ = feature_table.entity_events(log, feature_table.article_types(table(spark, folder, "articles")))
     return feature_table.wide_rows(events, WIDE_TYPES, "2025-04-12 00:00:00")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_article_totals, p2_found, p2_rolling, p4_found, p4_attributes, p7_found, p7_features)}
+def p7_reader_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per reader with number and last time of the views and clicks of every article category."""
+    log = in_log(table(spark, folder, "behaviors"))
+    events, _ = feature_table.entity_events(log, feature_table.article_types(table(spark, folder, "articles")))
+    return feature_table.type_rows(events)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_article_totals, p2_found, p2_rolling, p4_found, p4_attributes, p7_found, p7_features, p7_reader_rows)}
 
 _LOG = """log AS (SELECT impression_id, user_id, impression_time, any_value(article_ids_inview) AS iv, any_value(article_ids_clicked) AS cl, min(logged_time) AS logged_time
   FROM behaviors WHERE impression_time >= TIMESTAMP '2025-02-01' AND impression_time < TIMESTAMP '2025-04-12' GROUP BY 1, 2, 3),
@@ -134,4 +141,6 @@ SELECT article_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY artic
         for t in WIDE_TYPES
     )
     + ", CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY user_id",
+    "p7_reader_rows": f"""{_EVENTS} SELECT user_id, list(event_type ORDER BY event_type) AS event_types, list(n ORDER BY event_type) AS counts,
+  list(last_time ORDER BY event_type) AS last_times, CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY user_id""",
 }

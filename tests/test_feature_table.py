@@ -35,5 +35,15 @@ def test_wide(spark):
     assert wide[7]["n_view_sport"] == 2 and wide[7]["days_since_view_sport"] == 6.0 and wide[7]["n_all"] == 7 and wide[8]["n_click_bil"] == 0 and wide[8]["days_since_view_never"] is None
 
 
+def test_rows_hold_every_type(spark):
+    for keys in ([], [7, 8]):
+        events = ft.entity_events(log(spark), lookup(spark), keys)[0]
+        got = {r["user_id"]: r for r in ft.type_rows(events).collect()}
+        assert got[7]["event_types"] == ["click:bil", "click:none", "view:bil", "view:none", "view:sport"] and got[7]["counts"] == [1, 1, 1, 2, 2]
+        assert got[7]["last_times"][4] == t("2025-03-02 10:00:00") and got[7]["n_all"] == 7 and got[8]["event_types"] == ["click:sport", "view:sport"]
+        flat = [(r["user_id"], *x) for r in got.values() for x in zip(r["event_types"], r["counts"], r["last_times"])]
+        assert sorted(flat, key=repr) == rows(events)
+
+
 def test_empty(spark):
     assert ft.entity_events(log(spark).limit(0), lookup(spark))[0].count() == 0
