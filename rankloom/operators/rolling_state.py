@@ -4,7 +4,8 @@ The state of a day is yesterday's totals, plus today's arrivals, minus the amoun
 ``total(d) = total(d-1) + amount(d) - amount(d-w)``. ``advance_day`` applies one such step as a join and is what a
 daily job runs. ``rolling_state`` applies the same step over a whole range of days: arrivals and expiring amounts
 become signed changes, and a running sum over an entity's few changes is its state on every day. Late amounts are
-corrections: they touch the days d .. d+w-1 only, and the rows of those days carry the higher version.
+corrections: they touch the days d .. d+w-1 only, and the rows of those days carry the higher version;
+``corrected_state`` makes the state of the amounts in time first and corrects it by the late ones.
 """
 
 from __future__ import annotations
@@ -113,3 +114,16 @@ def correct(states: DataFrame, corrections: DataFrame, last_day: str, windows: S
         *[(F.coalesce(f"c{w}", zero) + F.coalesce(f"d{w}", zero)).alias(f"c{w}") for w in windows],
         F.when(hit, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"),
     )
+
+
+def corrected_state(amounts: DataFrame, first_day: str, last_day: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
+    """State as ``rolling_state`` gives it, from the state of the amounts in time and ``correct`` for the late ones.
+
+    A key that only has late amounts is in the state with zeros before it is corrected.
+    """
+    rows = amounts.dropna(subset=["key", "day", "amount"]).withColumn("late", F.coalesce("late", F.lit(0).cast("long")))
+    in_time = rows.select("key", "day", (F.col("amount") - F.col("late")).alias("amount"), F.lit(0).cast("long").alias("late"))
+    late = rows.where(F.col("late") != 0).select("key", "day", F.col("late").alias("amount"))
+    states = rolling_state(in_time, first_day, last_day, windows).select("key", "day", *[f"c{w}" for w in windows], "version")
+    fixed = correct(states, late, last_day, windows).where(F.col("day") >= F.lit(first_day).cast("date"))
+    return fixed.select("key", "day", *[f"c{w}" for w in windows], *[(F.col(f"c{w}") / F.lit(float(w))).alias(f"mean{w}") for w in windows], "version")

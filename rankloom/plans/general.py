@@ -30,7 +30,7 @@ def rolling_clicks(spark: SparkSession, folder: str) -> DataFrame:
     day = F.to_date("impression_time")
     late = F.coalesce(F.to_date("logged_time") > day, F.lit(True))
     daily = rows.groupBy(F.col("article_id").alias("key"), day.alias("day")).agg(F.count("*").alias("amount"), F.count(F.when(late, 1)).alias("late"))
-    return rolling_state.rolling_state(daily, FIRST_DAY, LAST_DAY)
+    return rolling_state.corrected_state(daily, FIRST_DAY, LAST_DAY)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from datetime import date, timedelta
 from conftest import rows
 
 from rankloom.operators import rolling_state as rs
+from rankloom.plans import general
 
 DAY = date(2025, 3, 1)
 
@@ -63,3 +64,25 @@ def test_corrections_touch_only_their_dates(spark):
     assert {k: v for k, v in got.items() if k[0] == "new"} == {("new", DAY + timedelta(i)): (1, 1, 1) for i in (38, 39)}
     assert sorted(k[1] for k, v in got.items() if v[2] == 2) == [DAY + timedelta(i) for i in range(5, 35)]
     assert rows(rs.correct(before, spark.createDataFrame([], "key string, day date, amount long"), last)) == rows(before)
+
+
+def test_late_amounts_correct_an_earlier_state(spark):
+    r = random.Random(4)
+    data = [(r.choice("abc"), DAY + timedelta(r.randrange(-5, 40)), a, r.randrange(a + 1) if r.random() < 0.2 else 0) for a in (r.randrange(1, 5) for _ in range(60))]
+    df = spark.createDataFrame([*data, ("only late", DAY + timedelta(9), 3, 3), (None, DAY, 1, 1), ("a", DAY, 1, None)], "key string, day date, amount long, late long")
+    last = str(DAY + timedelta(39))
+    got = rs.corrected_state(df, str(DAY), last)
+    want = rs.rolling_state(df.fillna(0, ["late"]), str(DAY), last)
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+def test_query_corrects_by_late_clicks(spark, monkeypatch):
+    seen = []
+    real = rs.correct
+    monkeypatch.setattr(rs, "correct", lambda states, late, *a: seen.append((states, late)) or real(states, late, *a))
+    after = {(r["article_id"], r["click_day"]): r for r in general.p2_rolling(spark, "/root/testdata/sf0.001").collect()}
+    (states, late), = seen
+    before = {(r["key"], str(r["day"])): r for r in states.collect()}
+    assert late.count() and before.keys() == after.keys() and {r["version"] for r in before.values()} == {1}
+    changed = {k for k, r in after.items() if (r["c7"], r["c30"]) != (before[k]["c7"], before[k]["c30"])}
+    assert changed and all(after[k]["version"] == 2 for k in changed)
