@@ -274,7 +274,7 @@ def poisson_ci(spark, folder):
     """As bootstrap_ci, by distributed Poisson resampling."""
     per = _models(spark, folder)
     rows = per.select("model", "impression_id", F.col("auc").alias("value"))
-    return bootstrap.poisson_intervals(rows, ["model"], ["impression_id"], iterations=200)
+    return bootstrap.poisson_intervals(rows, ["model"], ["impression_id"])
 
 
 # --- beyond accuracy --------------------------------------------------------------------------------------------
@@ -386,22 +386,22 @@ def _fit_and_test(spark, folder) -> tuple[DataFrame, DataFrame]:
 def gbt_scores(spark, folder):
     """Clicks predicted for later slates by trees fitted on earlier ones."""
     train, test = _fit_and_test(spark, folder)
-    scored = ranker.score(ranker.fit(train, ranker.SKEW_RESISTANT, iterations=5), test, ranker.SKEW_RESISTANT)
+    scored = ranker.score(ranker.fit(train, ranker.SKEW_RESISTANT), test, ranker.SKEW_RESISTANT)
     return scored.select("impression_id", "pos", "label", "gbt")
 
 
 def importance(spark, folder):
     """Loss of AUC per shuffled feature."""
     train, test = _fit_and_test(spark, folder)
-    model = ranker.fit(train, ranker.SKEW_RESISTANT, iterations=3)
-    return ranker.permutation_importance(model, test, ranker.SKEW_RESISTANT, repeats=1)
+    model = ranker.fit(train, ranker.SKEW_RESISTANT)
+    return ranker.permutation_importance(model, test, ranker.SKEW_RESISTANT)
 
 
 def feature_ablation(spark, folder):
     """The ranker with and without the size of the slate."""
     train, test = _fit_and_test(spark, folder)
     sets = {"with slate_size": ranker.SKEW_RESISTANT, "without slate_size": [f for f in ranker.SKEW_RESISTANT if f != "slate_size"]}
-    return ranker.compare_features(train, test, sets, SLATE, iterations=3)
+    return ranker.compare_features(train, test, sets, SLATE)
 
 
 # --- submissions ------------------------------------------------------------------------------------------------
