@@ -345,8 +345,8 @@ def slate_cosine(spark, folder):
 
 
 def latent_vectors(spark, folder):
-    got, explained = vectors.latent_vectors(_texts(spark, folder).withColumn("body", join_fields("title", "abstract")), "article_id", F.col("body"), components=64)
-    return got.select("id", F.round(norm(F.col("v")), 6).alias("norm"), F.lit(explained).alias("explained"))
+    got, explained = vectors.latent_vectors(_texts(spark, folder).withColumn("body", join_fields("title", "abstract")), "article_id", F.col("body"))
+    return got.select("id", "v", F.lit(explained).alias("explained"))
 
 
 # --- learned ranker ---------------------------------------------------------------------------------------------
