@@ -10,7 +10,7 @@ produce versions of another; the matched values stand side by side in the event'
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import UTC
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,19 +28,25 @@ def change_histories(
     """One history per attribute: (entity, attribute, known_from, rank STRUCT, value STRING).
 
     Exact duplicate rows change nothing. Rows with a null entity, valid or recorded time never count. A null
-    attribute value is a value: it says the attribute was empty from then on.
+    attribute value is a value: it says the attribute was empty from then on. A row is kept only where it changes what
+    is known: it must outrank all rows known before it, and its value must differ from the one that held until then.
+    So an attribute that stays while others change has no rows for their updates.
     """
     rank = F.struct(F.col(valid).alias("valid"), F.col(recorded).alias("recorded"), F.col(version).alias("version"))
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]))
-    return (
+    rows = (
         versions.where(F.col(entity).isNotNull() & F.col(valid).isNotNull() & F.col(recorded).isNotNull())
         .select(F.col(entity).alias("entity"), F.greatest(valid, recorded).alias("known_from"), rank.alias("rank"), each.alias("c"))
         .select("entity", "c.attribute", "known_from", "rank", "c.value")
     )
+    line = Window.partitionBy("entity", "attribute").orderBy("known_from", "rank", "value")
+    held = F.max(F.struct("rank", "value")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    changes = F.col("held").isNull() | ((F.struct("rank", "value") > F.col("held")) & ~F.col("value").eqNullSafe(F.col("held.value")))
+    return rows.withColumn("held", held).where(changes).drop("held")
 
 
 def as_known(
-    events: DataFrame, versions: DataFrame, entity: str, time: str, attributes: Sequence[str], *, keys: list | None = None,
+    events: DataFrame, versions: DataFrame, entity: str, time: str, attributes: Sequence[str], *, keys: list | None = None, span: tuple[datetime, datetime] | None = None,
     valid: str = "valid_from", recorded: str = "recorded_time", version: str = "version_no",
 ) -> DataFrame:
     """``events`` with each attribute of ``versions`` as known at ``time``: columns known_<attribute> and has_<attribute>.
@@ -51,7 +57,8 @@ def as_known(
 
     Events and changes are united, sorted by time within the entity and carried forward; there is no range join,
     and events are not multiplied by the number of attributes. Entities that hold a large share of the events are cut into hourly buckets, and every bucket starts
-    with the change that held when it began, so no task receives all events of one entity.
+    with the change that held when it began, so no task receives all events of one entity. ``keys`` are those
+    entities and ``span`` the first and last moment of the events; where they are given, events are read once.
     """
     attributes = list(attributes)
     history = change_histories(versions, entity, attributes, valid, recorded, version)
@@ -65,9 +72,9 @@ def as_known(
     if hot:
         heavy = changes.where(F.col("entity").isin(hot)).withColumn("bucket", bucket)
         parts = [own.where(~F.col("entity").isin(hot)), heavy]
-        span = events.where(F.col(entity).isin(hot)).agg(F.min(time).alias("t0"), F.max(time).alias("t1")).first()
-        if span["t0"] is not None:
-            b0, b1 = (int(span[x].replace(tzinfo=UTC).timestamp() // BUCKET_S) for x in ("t0", "t1"))
+        ends = events.where(F.col(entity).isin(hot)).agg(F.min(time), F.max(time)).first() if span is None else span
+        if ends[0] is not None:
+            b0, b1 = (int(x.replace(tzinfo=UTC).timestamp() // BUCKET_S) for x in ends)
             line = Window.partitionBy("entity", "attribute").orderBy("t")
             upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
             held = heavy.select("entity", "attribute", "bucket", F.max("state").over(upto).alias("state"), F.lead("bucket").over(line).alias("next"))

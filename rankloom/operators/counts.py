@@ -64,61 +64,51 @@ def asof_counts(events: DataFrame, asked: DataFrame, entity: str, time: str, win
     """``asked`` with, per measure and window, how many events of its entity lie in [time - window, time).
 
     ``events`` has the entity, the time and the measures' 0/1 (or count) columns; ``windows`` maps a name to
-    seconds, None for all earlier events; ``measures`` maps a prefix to an event column (default: one measure that
-    counts rows). Columns are <prefix><window name>. An event at the very time does not count, one exactly a window
-    earlier does. Without events the counts are 0; so they are for a null entity or time.
-
-    Events are first added up per entity and moment. Entities with many rows are cut into day buckets: a bucket
-    holds the events of its day and of the day before, and the total of all earlier days is joined to it, so no task
-    sorts all rows of one entity. Windows must not exceed a day.
+    seconds of any number, None for all earlier events; ``measures`` maps a prefix to an event column (default: one
+    measure that counts rows). Columns are <prefix><window name>. An event at the very time does not count, one
+    exactly a window earlier does. Without events the counts are 0; so they are for a null entity or time.
+
+    A count is the difference of two running sums, up to the time and up to the window's start, so each row is
+    sorted once and a crowded window costs no more than an empty one. Entities with many rows are cut into day
+    buckets: a bucket also holds the events of as many earlier days as the longest window reaches, and the total of
+    all days before its own is joined to it, so no task sorts all rows of one entity. ``keys`` are those entities;
+    give them where ``asked`` comes out of a shuffle.
     """
     measures = dict(measures or {"n_": ""})
-    if any(w is not None and w > DAY_S for w in windows.values()):
-        raise ValueError("windows must not exceed one day")
-    amount = {p: F.sum(F.col(c) if c else F.lit(1)).cast("long") for p, c in measures.items()}
+    reach = max([-(-w // DAY_S) for w in windows.values() if w is not None], default=0)
     hot = heavy_keys(asked, entity) if keys is None else keys
-    rows = events.select(F.col(entity).alias("e"), F.col(time).alias("t"), *[F.col(c) for c in measures.values() if c]).where("e IS NOT NULL AND t IS NOT NULL")
-    moments = rows.groupBy("e", "t").agg(*[a.alias(f"m{i}") for i, a in enumerate(amount.values())])
-    sums = [f"m{i}" for i in range(len(measures))]
-    day = F.floor(F.unix_micros(F.col("t").cast("timestamp")) / F.lit(DAY_S * 1_000_000)).cast("long")
     zero = F.lit(0).cast("long")
+    sums = [f"m{i}" for i in range(len(measures))]
+    amount = [(F.col(c) if c else F.lit(1)).cast("long").alias(m) for m, c in zip(sums, measures.values())]
+    micros = F.unix_micros(F.col(time).cast("timestamp")).alias("u")
+    rows = events.select(F.col(entity).alias("e"), micros, *amount).where("e IS NOT NULL AND u IS NOT NULL")
+    day = F.floor(F.col("u") / F.lit(DAY_S * 1_000_000)).cast("long")
     is_hot = F.col("e").isin(hot) if hot else F.lit(False)
-    copies = F.array(F.struct(day.alias("bucket"), F.lit(1).alias("own")), F.struct((day + 1).alias("bucket"), F.lit(0).alias("own")))
-    held = moments.select("e", "t", *sums, F.explode(F.when(is_hot, copies).otherwise(F.array(F.struct(zero.alias("bucket"), F.lit(1).alias("own"))))).alias("b")).select("e", "t", *sums, "b.*")
-    question = asked.select(F.col(entity).alias("e"), F.col(time).alias("t"), F.struct(*[F.col(f"`{c}`") for c in asked.columns]).alias("row"))
-    question = question.withColumn("bucket", F.when(is_hot, day).otherwise(zero))
+    question = asked.select(F.col(entity).alias("e"), micros, F.struct(*[F.col(f"`{c}`") for c in asked.columns]).alias("row"))
     if hot:
-        per_day = moments.where(is_hot).groupBy("e", day.alias("bucket")).agg(*[F.sum(s).alias(s) for s in sums])
+        copies = F.array(*[F.struct((day + i).alias("bucket"), F.lit(int(i == 0)).alias("own")) for i in range(reach + 1)])
+        once = F.array(F.struct(zero.alias("bucket"), F.lit(1).alias("own")))
+        held = rows.select("e", "u", *sums, F.explode(F.when(is_hot, copies).otherwise(once)).alias("b")).select("e", "u", *sums, "b.*")
+        question = question.withColumn("bucket", F.when(is_hot, day).otherwise(zero))
+        per_day = rows.where(is_hot).groupBy("e", day.alias("bucket")).agg(*[F.sum(s).alias(s) for s in sums])
         line = Window.partitionBy("e").orderBy("bucket")
         upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         spans = per_day.select("e", (F.col("bucket") + 1).alias("lo"), F.lead("bucket").over(line).alias("hi"), *[F.sum(s).over(upto).alias(f"c{s}") for s in sums])
-        # one row per heavy entity and span between its active days: at most MAX_HEAVY * days of the log
+        # one row per heavy entity and span between its active days: at most heavy keys * days of the log
         question = question.join(F.broadcast(spans.withColumnRenamed("e", "he")), (F.col("e") == F.col("he")) & (F.col("bucket") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("bucket") <= F.col("hi"))), "left")
-        question = question.select("e", "t", "row", "bucket", *[F.coalesce(f"c{s}", zero).alias(f"c{s}") for s in sums])
+        question = question.select("e", "u", "row", "bucket", *[F.coalesce(f"c{s}", zero).alias(f"c{s}") for s in sums])
     else:
-        question = question.select("*", *[zero.alias(f"c{s}") for s in sums])
-    # One row per asked moment: the time itself and the start of each window. Counts are differences of running sums,
-    # so a crowded window costs no more than an empty one.
-    starts = [None, *[n for n, w in windows.items() if w is not None]]
-    moment = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), (F.col("t") - F.expr(f"INTERVAL {windows[n] if n else 0} SECONDS")).alias("at")) for j, n in enumerate(starts)]))
-    points = question.withColumn("id", F.monotonically_increasing_id()).select("e", "bucket", "id", "row", *[f"c{s}" for s in sums], moment.alias("p"))
-    points = points.select("e", "bucket", "id", F.when(F.col("p.j") == 0, F.col("row")).alias("row"), *[f"c{s}" for s in sums], F.col("p.j").alias("j"), F.col("p.at").alias("t"), F.lit(0).alias("kind"))
-    both = held.withColumn("kind", F.lit(1)).unionByName(points, allowMissingColumns=True)
-    upto = Window.partitionBy("e", "bucket").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = both.select("*", *[F.coalesce(F.sum(s).over(upto), zero).alias(f"r{s}") for s in sums], *[F.coalesce(F.sum(F.col(s) * F.col("own")).over(upto), zero).alias(f"o{s}") for s in sums])
-    at = lambda c, j: F.max(F.when(F.col("j") == j, F.col(c)))
-    # All points of a row are in one partition of the window, so this grouping needs no shuffle.
-    wide = run.where("kind = 0").groupBy("e", "bucket", "id").agg(
-        F.first("row", ignorenulls=True).alias("row"), F.max(F.when(F.col("j") == 0, F.col("t"))).alias("t"), *[F.max(f"c{s}").alias(f"c{s}") for s in sums],
-        *[at(f"o{s}", 0).alias(f"o{s}") for s in sums], *[at(f"r{s}", j).alias(f"r{s}_{j}") for s in sums for j in range(len(starts))],
-    )
-    known = F.col("e").isNotNull() & F.col("t").isNotNull()
+        held = rows.select("*", zero.alias("bucket"), F.lit(1).alias("own"))
+        question = question.select("e", "u", "row", zero.alias("bucket"), *[zero.alias(f"c{s}") for s in sums])
+    both = held.unionByName(question, allowMissingColumns=True)
+    line = Window.partitionBy("e", "bucket").orderBy("u")
+    before = lambda column, seconds: F.coalesce(F.sum(column).over(line.rangeBetween(Window.unboundedPreceding, -1 - seconds * 1_000_000)), zero)
     out = []
     for s, prefix in zip(sums, measures):
         for name, seconds in windows.items():
-            count = F.col(f"o{s}") + F.col(f"c{s}") if seconds is None else F.col(f"r{s}_0") - F.col(f"r{s}_{starts.index(name)}")
-            out.append(F.when(known, count).otherwise(zero).alias(f"{prefix}{name}"))
-    return wide.select("row.*", *out)
+            count = before(F.col(s) * F.col("own"), 0) + F.coalesce(f"c{s}", zero) if seconds is None else before(F.col(s), 0) - before(F.col(s), seconds)
+            out.append(F.when(F.col("e").isNotNull() & F.col("u").isNotNull(), count).otherwise(zero).alias(f"{prefix}{name}"))
+    return both.select("row", *out).where("row IS NOT NULL").select("row.*", *[f"{p}{n}" for p in measures for n in windows])
 
 
 def rate(clicks: str, views: str, prior: float = CTR_PRIOR):

@@ -7,27 +7,46 @@ ordinary shuffle by key. The two results are united.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most keys that are ever treated as heavy: the bound of every broadcast made here.
-MAX_HEAVY = 64
-#: Counters of the sketch; its error is below rows / SKETCH_SLOTS.
-SKETCH_SLOTS = 4096
-#: Share of the rows from which on a key is heavy.
+#: Share of the rows from which on a key is heavy, where there are few shuffle partitions.
 HEAVY_SHARE = 0.005
+#: Smallest share, whatever the number of partitions: 1 / LEAST_SHARE keys bound every broadcast made here.
+LEAST_SHARE = 0.0001
+#: Counters of the sketch per key that can be heavy; its error is below share / SLOTS_PER_KEY of the rows.
+SLOTS_PER_KEY = 20
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE, most: int = MAX_HEAVY) -> list:
-    """The keys that hold at least ``share`` of the non-null rows, at most ``most``; an empty table has none."""
+def heavy_share(spark: SparkSession) -> float:
+    """Half of a shuffle partition's share of the rows: a key beyond it makes its task stand out on this cluster."""
+    return max(LEAST_SHARE, min(HEAVY_SHARE, 0.5 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
+def heavy_keys(df: DataFrame, key: str, share: float | None = None) -> list:
+    """The keys that hold at least ``share`` (by default ``heavy_share``) of the non-null rows; an empty table has none.
+
+    At most 1 / share keys can. The sketch's size follows the share and is bounded by LEAST_SHARE, so a task sends a
+    bounded sketch however many keys it reads. Give raw columns, so that nothing but the key is scanned for it.
+    """
+    share = heavy_share(df.sparkSession) if share is None else max(share, LEAST_SHARE)
+    most = int(1 / share) + 1
     row = (
         df.where(F.col(key).isNotNull())
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {most}, {SKETCH_SLOTS})").alias("top"))
+        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(`{key}`, {most}, {SLOTS_PER_KEY * most})").alias("top"))
         .first()
     )
     return sorted(x["item"] for x in row["top"] or [] if x["count"] >= max(2, share * row["n"]))
 
 
+def heaviest(counts: DataFrame, key: str, count: str, share: float | None = None) -> list:
+    """As ``heavy_keys``, exactly, from a table that has every key's number of rows already."""
+    share = heavy_share(counts.sparkSession) if share is None else max(share, LEAST_SHARE)
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    # at most 1 / share keys hold that share of the total
+    return sorted(r[0] for r in counts.where(F.col(key).isNotNull() & (F.col(count) >= max(2, share * total))).select(key).collect())
+
+
 def mark_heavy(df: DataFrame, key: str, keys: list, name: str = "is_heavy") -> DataFrame:
     """Adds a boolean column: whether the row's key is one of ``keys``, by broadcast join with that bounded list."""
     if not keys:
@@ -97,13 +116,16 @@ def key_totals(df: DataFrame, key: str, member: str, time: str, keys: list | Non
 def join_on_skewed_key(left: DataFrame, right: DataFrame, key: str, keys: list | None = None, how: str = "left") -> DataFrame:
     """Join of a large, skewed ``left`` with ``right``, which has at most one row per key.
 
-    Heavy keys of ``left`` meet a broadcast of only their rows of ``right`` (at most ``MAX_HEAVY``); the others
-    take an ordinary shuffle join. ``how`` is left or inner.
+    Heavy keys of ``left`` meet a broadcast of only their rows of ``right`` (at most 1 / LEAST_SHARE); the others
+    take an ordinary shuffle join. ``how`` is left or inner. The list of keys is fixed once and splits both sides, so
+    a row of ``left`` meets its row of ``right`` whichever keys the sketch names. Give ``keys`` where ``left`` comes
+    out of a shuffle, so that finding them does not run that again.
     """
+    keys = heavy_keys(left, key) if keys is None else keys
     light, heavy = split_heavy(left, key, keys)
     out = light.join(right, key, how)
     if heavy is not None:
-        few = mark_heavy(right, key, keys if keys is not None else heavy_keys(left, key)).where("is_heavy").drop("is_heavy")
+        few = mark_heavy(right, key, keys).where("is_heavy").drop("is_heavy")
         out = out.unionByName(heavy.join(F.broadcast(few), key, how))
     return out
 

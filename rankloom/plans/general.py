@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from rankloom.operators import asof_attributes, feature_table, heavy, rolling_st
 from rankloom.sources.tables import click_rows, clicks, in_log, table
 
 FIRST_DAY, LAST_DAY = "2025-02-01", "2025-04-11"
+#: First and last moment an event can have.
+LOG_SPAN = (datetime(2025, 2, 1), datetime(2025, 4, 12))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,15 +55,19 @@ def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The version of the clicked article that held, and was known, at every click."""
-    rows = clicks(table(spark, folder, "behaviors")).select("impression_id", "article_id", "impression_time")
-    known = asof_attributes.as_known(rows, table(spark, folder, "article_versions"), "article_id", "impression_time", ["version_no"])
+    log = table(spark, folder, "behaviors")
+    rows = clicks(log).select("impression_id", "article_id", "impression_time")
+    hot = heavy.heavy_keys(click_rows(log), "article_id")
+    known = asof_attributes.as_known(rows, table(spark, folder, "article_versions"), "article_id", "impression_time", ["version_no"], keys=hot, span=LOG_SPAN)
     return known.where("has_version_no").select("impression_id", "article_id", F.col("known_version_no").alias("version_no"))
 
 
 def p4_attributes(spark: SparkSession, folder: str) -> DataFrame:
     """Every click with category and premium flag of its article as known then."""
-    rows = clicks(table(spark, folder, "behaviors")).select("impression_id", "user_id", "article_id", "impression_time")
-    known = asof_attributes.as_known(rows, table(spark, folder, "article_versions"), "article_id", "impression_time", ["category_str", "premium"])
+    log = table(spark, folder, "behaviors")
+    rows = clicks(log).select("impression_id", "user_id", "article_id", "impression_time")
+    hot = heavy.heavy_keys(click_rows(log), "article_id")
+    known = asof_attributes.as_known(rows, table(spark, folder, "article_versions"), "article_id", "impression_time", ["category_str", "premium"], keys=hot, span=LOG_SPAN)
     return known.select("impression_id", "user_id", "article_id", "impression_time", "known_category_str", "known_premium", F.col("has_premium").alias("known"))
 
 
@@ -72,15 +80,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return events.where(enough & recent).select("user_id", "event_type")
 
 
-#: Event types that get columns of their own in p7_features.
-WIDE_TYPES = tuple(f"{e}:{k}" for e in ("view", "click") for k in ("bil", "debat", "mad", "nyheder", "bolig_live", "mad_live", "viden_podcast", "kultur_live", "sport_quiz", "none"))
-
-
 def p7_features(spark: SparkSession, folder: str) -> DataFrame:
-    """One wide feature row per reader, with columns for WIDE_TYPES only; p7_reader_rows has every type."""
+    """One wide feature row per reader, with columns for every event type there can be."""
     log = in_log(table(spark, folder, "behaviors"))
-    events, _ = feature_table.entity_events(log, feature_table.article_types(table(spark, folder, "articles")))
-    return feature_table.wide_rows(events, WIDE_TYPES, "2025-04-12 00:00:00")
+    lookup = feature_table.article_types(table(spark, folder, "articles"))
+    events, _ = feature_table.entity_events(log, lookup)
+    return feature_table.wide_rows(events, feature_table.event_types(lookup), "2025-04-12 00:00:00")
 
 
 def p7_reader_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,13 +139,12 @@ SELECT article_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY artic
     "p4_attributes": _known("impression_id, user_id, article_id, impression_time, category_str AS known_category_str, premium AS known_premium, hit IS NOT NULL AS known FROM m WHERE rn = 1"),
     "p7_found": f"""{_EVENTS} SELECT user_id, event_type FROM feat
   WHERE n >= CASE WHEN event_type LIKE 'view:%' THEN 6 ELSE 3 END AND last_time >= TIMESTAMP '2025-04-05'""",
-    "p7_features": f"{_EVENTS} SELECT user_id, "
-    + ", ".join(
-        f"CAST(coalesce(sum(n) FILTER (WHERE event_type = '{t}'), 0) AS BIGINT) AS \"n_{t.replace(':', '_')}\", "
-        f"(epoch_us(TIMESTAMP '2025-04-12') - epoch_us(max(last_time) FILTER (WHERE event_type = '{t}'))) / 86400000000.0::DOUBLE AS \"days_since_{t.replace(':', '_')}\""
-        for t in WIDE_TYPES
-    )
-    + ", CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY user_id",
+    "p7_features": f"""{_EVENTS},
+types AS (SELECT e || kind AS event_type FROM (SELECT DISTINCT kind FROM kinds UNION SELECT 'none'), (SELECT unnest(['view:', 'click:']) AS e)),
+who AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY 1),
+grid AS (SELECT w.user_id, replace(t.event_type, ':', '_') AS stem, coalesce(f.n, 0) AS n, (epoch_us(TIMESTAMP '2025-04-12') - epoch_us(f.last_time)) / 86400000000.0::DOUBLE AS days
+  FROM who w CROSS JOIN types t LEFT JOIN feat f ON f.user_id = w.user_id AND f.event_type = t.event_type)
+SELECT * FROM (PIVOT grid ON stem USING CAST(sum(n) AS BIGINT) AS n, max(days) AS days GROUP BY user_id) JOIN who USING (user_id)""",
     "p7_reader_rows": f"""{_EVENTS} SELECT user_id, list(event_type ORDER BY event_type) AS event_types, list(n ORDER BY event_type) AS counts,
   list(last_time ORDER BY event_type) AS last_times, CAST(sum(n) AS BIGINT) AS n_all, count(*) AS n_types, max(last_time) AS last_time FROM feat GROUP BY user_id""",
 }

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import STOPWORDS, field_tokens, join_fields
 from rankloom.functions.vectors import norm, usable
 from rankloom.operators import beyond_accuracy, bootstrap, counts, lexical, ranker, ranking, splits, submission, vectors
+from rankloom.operators.heavy import heavy_keys
 from rankloom.plans.general import _LOG
-from rankloom.sources.tables import article_texts, candidate_rows, clicks, impressions, labels_of, publish_times, recent_history, table
+from rankloom.sources.tables import article_texts, candidate_rows, clicks, impressions, in_log, labels_of, publish_times, recent_history, table
 
 CUTOFF = "2025-03-15 00:00:00"
 KEY = ("impression_id", "user_id", "ts")
@@ -114,7 +115,12 @@ def _events(spark, folder) -> DataFrame:
 
 def _rolling(spark, folder) -> DataFrame:
     rows = _labelled(spark, folder)
-    return counts.asof_counts(rows.select("article_id", "ts", "label"), rows, "article_id", "ts", HOURS, {"clicks_": "label", "views_": ""})
+    return counts.asof_counts(rows.select("article_id", "ts", "label"), rows, "article_id", "ts", HOURS, {"clicks_": "label", "views_": ""}, _hot_candidates(spark, folder))
+
+
+def _hot_candidates(spark, folder) -> list:
+    """Articles that hold a large share of all candidates, found on the raw lists."""
+    return heavy_keys(in_log(table(spark, folder, "behaviors")).select(F.explode("article_ids_inview").alias("article_id")), "article_id")
 
 
 def rolling_counts(spark, folder):
@@ -124,18 +130,18 @@ def rolling_counts(spark, folder):
 
 def rolling_ctr(spark, folder):
     rows = _rolling(spark, folder)
-    return rows.select(*KEY, "pos", F.round(counts.rate("clicks_all", "views_all"), 6).alias("ctr_all"), F.round(counts.rate("clicks_24h", "views_24h"), 6).alias("ctr_24h"))
+    return rows.select(*KEY, "pos", counts.rate("clicks_all", "views_all").alias("ctr_all"), counts.rate("clicks_24h", "views_24h").alias("ctr_24h"))
 
 
 def frozen_counts(spark, folder):
     per = _labelled(spark, folder).groupBy("article_id").agg(F.sum("label").alias("clicks"), F.count("*").alias("views"))
-    return per.select("article_id", "clicks", "views", F.round(counts.rate("clicks", "views"), 6).alias("ctr"))
+    return per.select("article_id", "clicks", "views", counts.rate("clicks", "views").alias("ctr"))
 
 
 def category_affinity(spark, folder):
     pairs = _impressions(spark, folder).where("user_id <> 0").select("user_id", F.explode("candidates").alias("article_id"))
     got = ranker.category_affinity(pairs, _history(spark, folder), _categories(spark, folder), "user_id")
-    return got.select("user_id", "article_id", F.round("cat_affinity", 6).alias("cat_affinity"))
+    return got.select("user_id", "article_id", "cat_affinity")
 
 
 def article_age(spark, folder):
@@ -146,7 +152,7 @@ def article_age(spark, folder):
 def zero_fraction(spark, folder):
     rows = _slates(spark, folder)
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in ("bm25", "semantic", "pop_total")]))
-    return rows.select(each.alias("x")).groupBy("x.feature").agg(F.round(F.avg((F.col("x.v") == 0).cast("double")), 6).alias("zero_fraction"))
+    return rows.select(each.alias("x")).groupBy("x.feature").agg(F.avg((F.col("x.v") == 0).cast("double")).alias("zero_fraction"))
 
 
 # --- text -------------------------------------------------------------------------------------------------------
@@ -515,17 +521,17 @@ SELECT per.*, coalesce(len(ids), 0)::INT AS history_len, {_CUT} AS cutoff FROM p
 SELECT CASE WHEN ts < t - INTERVAL 1 DAY THEN 'train' WHEN ts < t THEN 'val' ELSE 'test' END AS split, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM imp, e GROUP BY 1""",
     "history_tail": f"WITH {_HIST} SELECT user_id, array_to_string(ids[-5:], ',') AS last_five FROM hist",
     "rolling_counts": f"WITH {_IMP}, {_ROLLED} SELECT impression_id, user_id, ts, pos, {', '.join(f'{m}_{w}' for m in ('clicks', 'views') for w in HOURS)} FROM rolled",
-    "rolling_ctr": f"""WITH {_IMP}, {_ROLLED} SELECT impression_id, user_id, ts, pos, round(CASE WHEN views_all = 0 THEN 0 ELSE clicks_all / (views_all + 10.0::DOUBLE) END, 6) AS ctr_all,
-  round(CASE WHEN views_24h = 0 THEN 0 ELSE clicks_24h / (views_24h + 10.0::DOUBLE) END, 6) AS ctr_24h FROM rolled""",
-    "frozen_counts": f"WITH {_IMP} SELECT article_id, sum(label)::BIGINT AS clicks, count(*) AS views, round(sum(label) / (count(*) + 10.0::DOUBLE), 6) AS ctr FROM lab GROUP BY 1",
+    "rolling_ctr": f"""WITH {_IMP}, {_ROLLED} SELECT impression_id, user_id, ts, pos, CASE WHEN views_all = 0 THEN 0 ELSE clicks_all / (views_all + 10.0::DOUBLE) END AS ctr_all,
+  CASE WHEN views_24h = 0 THEN 0 ELSE clicks_24h / (views_24h + 10.0::DOUBLE) END AS ctr_24h FROM rolled""",
+    "frozen_counts": f"WITH {_IMP} SELECT article_id, sum(label)::BIGINT AS clicks, count(*) AS views, sum(label) / (count(*) + 10.0::DOUBLE) AS ctr FROM lab GROUP BY 1",
     "category_affinity": f"""WITH {_IMP}, {_HIST}, {_CATS}, {_READERS},
 read AS (SELECT user_id, category, count(*) AS c FROM (SELECT user_id, unnest(ids) AS article_id FROM hist) JOIN cats USING (article_id) GROUP BY 1, 2),
 tot AS (SELECT user_id, sum(c) AS n FROM read GROUP BY 1)
-SELECT a.user_id, a.article_id, round(coalesce(c::DOUBLE / n, 0), 6) AS cat_affinity FROM asked a LEFT JOIN cats USING (article_id)
+SELECT a.user_id, a.article_id, coalesce(c::DOUBLE / n, 0) AS cat_affinity FROM asked a LEFT JOIN cats USING (article_id)
   LEFT JOIN read ON read.user_id = a.user_id AND read.category = cats.category LEFT JOIN tot ON tot.user_id = a.user_id""",
     "article_age": f"""WITH {_IMP}, pub AS (SELECT article_id, min(published_time) AS p FROM articles WHERE article_id IS NOT NULL GROUP BY 1)
 SELECT impression_id, user_id, ts, pos, coalesce((epoch_us(ts) - epoch_us(p)) / 3600000000.0::DOUBLE, -1) AS age_hours FROM lab LEFT JOIN pub USING (article_id)""",
-    "zero_fraction": f"WITH {_SLATES} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(avg(CASE WHEN {c} = 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS zero_fraction FROM slate" for c in ("bm25", "semantic", "pop_total")),
+    "zero_fraction": f"WITH {_SLATES} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, avg(CASE WHEN {c} = 0 THEN 1.0::DOUBLE ELSE 0 END) AS zero_fraction FROM slate" for c in ("bm25", "semantic", "pop_total")),
     "token_counts": f"WITH {_WORDS} SELECT id AS article_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_terms FROM words",
     "index_stats": f"WITH {_WORDS} SELECT n::BIGINT AS documents, (SELECT count(*) FROM dfs) AS unique_terms, (SELECT count(*) FROM post) AS postings, round(avgdl, 2) AS avgdl FROM coll",
     "idf_lucene": f"WITH {_WORDS} SELECT term, df, round(idf, 6) AS idf FROM luc",

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +11,19 @@ NEWS_COLUMNS = "news_id STRING, category STRING, subcategory STRING, title STRIN
 TIME_FORMAT = "M/d/yyyy h:mm:ss a"
 
 
-def split_folder(root: str | Path, name: str) -> Path:
-    """Folder of a split: root/name/name, root/name or root, whichever holds a behaviours file first."""
-    root = Path(root)
-    tried = [root / name / name, root / name, root]
-    for folder in tried:
-        if (folder / "behaviors.tsv").is_file():
-            return folder
-    raise FileNotFoundError(f"no behaviors.tsv in {', '.join(map(str, tried))}")
+def split_folder(spark: SparkSession, root: str, name: str, file: str = "behaviors.tsv") -> str:
+    """Path of the folder that holds a split's behaviours file: the split's own, however deep, else the root itself.
+
+    One listing by Hadoop's file system, so any store that Spark reads works. Of several folders of the split's name
+    the deepest wins, of equally deep ones the first by name.
+    """
+    base = spark._jvm.org.apache.hadoop.fs.Path(str(root))
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    shape = spark._jvm.org.apache.hadoop.fs.Path(base, f"{{{name}/{name}/,{name}/,}}{file}")
+    found = [s.getPath().getParent() for s in system.globStatus(shape) or []]
+    if not found:
+        raise FileNotFoundError(f"split {name!r}: {root} holds no {file}")
+    return min(found, key=lambda p: (-p.depth(), p.toString())).toString()
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,17 +61,28 @@ def history_ids(column: str = "history") -> Column:
     return F.filter(F.split(F.coalesce(F.col(column), F.lit("")), " "), lambda x: x != "")
 
 
+def bare_candidates(column: str = "impressions") -> Column:
+    """Ids of candidates without labels, in order, as they stand."""
+    return history_ids(column)
+
+
+def _labelled(x: Column) -> Column:
+    """The candidate itself if it ends in -0 or -1; anything else raises."""
+    return F.when(x.rlike("^.+-[01]$"), x).otherwise(F.raise_error(F.concat(F.lit("a candidate without label: "), x)))
+
+
 def candidates(column: str = "impressions") -> Column:
-    """Ids of labelled or bare candidates, in order."""
-    return F.transform(history_ids(column), lambda x: F.regexp_replace(x, "-[01]$", ""))
+    """Ids of labelled candidates, in order; an id without -0 or -1 raises."""
+    return F.transform(history_ids(column), lambda x: F.regexp_replace(_labelled(x), "-[01]$", ""))
 
 
 def labels(column: str = "impressions") -> Column:
-    """0/1 labels of labelled candidates, aligned with them; a bare id has none and raises."""
-    return F.transform(history_ids(column), lambda x: F.substring(x, -1, 1).cast("int"))
+    """0/1 labels of labelled candidates, aligned with them; an id without -0 or -1 raises."""
+    return F.transform(history_ids(column), lambda x: F.right(_labelled(x), F.lit(1)).cast("int"))
 
 
 def impressions(behaviors: DataFrame, labelled: bool = True) -> DataFrame:
-    """(impression_id, user_id, ts, history_ids, candidates[, labels])."""
-    columns = [F.col("impression_id"), F.col("user_id"), parsed_time().alias("ts"), history_ids().alias("history_ids"), candidates().alias("candidates")]
-    return behaviors.select(*columns, *([labels().alias("labels")] if labelled else []))
+    """(impression_id, user_id, ts, history_ids, candidates[, labels]); without labels ids are taken as they stand."""
+    columns = [F.col("impression_id"), F.col("user_id"), parsed_time().alias("ts"), history_ids().alias("history_ids")]
+    more = [candidates().alias("candidates"), labels().alias("labels")] if labelled else [bare_candidates().alias("candidates")]
+    return behaviors.select(*columns, *more)
