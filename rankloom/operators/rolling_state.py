@@ -1,129 +1,164 @@
 """Rolling totals over trailing periods, kept as versioned daily state.
 
 The state of a day is yesterday's totals, plus today's arrivals, minus the amounts that leave each period:
-``total(d) = total(d-1) + amount(d) - amount(d-w)``. ``advance_day`` applies one such step as a join and is what a
-daily job runs. ``rolling_state`` applies the same step over a whole range of days: arrivals and expiring amounts
-become signed changes, and a running sum over an entity's few changes is its state on every day. Late amounts are
-corrections: they touch the days d .. d+w-1 only, and the rows of those days carry the higher version;
-``corrected_state`` makes the state of the amounts in time first and corrects it by the late ones.
+``total(d) = total(d-1) + amount(d) - amount(d-w)``. A ``StateStore`` is a folder of two tables, written a batch of
+days at a time and sorted by day: daily amounts, and states with a version. ``advance`` joins the stored state of the day before with the arrivals and
+the expiring amounts, and reads no other day; a daily job calls it for one day, a backfill for blocks of days. Late
+amounts are corrections: ``correct`` recomputes the dates they reach, d .. d+w-1, and stores these rows with the next
+version. The highest version of a row holds; older ones stay readable.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WINDOWS = (7, 30)
+#: Days that a backfill advances at a time.
+BLOCK_DAYS = 35
 
-def rolling_state(amounts: DataFrame, first_day: str, last_day: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """State of every key on every day of [first_day, last_day]: (key, day, c<w>..., mean<w>..., version).
 
-    ``amounts`` has (key, day DATE, amount BIGINT, late BIGINT: how much of it arrived after its day was closed).
-    Several rows of one key and day add up. Rows with a null key, day or amount are left out; amounts before
-    first_day count as long as a period still holds them; a key appears on all days once it appears at all, with
-    zeros where nothing happened. version is 2 where a correction entered the longest period, else 1.
-    """
-    rows = amounts.select(
-        "key", F.col("day").cast("date").alias("day"), F.col("amount").cast("long").alias("amount"), F.coalesce(F.col("late").cast("long"), F.lit(0).cast("long")).alias("late")
-    ).dropna()
-    start, end = F.lit(first_day).cast("date"), F.lit(last_day).cast("date")
-    daily = rows.where(F.col("day") <= end).groupBy("key", "day").agg(F.sum("amount").alias("amount"), F.sum("late").alias("late"))
-    names = [f"d{w}" for w in windows] + ["dl"]
-    zero = F.struct(start.alias("day"), *[F.lit(0).cast("long").alias(n) for n in names])
-    by_key = daily.repartition("key")  # one shuffle for the grouping and the running sums
-    change = F.array(zero, *_change_structs(windows))
-    steps = (
-        by_key.select("key", F.explode(change).alias("c")).select("key", "c.*").groupBy("key", "day").agg(*[F.sum(n).alias(n) for n in names])
-    )
-    order = Window.partitionBy("key").orderBy("day")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    state = steps.select(
-        "key",
-        "day",
-        F.lead("day").over(order).alias("next_day"),
-        *[F.sum(f"d{w}").over(upto).alias(f"c{w}") for w in windows],
-        F.sum("dl").over(upto).alias("late"),
-    )
-    lo = F.greatest(F.col("day"), start)
-    hi = F.least(F.coalesce(F.date_sub("next_day", 1), end), end)
-    return state.where(lo <= hi).select(
-        "key",
-        F.explode(F.sequence(lo, hi)).alias("day"),
-        *[F.col(f"c{w}") for w in windows],
-        *[(F.col(f"c{w}") / F.lit(float(w))).alias(f"mean{w}") for w in windows],
-        F.when(F.col("late") > 0, 2).otherwise(1).alias("version"),
-    )
+def _day(d: str | date) -> date:
+    return d if isinstance(d, date) else date.fromisoformat(d)
 
 
-def _change_structs(windows: Sequence[int]) -> list:
-    """Columns: the arrival of a daily amount and its leaving of each period, as signed changes."""
-    longest = max(windows)
-    arrive = F.struct(F.col("day"), *[F.col("amount").alias(f"d{w}") for w in windows], F.col("late").alias("dl"))
-    leave = [
-        F.struct(
-            F.date_add("day", w).alias("day"),
-            *[(-F.col("amount") if v == w else F.lit(0).cast("long")).alias(f"d{v}") for v in windows],
-            (-F.col("late") if w == longest else F.lit(0).cast("long")).alias("dl"),
-        )
-        for w in windows
-    ]
-    return [arrive, *leave]
-
+def moves(amounts: DataFrame, first: str | date, last: str | date, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """(key, day, d<w>...): by how much each period's total changes on the days first .. last.
 
-def advance_day(state: DataFrame, history: DataFrame, day: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """The state (key, c<w>...) at the end of ``day`` from that of the day before.
-
-    ``history`` has the daily amounts (key, day, amount), today's included. Yesterday's totals are joined with
-    today's arrivals and with the amounts of day-w, which leave. A key on any side appears; missing sides are 0.
+    ``amounts`` is (key, day, amount). A day's amounts arrive on it and leave the period of w days w days later. Other
+    days' amounts are not used, so only these days and those w days before are read.
     """
-    today = F.lit(day).cast("date")
-    moved = history.where((F.col("day") == today) | F.array_contains(F.array(*[F.date_sub(today, w) for w in windows]), F.col("day")))
-    change = moved.groupBy("key").agg(
-        *[
-            F.sum(F.when(F.col("day") == today, F.col("amount")).when(F.col("day") == F.date_sub(today, w), -F.col("amount")).otherwise(F.lit(0))).alias(f"d{w}")
-            for w in windows
-        ]
-    )
-    joined = state.select("key", *[f"c{w}" for w in windows]).join(change, "key", "full")
+    first, last = _day(first), _day(last)
+    shifts = (0, *windows)
+    within = [F.col("day").between(F.lit(first - timedelta(s)), F.lit(last - timedelta(s))) for s in shifts]
+    needed = within[0]
+    for w in within[1:]:
+        needed = needed | w
+    each = F.array(*[F.when(i, F.struct(F.date_add("day", s).alias("at"), F.lit(s).alias("shift"))) for s, i in zip(shifts, within)])
+    rows = amounts.where(needed).select("key", "amount", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("m"))
+    change = lambda w: F.when(F.col("m.shift") == 0, F.col("amount")).when(F.col("m.shift") == w, -F.col("amount")).otherwise(F.lit(0))
+    return rows.groupBy("key", F.col("m.at").alias("day")).agg(*[F.sum(change(w)).alias(f"d{w}") for w in windows])
+
+
+def advance_days(state: DataFrame, amounts: DataFrame, first: str | date, last: str | date, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """(key, day, c<w>...) of the days first .. last from ``state`` (key, c<w>...), that of the day before ``first``.
+
+    The totals of the day before are joined with the days' arrivals and expiring amounts. A key on either side has a
+    row on every day; missing sides are 0. With first = last this is the step of one day.
+    """
+    first, last = _day(first), _day(last)
+    moved = moves(amounts, first, last, windows)
+    packed = moved.groupBy("key").agg(F.collect_list(F.struct("day", *[f"d{w}" for w in windows])).alias("moves"))  # at most one per day
     zero = F.lit(0).cast("long")
-    return joined.select("key", *[(F.coalesce(f"c{w}", zero) + F.coalesce(f"d{w}", zero)).alias(f"c{w}") for w in windows])
-
+    joined = state.select("key", *[f"c{w}" for w in windows]).join(packed, "key", "full")
+    days = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")
+    rows = joined.select("key", "moves", *[F.coalesce(f"c{w}", zero).alias(f"c{w}") for w in windows], days)
+    upto = lambda w: F.aggregate("moves", zero, lambda s, m: s + F.when(m["day"] <= F.col("day"), m[f"d{w}"]).otherwise(zero))
+    return rows.select("key", "day", *[(F.col(f"c{w}") + F.coalesce(upto(w), zero)).alias(f"c{w}") for w in windows])
 
-def correct(states: DataFrame, corrections: DataFrame, last_day: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """Stored states (key, day, c<w>..., version) after late amounts (key, day, amount) of the past.
 
-    Only the dates a correction reaches (its day and the longest period after it, up to ``last_day``) are
-    recomputed; their version rises by 1. All other rows pass through unchanged. A corrected key without a
-    state row on an affected date gets one with version 1.
-    """
-    end = F.lit(last_day).cast("date")
-    longest = max(windows)
+def reach(corrections: DataFrame, last: str | date, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """(key, day, d<w>...): the dates up to ``last`` that late amounts (key, day, amount) reach, and by how much."""
+    end = F.lit(_day(last))
     late = corrections.dropna(subset=["key", "day", "amount"]).groupBy("key", F.col("day").cast("date").alias("from_day")).agg(F.sum("amount").alias("amount"))
-    touched = (
+    return (
         late.where(F.col("from_day") <= end)
-        .withColumn("day", F.explode(F.sequence("from_day", F.least(F.date_add("from_day", longest - 1), end))))
+        .withColumn("day", F.explode(F.sequence("from_day", F.least(F.date_add("from_day", max(windows) - 1), end))))
         .groupBy("key", "day")
         .agg(*[F.sum(F.when(F.datediff("day", "from_day") < w, F.col("amount")).otherwise(F.lit(0))).alias(f"d{w}") for w in windows])
     )
-    zero = F.lit(0).cast("long")
-    hit = F.col(f"d{windows[0]}").isNotNull()
-    return states.join(touched, ["key", "day"], "full").select(
-        "key",
-        "day",
-        *[(F.coalesce(f"c{w}", zero) + F.coalesce(f"d{w}", zero)).alias(f"c{w}") for w in windows],
-        F.when(hit, F.coalesce("version", F.lit(0)) + 1).otherwise(F.col("version")).alias("version"),
-    )
 
 
-def corrected_state(amounts: DataFrame, first_day: str, last_day: str, windows: Sequence[int] = (7, 30)) -> DataFrame:
-    """State as ``rolling_state`` gives it, from the state of the amounts in time and ``correct`` for the late ones.
+@dataclass
+class StateStore:
+    """A folder with the tables ``amounts`` (key, day, amount) and ``states`` (key, day, c<w>..., version).
 
-    A key that only has late amounts is in the state with zeros before it is corrected.
+    ``key`` is the SQL type of the keys. The folder lies where all executors reach it; the caller removes it.
     """
-    rows = amounts.dropna(subset=["key", "day", "amount"]).withColumn("late", F.coalesce("late", F.lit(0).cast("long")))
-    in_time = rows.select("key", "day", (F.col("amount") - F.col("late")).alias("amount"), F.lit(0).cast("long").alias("late"))
-    late = rows.where(F.col("late") != 0).select("key", "day", F.col("late").alias("amount"))
-    states = rolling_state(in_time, first_day, last_day, windows).select("key", "day", *[f"c{w}" for w in windows], "version")
-    fixed = correct(states, late, last_day, windows).where(F.col("day") >= F.lit(first_day).cast("date"))
-    return fixed.select("key", "day", *[f"c{w}" for w in windows], *[(F.col(f"c{w}") / F.lit(float(w))).alias(f"mean{w}") for w in windows], "version")
+
+    spark: SparkSession
+    folder: str
+    key: str
+    windows: Sequence[int] = WINDOWS
+    last: date | None = None
+
+    @property
+    def _totals(self) -> list[str]:
+        return [f"c{w}" for w in self.windows]
+
+    def _write(self, df: DataFrame, name: str, batch: str) -> None:
+        # A batch is written as a whole, so a repeated job replaces its own. rebalance keeps a day's rows together but
+        # cuts those of a crowded day into several files; sorted rows let readers of one day skip the others.
+        df.hint("rebalance", F.col("day")).sortWithinPartitions("day").write.mode("overwrite").parquet(f"{self.folder}/{name}/batch={batch}")
+
+    def amounts(self) -> DataFrame:
+        """(key, amount, day) as stored; rows of one key and day add up."""
+        return self.spark.read.schema(f"key {self.key}, day date, amount bigint, batch string").parquet(f"{self.folder}/amounts").drop("batch")
+
+    def versions(self) -> DataFrame:
+        """(key, day, c<w>..., version): every stored row."""
+        totals = ", ".join(f"{c} bigint" for c in self._totals)
+        rows = self.spark.read.schema(f"key {self.key}, day date, {totals}, version int, batch string").parquet(f"{self.folder}/states")
+        return rows.select("key", "day", *self._totals, "version")
+
+    def states(self) -> DataFrame:
+        """(key, day, c<w>..., version): the rows that hold, those of the highest version."""
+        best = self.versions().groupBy("key", "day").agg(F.max(F.struct("version", *self._totals)).alias("s"))
+        return best.select("key", "day", *[f"s.{c}" for c in self._totals], "s.version")
+
+    def begin(self, amounts: DataFrame, before: str | date, keys: DataFrame | None = None) -> None:
+        """Stores daily amounts (key, day, amount) and the state of the day ``before``, from which advance goes on.
+
+        Rows with a null in them are left out; several rows of one key and day add up. The first state has all keys
+        of ``amounts`` and of ``keys`` (key), with what lies in their periods by then, mostly zeros.
+        """
+        before = _day(before)
+        rows = amounts.select("key", F.col("day").cast("date").alias("day"), F.col("amount").cast("long").alias("amount")).dropna()
+        self._write(rows.groupBy("key", "day").agg(F.sum("amount").alias("amount")), "amounts", "begin")
+        every = self.amounts()
+        held = [F.sum(F.when(F.col("day").between(F.lit(before - timedelta(w - 1)), F.lit(before)), F.col("amount")).otherwise(F.lit(0))).alias(f"c{w}") for w in self.windows]
+        more = every.select("key", "day", "amount")
+        if keys is not None:
+            more = more.unionByName(keys.select("key").dropna().withColumns({"day": F.lit(before), "amount": F.lit(0).cast("long")}))
+        self._write(more.groupBy("key").agg(*held).select("key", F.lit(before).alias("day"), *self._totals, F.lit(1).alias("version")), "states", "begin")
+        self.last = before
+
+    def advance(self, day: str | date, upto: str | date | None = None, arrivals: DataFrame | None = None) -> None:
+        """Stores the states of ``day``, or of the days from it up to ``upto``; the day before must be stored.
+
+        ``arrivals`` (key, day, amount) are stored first; a daily job brings the day's amounts this way.
+        """
+        first, last = _day(day), _day(upto or day)
+        if self.last is None or first != self.last + timedelta(1):
+            raise ValueError(f"{first} does not follow the last stored day {self.last}")
+        if arrivals is not None:
+            self._write(arrivals.select("key", F.col("day").cast("date").alias("day"), F.col("amount").cast("long").alias("amount")).dropna(), "amounts", str(first))
+        yesterday = self.states().where(F.col("day") == F.lit(self.last))
+        rows = advance_days(yesterday, self.amounts(), first, last, self.windows)
+        self._write(rows.withColumn("version", F.lit(1)), "states", str(first))
+        self.last = last
+
+    def backfill(self, upto: str | date, block: int = BLOCK_DAYS) -> None:
+        """Advances from the last stored day to ``upto``, ``block`` days at a time."""
+        while self.last < _day(upto):
+            self.advance(self.last + timedelta(1), min(self.last + timedelta(block), _day(upto)))
+
+    def correct(self, corrections: DataFrame, batch: str = "late") -> None:
+        """Takes late amounts (key, day, amount) of stored days into the amounts and into the states they reach.
+
+        Only the dates a correction reaches are recomputed, and only for its key; their rows are stored with the next
+        version, all others stay as they are. A key without a row on such a date gets one of version 1. Every set of
+        corrections has a ``batch`` name of its own.
+        """
+        late = corrections.select("key", F.col("day").cast("date").alias("day"), F.col("amount").cast("long").alias("amount")).dropna()
+        touched = reach(late, self.last, self.windows)
+        zero = F.lit(0).cast("long")
+        fixed = touched.join(self.states(), ["key", "day"], "left").select(
+            "key", "day", *[(F.coalesce(f"c{w}", zero) + F.col(f"d{w}")).alias(f"c{w}") for w in self.windows], (F.coalesce("version", F.lit(0)) + 1).alias("version")
+        )
+        self._write(fixed, "states", batch)
+        self._write(late, "amounts", batch)

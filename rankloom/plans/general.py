@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.operators import asof_attributes, feature_table, heavy, rolling_state
+from rankloom.operators.lineage import cut_lineage, new_folder
 from rankloom.sources.tables import click_rows, clicks, in_log, table
 
 FIRST_DAY, LAST_DAY = "2025-02-01", "2025-04-11"
@@ -28,13 +29,31 @@ def p1_article_totals(spark: SparkSession, folder: str) -> DataFrame:
     return heavy.key_totals(rows.select("article_id", reader.alias("user_id"), "impression_time"), "article_id", "user_id", "impression_time")
 
 
-def rolling_clicks(spark: SparkSession, folder: str) -> DataFrame:
-    """Rolling state of every clicked article on every day of the log; rows logged after their day are corrections."""
+def rolling_store(spark: SparkSession, folder: str) -> rolling_state.StateStore:
+    """Stored state of every clicked article on every day of the log.
+
+    The days are run on the clicks that were logged by the end of their day; the others are corrections.
+    """
     rows = clicks(table(spark, folder, "behaviors"))
     day = F.to_date("impression_time")
     late = F.coalesce(F.to_date("logged_time") > day, F.lit(True))
-    daily = rows.groupBy(F.col("article_id").alias("key"), day.alias("day")).agg(F.count("*").alias("amount"), F.count(F.when(late, 1)).alias("late"))
-    return rolling_state.corrected_state(daily, FIRST_DAY, LAST_DAY)
+    daily = cut_lineage(rows.groupBy(F.col("article_id").alias("key"), day.alias("day"), late.alias("late")).agg(F.count("*").alias("amount")))
+    store = rolling_state.StateStore(spark, new_folder(spark, "rolling"), "int")
+    store.begin(daily.where("NOT late"), date.fromisoformat(FIRST_DAY) - timedelta(1), daily.select("key").distinct())
+    store.backfill(LAST_DAY)
+    store.correct(daily.where("late"))
+    return store
+
+
+def rolling_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """The states that hold, of the days of the log."""
+    return rolling_store(spark, folder).states().where(F.col("day") >= F.lit(FIRST_DAY).cast("date"))
+
+
+def p2_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Every stored version of every article's totals on every day."""
+    rows = rolling_store(spark, folder).versions().where(F.col("day") >= F.lit(FIRST_DAY).cast("date"))
+    return rows.select(F.col("key").alias("article_id"), F.date_format("day", "yyyy-MM-dd").alias("click_day"), "version", "c7", "c30")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,7 +68,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
     """Totals and daily means of the last 7 and 30 days, of every clicked article on every day."""
     return rolling_clicks(spark, folder).select(
-        F.col("key").alias("article_id"), F.date_format("day", "yyyy-MM-dd").alias("click_day"), "c7", "c30", F.round("mean7", 6).alias("mean7"), F.round("mean30", 6).alias("mean30"), "version"
+        F.col("key").alias("article_id"), F.date_format("day", "yyyy-MM-dd").alias("click_day"), "c7", "c30", (F.col("c7") / 7.0).alias("mean7"), (F.col("c30") / 30.0).alias("mean30"), "version"
     )
 
 
@@ -95,7 +114,7 @@ def p7_reader_rows(spark: SparkSession, folder: str) -> DataFrame:
     return feature_table.type_rows(events)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_article_totals, p2_found, p2_rolling, p4_found, p4_attributes, p7_found, p7_features, p7_reader_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_article_totals, p2_found, p2_rolling, p2_state, p4_found, p4_attributes, p7_found, p7_features, p7_reader_rows)}
 
 _LOG = """log AS (SELECT impression_id, user_id, impression_time, any_value(article_ids_inview) AS iv, any_value(article_ids_clicked) AS cl, min(logged_time) AS logged_time
   FROM behaviors WHERE impression_time >= TIMESTAMP '2025-02-01' AND impression_time < TIMESTAMP '2025-04-12' GROUP BY 1, 2, 3),
@@ -133,8 +152,12 @@ SELECT article_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY artic
     "p2_found": f"""{_ROLL} SELECT * FROM (SELECT article_id, strftime(d, '%Y-%m-%d') AS click_day,
   CASE WHEN c7 >= 6 AND c30 > c7 AND 12 * c7 >= 7 * c30 THEN 'rise' WHEN c7 = 0 AND c30 >= 12 THEN 'quiet' END AS kind
   FROM roll WHERE d >= DATE '2025-03-02') WHERE kind IS NOT NULL""",
-    "p2_rolling": f"""{_ROLL} SELECT article_id, strftime(d, '%Y-%m-%d') AS click_day, c7, c30, round(c7 / 7.0::DOUBLE, 6) AS mean7, round(c30 / 30.0::DOUBLE, 6) AS mean30,
+    "p2_rolling": f"""{_ROLL} SELECT article_id, strftime(d, '%Y-%m-%d') AS click_day, c7, c30, c7 / 7.0::DOUBLE AS mean7, c30 / 30.0::DOUBLE AS mean30,
   CASE WHEN late > 0 THEN 2 ELSE 1 END AS version FROM roll""",
+    "p2_state": f"""{_ROLL}, late_days AS (SELECT g.article_id, g.d, CAST(coalesce(sum(y.late) FILTER (WHERE y.d > g.d - 7), 0) AS BIGINT) AS l7, CAST(coalesce(sum(y.late), 0) AS BIGINT) AS l30
+  FROM grid g LEFT JOIN daily y ON y.article_id = g.article_id AND y.d <= g.d AND y.d > g.d - 30 GROUP BY 1, 2)
+SELECT article_id, strftime(d, '%Y-%m-%d') AS click_day, 1 AS version, c7 - l7 AS c7, c30 - l30 AS c30 FROM roll JOIN late_days USING (article_id, d)
+UNION ALL SELECT article_id, strftime(d, '%Y-%m-%d'), 2, c7, c30 FROM roll WHERE late > 0""",
     "p4_found": _known("impression_id, article_id, version_no FROM m WHERE rn = 1 AND hit IS NOT NULL"),
     "p4_attributes": _known("impression_id, user_id, article_id, impression_time, category_str AS known_category_str, premium AS known_premium, hit IS NOT NULL AS known FROM m WHERE rn = 1"),
     "p7_found": f"""{_EVENTS} SELECT user_id, event_type FROM feat

@@ -1,88 +1,102 @@
-"""Running sums over changes, daily steps and corrections must all give the same totals."""
+"""Stored daily states, blocks of days and corrections must all give the totals of brute force."""
 
 import random
 from datetime import date, timedelta
 
+import pytest
 from conftest import rows
 
 from rankloom.operators import rolling_state as rs
-from rankloom.plans import general
 
 DAY = date(2025, 3, 1)
+DAYS = [DAY + timedelta(i) for i in range(40)]
+SCHEMA = "key string, day date, amount long"
 
 
-def brute(amounts, days, w):
-    keys = {k for k, *_ in amounts}
-    return {(k, d): sum(a for k2, e, a, _ in amounts if k2 == k and d - timedelta(w) < e <= d) for k in keys for d in days}
+def brute(amounts, w, days=DAYS):
+    return {(k, d): sum(a for k2, e, a in amounts if k2 == k and d - timedelta(w) < e <= d) for k in {k for k, *_ in amounts} for d in days}
 
 
 def made(seed=1):
     r = random.Random(seed)
-    return [(r.choice("abc"), DAY + timedelta(r.randrange(40)), r.randrange(1, 5), 0) for _ in range(60)]
+    return [(r.choice("abc"), DAY + timedelta(r.randrange(40)), r.randrange(1, 5)) for _ in range(60)]
 
 
-def test_against_brute_force(spark):
+def store_of(spark, tmp_path, data, before=DAY - timedelta(1)):
+    store = rs.StateStore(spark, str(tmp_path / "store"), "string")
+    store.begin(spark.createDataFrame(data, SCHEMA), before)
+    return store
+
+
+def held(store):
+    return {(r["key"], r["day"]): (r["c7"], r["c30"]) for r in store.states().where(f"day >= '{DAY}'").collect()}
+
+
+def totals(data, days=DAYS):
+    c7, c30 = brute(data, 7, days), brute(data, 30, days)
+    return {k: (c7[k], c30[k]) for k in c7}
+
+
+@pytest.mark.parametrize("block", [7, 40])
+def test_blocks_against_brute_force(spark, tmp_path, block):
     data = made()
-    days = [DAY + timedelta(i) for i in range(40)]
-    df = spark.createDataFrame(data, "key string, day date, amount long, late long")
-    got = {(r["key"], r["day"]): (r["c7"], r["c30"]) for r in rs.rolling_state(df, str(DAY), str(days[-1])).collect()}
-    c7, c30 = brute(data, days, 7), brute(data, days, 30)
-    assert got == {k: (c7[k], c30[k]) for k in c7}
+    store = store_of(spark, tmp_path, data)
+    store.backfill(DAYS[-1], block)
+    assert held(store) == totals(data)
 
 
-def test_days_before_the_first_count_and_nulls_do_not(spark):
-    data = [("a", date(2025, 2, 27), 2, 0), (None, DAY, 1, 0), ("b", None, 1, 0), ("a", DAY, None, 0)]
-    df = spark.createDataFrame(data, "key string, day date, amount long, late long")
-    got = {r["day"]: (r["c7"], r["c30"]) for r in rs.rolling_state(df, str(DAY), "2025-03-31").collect()}
+def test_daily_jobs_bring_their_arrivals(spark, tmp_path):
+    data = made(2)
+    store = store_of(spark, tmp_path, [x for x in data if x[1] <= DAYS[33]])
+    store.backfill(DAYS[33])
+    for d in DAYS[34:37]:
+        store.advance(d, arrivals=spark.createDataFrame([x for x in data if x[1] == d], SCHEMA))
+    got, want = held(store), totals(data)
+    assert {k: v for k, v in got.items() if k[1] > DAYS[33]} == {k: v for k, v in want.items() if DAYS[33] < k[1] <= DAYS[36]}
+    with pytest.raises(ValueError, match="does not follow"):
+        store.advance(DAYS[39])
+
+
+def test_a_day_reads_itself_and_the_days_that_leave(spark):
+    data = [("a", DAY - timedelta(d), 2**d) for d in range(40)]
+    got = {(k, d): (a, b) for k, d, a, b in rows(rs.moves(spark.createDataFrame(data, SCHEMA), DAY, DAY))}
+    assert got == {("a", DAY): (1 - 2**7, 1 - 2**30)}
+    plan = rs.moves(spark.createDataFrame(data, SCHEMA), DAY, DAY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan
+
+
+def test_amounts_before_the_first_day_count_and_nulls_do_not(spark, tmp_path):
+    data = [("a", date(2025, 2, 27), 2), (None, DAY, 1), ("b", None, 1), ("a", DAY, None)]
+    store = store_of(spark, tmp_path, data)
+    store.backfill("2025-03-31")
+    got = {k[1]: v for k, v in held(store).items()}
     assert got[DAY] == (2, 2) and got[date(2025, 3, 6)] == (0, 2) and got[date(2025, 3, 29)] == (0, 0) and len(got) == 31
-    assert rs.rolling_state(df.limit(0), str(DAY), "2025-03-31").count() == 0
 
 
-def test_daily_steps_equal_the_range(spark):
-    data = made(2)
-    df = spark.createDataFrame(data, "key string, day date, amount long, late long")
-    history = df.groupBy("key", "day").sum("amount").withColumnRenamed("sum(amount)", "amount").cache()
-    state = spark.createDataFrame([], "key string, c7 long, c30 long")
-    whole = {(r["key"], r["day"]): (r["c7"], r["c30"]) for r in rs.rolling_state(df, str(DAY), str(DAY + timedelta(11))).collect()}
-    for i in range(12):
-        d = DAY + timedelta(i)
-        state = spark.createDataFrame([tuple(r) for r in rs.advance_day(state, history, str(d)).collect()], "key string, c7 long, c30 long")
-        assert all(whole[(r["key"], d)] == (r["c7"], r["c30"]) for r in state.collect())
-
-
-def test_corrections_touch_only_their_dates(spark):
-    data = made(3)
-    late = [("a", DAY + timedelta(5), 7), ("new", DAY + timedelta(38), 1)]
-    schema = "key string, day date, amount long, late long"
-    last = str(DAY + timedelta(39))
-    before = rs.rolling_state(spark.createDataFrame(data, schema), str(DAY), last).select("key", "day", "c7", "c30", "version")
-    after = rs.correct(before, spark.createDataFrame(late, "key string, day date, amount long"), last)
-    whole = rs.rolling_state(spark.createDataFrame(data + [(k, d, a, a) for k, d, a in late], schema), str(DAY), last)
-    want = {(r["key"], r["day"]): (r["c7"], r["c30"], r["version"]) for r in whole.collect() if r["key"] != "new"}
-    got = {(r["key"], r["day"]): (r["c7"], r["c30"], r["version"]) for r in after.collect()}
-    assert {k: v for k, v in got.items() if k[0] != "new"} == want
-    assert {k: v for k, v in got.items() if k[0] == "new"} == {("new", DAY + timedelta(i)): (1, 1, 1) for i in (38, 39)}
-    assert sorted(k[1] for k, v in got.items() if v[2] == 2) == [DAY + timedelta(i) for i in range(5, 35)]
-    assert rows(rs.correct(before, spark.createDataFrame([], "key string, day date, amount long"), last)) == rows(before)
-
-
-def test_late_amounts_correct_an_earlier_state(spark):
-    r = random.Random(4)
-    data = [(r.choice("abc"), DAY + timedelta(r.randrange(-5, 40)), a, r.randrange(a + 1) if r.random() < 0.2 else 0) for a in (r.randrange(1, 5) for _ in range(60))]
-    df = spark.createDataFrame([*data, ("only late", DAY + timedelta(9), 3, 3), (None, DAY, 1, 1), ("a", DAY, 1, None)], "key string, day date, amount long, late long")
-    last = str(DAY + timedelta(39))
-    got = rs.corrected_state(df, str(DAY), last)
-    want = rs.rolling_state(df.fillna(0, ["late"]), str(DAY), last)
-    assert got.columns == want.columns and rows(got) == rows(want)
-
-
-def test_query_corrects_by_late_clicks(spark, monkeypatch):
-    seen = []
-    real = rs.correct
-    monkeypatch.setattr(rs, "correct", lambda states, late, *a: seen.append((states, late)) or real(states, late, *a))
-    after = {(r["article_id"], r["click_day"]): r for r in general.p2_rolling(spark, "/root/testdata/sf0.001").collect()}
-    (states, late), = seen
-    before = {(r["key"], str(r["day"])): r for r in states.collect()}
-    assert late.count() and before.keys() == after.keys() and {r["version"] for r in before.values()} == {1}
-    changed = {k for k, r in after.items() if (r["c7"], r["c30"]) != (before[k]["c7"], before[k]["c30"])}
-    assert changed and all(after[k]["version"] == 2 for k in changed)
+def test_empty(spark, tmp_path):
+    store = store_of(spark, tmp_path, [])
+    store.backfill(DAYS[3])
+    assert held(store) == {}
+
+
+def test_corrections_reach_only_their_dates(spark, tmp_path):
+    data, late = made(3), [("a", DAYS[2], 5), ("a", DAYS[2], 1), ("new", DAYS[20], 4), ("a", None, 9), (None, DAY, 9)]
+    store = store_of(spark, tmp_path, data)
+    store.backfill(DAYS[35])
+    before = held(store)
+    store.correct(spark.createDataFrame(late, SCHEMA))
+    every = [*data, *[x for x in late if None not in x]]
+    want = totals(every, DAYS[:36])
+    got = held(store)
+    assert {k: v for k, v in got.items() if k[0] != "new"} == {k: v for k, v in want.items() if k[0] != "new"}
+    assert {k[1] for k in got if k[0] == "new"} == set(DAYS[20:36]) and got["new", DAYS[27]] == (0, 4)
+    versions = {(r["key"], r["day"]): r["version"] for r in store.states().collect()}
+    assert {k for k, v in versions.items() if v == 2} == {("a", d) for d in DAYS[2:32]}
+    old = {(r["key"], r["day"]): (r["c7"], r["c30"]) for r in store.versions().where(f"version = 1 AND day >= '{DAY}' AND key <> 'new'").collect()}
+    assert old == before  # earlier versions stay readable
+    store.correct(spark.createDataFrame([("a", DAYS[30], 1)], SCHEMA), "later")
+    assert store.states().where("version = 3").count() == 2
+    # what came late leaves the periods later on
+    store.advance(DAYS[36], DAYS[39])
+    last = totals([*every, ("a", DAYS[30], 1)])
+    assert {k: v for k, v in held(store).items() if k[1] > DAYS[35]} == {k: v for k, v in last.items() if k[1] > DAYS[35]}
