@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.heavy import heavy_keys, join_on_skewed_key
+from rankloom.operators.cells import block_of, blocks_for, lengths, meet
+from rankloom.operators.heavy import heaviest, join_on_skewed_key
+from rankloom.operators.lineage import cut_lineage
 
 K1, B = 1.2, 0.75
 #: Share of the mean IDF that replaces an Okapi IDF of 0 or less.
 OKAPI_FLOOR = 0.25
 RECALL_AT = (50, 100, 200)
-#: Queries and documents of one block of the scoring grid.
-QUERY_BLOCK, DOC_BLOCK = 5_000, 50_000
+#: Documents that one task holds or that are broadcast (at 100 terms of 16 bytes, 40 MB).
+DOC_BLOCK = 25_000
 
 
 @dataclass(frozen=True)
@@ -32,15 +35,18 @@ class Index:
 def build_index(texts: DataFrame, doc: str, tokens: Column) -> Index:
     """Index of one row per document. A document id that occurs twice raises; null ids are left out.
 
-    A document without tokens counts in n and in the mean length.
+    A document without tokens counts in n and in the mean length. Postings are checkpointed, so texts are tokenised
+    once however many figures are drawn from them.
     """
     docs = texts.where(F.col(doc).isNotNull()).select(F.col(doc).alias("id"), tokens.alias("w"))
-    lengths = docs.select("id", F.size("w").alias("dl"))
-    figures = lengths.groupBy("id").agg(F.count("*").alias("c"), F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.max("c").alias("most")).first()
-    if (figures["most"] or 0) > 1:
+    # One row per term of a document, and one without a term for the document itself.
+    term = F.explode(F.concat(F.array(F.lit(None).cast("string")), "w"))
+    counted = cut_lineage(docs.select("id", F.size("w").alias("dl"), term.alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    own = counted.where("term IS NULL")
+    figures = own.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.max("tf").alias("most"), F.count_distinct("id").alias("ids")).first()
+    if (figures["most"] or 0) > 1 or figures["ids"] < figures["n"]:
         raise ValueError("a document id occurs more than once")
-    postings = docs.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-    return Index(postings, lengths, figures["n"], figures["avgdl"] or 0.0)
+    return Index(counted.where("term IS NOT NULL").select("term", "id", "dl", "tf"), own.select("id", "dl"), figures["n"], figures["avgdl"] or 0.0)
 
 
 def index_stats(index: Index) -> DataFrame:
@@ -67,7 +73,8 @@ def idf(index: Index, variant: str = "lucene") -> DataFrame:
 
 def impacts(index: Index, variant: str = "lucene", k1: float = K1, b: float = B) -> DataFrame:
     """(term, id, impact): what one occurrence of the term in a query adds to the document's score."""
-    rows = join_on_skewed_key(index.postings, idf(index, variant), "term", heavy_keys(index.postings, "term"), "inner")
+    terms = idf(index, variant)
+    rows = join_on_skewed_key(index.postings, terms, "term", heaviest(terms, "term", "df"), "inner")
     length = F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(index.avgdl or 1.0)
     return rows.select("term", "id", (F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * length)).alias("impact"))
 
@@ -85,138 +92,143 @@ def query_terms(histories: DataFrame, texts: DataFrame, query: str, tokens: Colu
     return reads.join(words, "article_id").select(query, "c", F.explode("w").alias("term")).groupBy(query, "term").agg(F.sum("c").alias("q"))
 
 
+def _documents(weights: DataFrame) -> DataFrame:
+    """(id, terms, impacts): a document's terms, as hashes of 64 bits, with their impacts: one row per document."""
+    one = F.collect_list(F.struct(F.xxhash64("term").alias("t"), "impact"))
+    return weights.groupBy("id").agg(one.alias("d")).select("id", F.col("d.t").alias("terms"), F.col("d.impact").alias("impacts"))
+
+
+def _asked(queries: DataFrame, query: str) -> DataFrame:
+    """(k, terms, counts): one row per query."""
+    one = F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("q").cast("double").alias("q")))
+    return queries.where(F.col(query).isNotNull()).groupBy(F.col(query).alias("k")).agg(one.alias("d")).select("k", F.col("d.t").alias("terms"), F.col("d.q").alias("counts"))
+
+
+class _Held:
+    """Documents in memory: postings sorted by term, and every document's terms in a row, as numbers of the terms."""
+
+    def __init__(self, table: pa.Table):
+        order = np.argsort(table["id"].to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        self.ids = table["id"].to_numpy()
+        whole = [table[c].combine_chunks() for c in ("terms", "impacts")]
+        self.size = lengths(whole[0])
+        self.start = np.r_[0, np.cumsum(self.size)]
+        hashes, self.impact = whole[0].flatten().to_numpy(zero_copy_only=False), whole[1].flatten().to_numpy(zero_copy_only=False)
+        self.terms, self.code = np.unique(hashes, return_inverse=True)
+        self.doc = np.repeat(np.arange(len(self.ids)), self.size)
+        self.by_term = np.argsort(self.code, kind="stable")
+        self.edge = np.r_[0, np.cumsum(np.bincount(self.code, minlength=len(self.terms)))]
+
+    def query(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the query's terms that occur here."""
+        if not len(self.terms):
+            return np.zeros(0, int), np.zeros(0)
+        at = np.searchsorted(self.terms, terms).clip(max=len(self.terms) - 1)
+        ok = self.terms[at] == terms
+        return at[ok], counts[ok]
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start .. start + size - 1 of every run, one after the other."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+
+
+def _each_query(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    edge = np.r_[0, np.cumsum(lengths(b.column("terms")))]
+    terms, counts = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("terms", "counts"))
+    for i in range(b.num_rows):
+        yield i, terms[edge[i] : edge[i + 1]], counts[edge[i] : edge[i + 1]]
+
+
 def search(queries: DataFrame, weights: DataFrame, query: str, k: int, n_docs: int | None = None) -> DataFrame:
     """(query, id, score, place): the k best documents that share a term with the query, ties by smaller id.
 
     ``queries`` is (query, term, q), ``weights`` comes from ``impacts``. Joining them on the term would shuffle a row
-    for every query, term and document that meet; instead queries and documents are cut into blocks, a cell of the
-    grid of blocks gets its queries and postings once, adds up scores term by term in memory and keeps k documents
-    per query. Terms meet by a hash of 64 bits. Scores are compared after rounding to 9 decimals. ``n_docs`` spares
-    counting the documents.
+    for every query, term and document that meet; instead every query meets every block of documents, walks the
+    postings of its terms there and keeps k documents. Terms meet by a hash of 64 bits. Scores are compared after
+    rounding to 9 decimals. ``n_docs`` spares counting the documents.
     """
     kind, what = queries.schema[query].dataType.simpleString(), weights.schema["id"].dataType.simpleString()
-
-    def best(table: pa.Table) -> pa.Table:
-        asked, impact, term_ids, docs = _cell(table)
-        names, start = np.unique(asked[0], return_index=True)
-        ids, doc_code = np.unique(docs, return_inverse=True)
-        out_q, out_id, out_s = [], [], []
-        lo, hi = np.searchsorted(term_ids, asked[1], "left"), np.searchsorted(term_ids, asked[1], "right")
-        ends = np.r_[start[1:], len(asked[0])]
-        for i, name in enumerate(names):
-            rows = np.arange(start[i], ends[i])
-            rows = rows[hi[rows] > lo[rows]]
-            if not len(rows):
+    blocks = blocks_for(weights.select("id").distinct().count() if n_docs is None else n_docs, DOC_BLOCK)
+    rows = _asked(queries, query).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def best(held: _Held, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, ids, scores = [], [], []
+        for i, terms, counts in _each_query(b):
+            t, q = held.query(terms, counts)
+            size = held.edge[t + 1] - held.edge[t]
+            hit = held.by_term[_runs(held.edge[t], size)]
+            if not len(hit):
                 continue
-            hit = np.concatenate([np.arange(lo[r], hi[r]) for r in rows])
-            q = np.repeat(asked[2][rows], hi[rows] - lo[rows])
-            score = np.bincount(doc_code[hit], impact[hit] * q, len(ids))
-            found = np.flatnonzero(np.bincount(doc_code[hit], minlength=len(ids)))
+            docs = held.doc[hit]
+            score = np.bincount(docs, held.impact[hit] * np.repeat(q, size), len(held.ids))
+            found = np.flatnonzero(np.bincount(docs, minlength=len(held.ids)))
             value = np.round(score[found], 9)
             if len(found) > k:
                 edge = np.partition(value, len(value) - k)[len(value) - k]
                 found, value = found[value >= edge], value[value >= edge]
-            order = np.lexsort((ids[found], -value))[:k]
-            out_q.append(np.full(len(order), name))
-            out_id.append(ids[found[order]])
-            out_s.append(score[found[order]])
-        join = lambda parts, like: np.concatenate(parts) if parts else like[:0]
-        types = [table.schema.field(c).type for c in ("query", "id")]
-        return pa.table({"q": pa.array(join(out_q, asked[0]), types[0]), "id": pa.array(join(out_id, docs), types[1]), "score": pa.array(join(out_s, impact), pa.float64())})
-
-    got = _grid(queries, weights, query, None, n_docs).groupBy("cell").applyInArrow(best, f"q {kind}, id {what}, score double")
+            found = found[np.argsort(-value, kind="stable")[:k]]
+            at.append(np.full(len(found), i))
+            ids.append(held.ids[found])
+            scores.append(score[found])
+        if at:
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(np.concatenate(at))), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["q", "id", "score"])
+
+    got = meet(rows, _documents(weights), blocks, _Held, best, f"q {kind}, id {what}, score double", ["k"])
     order = Window.partitionBy("q").orderBy(F.round("score", 9).desc(), "id")
     return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", query)
 
 
-def _cell(table: pa.Table) -> tuple:
-    """Query rows (query, term, q) sorted by query, and postings sorted by term, of a cell of the grid."""
-    part = table["part"].to_numpy()
-    q, p = table.filter(pa.array(part == 0)), table.filter(pa.array(part == 1))
-    qo = np.argsort(q["query"].to_numpy(), kind="stable")
-    po = np.argsort(p["term"].to_numpy(), kind="stable")
-    asked = tuple(q[c].to_numpy()[qo] for c in ("query", "term", "value"))
-    return asked, p["value"].to_numpy()[po], p["term"].to_numpy()[po], p["id"].to_numpy()[po]
-
-
-def _grid(queries: DataFrame, weights: DataFrame, query: str, pairs: DataFrame | None, n_docs: int | None = None) -> DataFrame:
-    """Rows of all cells: (cell, part, query, term, id, value), part 0 query terms, 1 postings, 2 pairs to score."""
-    spark = queries.sparkSession
-    n_queries = queries.select(query).distinct().count()
-    n_docs = weights.select("id").distinct().count() if n_docs is None else n_docs
-    left = max(1, -(-n_queries // QUERY_BLOCK), min(spark.sparkContext.defaultParallelism, n_queries // 64))
-    right = max(1, -(-n_docs // DOC_BLOCK))
-    cell = lambda l, r: (l * right + r).alias("cell")  # noqa: E731,E741
-    lb = F.pmod(F.xxhash64("query"), F.lit(left)).cast("int")
-    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
-    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    term = F.xxhash64("term").alias("term")
-    q = queries.select(F.col(query).alias("query"), term, F.col("q").cast("double").alias("value"))
-    q = q.select(every(right, "r"), "*").select(cell(lb, F.col("r")), F.lit(0).alias("part"), "query", "term", "value")
-    p = weights.select("id", term, F.col("impact").alias("value")).select(every(left, "l"), "*").select(cell(F.col("l"), rb), F.lit(1).alias("part"), "id", "term", "value")
-    rows = q.unionByName(p, allowMissingColumns=True)
-    if pairs is not None:
-        rows = rows.unionByName(pairs.select(cell(lb, rb), F.lit(2).alias("part"), "query", "id"), allowMissingColumns=True)
-    return rows.select("cell", "part", "query", "term", "id", "value")
-
-
 def slate_scores(pairs: DataFrame, queries: DataFrame, weights: DataFrame, query: str, doc: str = "article_id", n_docs: int | None = None) -> DataFrame:
     """(query, doc, score) of given pairs, 0.0 where nothing is shared or the document is not indexed.
 
     Pairs are made distinct first, so a pair that occurs in many slates is scored once; pairs with a null are left
-    out. They are scored in the cells of a grid of query and document blocks, so neither postings nor query terms
-    are shuffled for every pair.
+    out. A query's documents are gathered per block of documents, joined with the query's terms once, and scored where
+    the block's documents are held, so neither postings nor terms are shipped for a pair.
     """
-    what = weights.schema["id"].dataType.simpleString()
-    kind = queries.schema[query].dataType.simpleString()
-    wanted = pairs.select(F.col(query).cast(kind).alias("query"), F.col(doc).cast(what).alias("id")).dropna().distinct()
-
-    def score(table: pa.Table) -> pa.Table:
-        rows = table.filter(pa.array(table["part"].to_numpy() == 2))
-        if not rows.num_rows:
-            return pa.table({"query": rows["query"], "id": rows["id"], "score": pa.array([], pa.float64())})
-        asked, impact, term, docs = _cell(table)
-        terms = np.unique(asked[1])
-        keep = np.isin(term, terms)
-        code, impact, docs = np.searchsorted(terms, term[keep]), impact[keep], docs[keep]
-        order = np.argsort(docs, kind="stable")
-        code, impact, docs = code[order], impact[order], docs[order]
-        want_q, want_d = rows["query"].to_numpy(), rows["id"].to_numpy()
-        by = np.argsort(want_q, kind="stable")
-        want_q, want_d = want_q[by], want_d[by]
-        lo, hi = np.searchsorted(docs, want_d, "left"), np.searchsorted(docs, want_d, "right")
-        weight = np.zeros(len(terms))
-        out = np.zeros(len(want_q))
-        names, start = np.unique(want_q, return_index=True)
-        ends = np.r_[start[1:], len(want_q)]
-        q0, q1 = np.searchsorted(asked[0], names, "left"), np.searchsorted(asked[0], names, "right")
-        for i in range(len(names)):
-            if q0[i] == q1[i]:
-                continue
-            mine = np.searchsorted(terms, asked[1][q0[i] : q1[i]])
-            weight[mine] = asked[2][q0[i] : q1[i]]
-            size = (hi - lo)[start[i] : ends[i]]
-            if size.sum():
-                base = np.repeat(lo[start[i] : ends[i]] - np.r_[0, np.cumsum(size)[:-1]], size)
-                at = base + np.arange(size.sum())
-                out[start[i] : ends[i]] = np.bincount(np.repeat(np.arange(len(size)), size), impact[at] * weight[code[at]], len(size))
-            weight[mine] = 0.0
-        return pa.table({"query": pa.array(want_q, rows.schema.field("query").type), "id": pa.array(want_d, rows.schema.field("id").type), "score": out})
-
-    got = _grid(queries, weights, query, wanted, n_docs).groupBy("cell").applyInArrow(score, f"query {kind}, id {what}, score double")
+    what, kind = weights.schema["id"].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    blocks = blocks_for(weights.select("id").distinct().count() if n_docs is None else n_docs, DOC_BLOCK)
+    wanted = pairs.select(F.col(query).cast(kind).alias("k"), F.col(doc).cast(what).alias("id")).dropna().distinct()
+    lists = wanted.groupBy("k", block_of(F.col("id"), blocks).alias("block")).agg(F.collect_list("id").alias("ids"))
+    rows = lists.join(_asked(queries, query), "k", "left")
+
+    def score(held: _Held, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = lengths(b.column("ids"))
+        ids = b.column("ids").flatten()
+        want = ids.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(want))
+        edge = np.r_[0, np.cumsum(size)]
+        if len(held.ids):
+            place = np.searchsorted(held.ids, want).clip(max=len(held.ids) - 1)
+            hit = held.ids[place] == want
+            weight = np.zeros(len(held.terms))
+            for i, terms, counts in _each_query(b):
+                t, q = held.query(terms, counts)
+                mine = edge[i] + np.flatnonzero(hit[edge[i] : edge[i + 1]])
+                if len(t) and len(mine):
+                    weight[t] = q
+                    docs = place[mine]
+                    at = _runs(held.start[docs], held.size[docs])
+                    out[mine] = np.bincount(np.repeat(np.arange(len(mine)), held.size[docs]), held.impact[at] * weight[held.code[at]], len(mine))
+                    weight[t] = 0.0
+        yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(np.repeat(np.arange(b.num_rows), size))), ids, pa.array(out)], ["query", "id", "score"])
+
+    got = meet(rows, _documents(weights), blocks, _Held, score, f"query {kind}, id {what}, score double", ["k"])
     return got.withColumnRenamed("query", query).withColumnRenamed("id", doc)
 
 
-def recall_at(retrieved: DataFrame, relevant: DataFrame, query: str, at: tuple[int, ...] = RECALL_AT) -> DataFrame:
-    """(k, hits, relevant, scored, skipped, recall): micro recall over queries that have results.
+def recall_at(retrieved: DataFrame, relevant: DataFrame, query: str, at: tuple[int, ...] = RECALL_AT, case: str | None = None) -> DataFrame:
+    """(k, hits, relevant, scored, skipped, recall): micro recall over cases whose query has results.
 
-    ``retrieved`` is (query, id, place) at the largest k; ``relevant`` (query, id). Queries without results are
-    skipped and counted; without relevant rows recall is null.
+    ``retrieved`` is (query, id, place) at the largest k; ``relevant`` (query, id) and, where several cases share a
+    query, ``case``, say an impression; without it a query is its own case. Cases without results are skipped and
+    counted; without relevant rows recall is null.
     """
-    wanted = relevant.select(query, "id").distinct()
+    wanted = relevant.select(query, F.col(case or query).alias("__case"), "id").distinct()
     served = retrieved.select(query).distinct().withColumn("served", F.lit(True))
     marked = wanted.join(served, query, "left").join(retrieved.select(query, "id", "place"), [query, "id"], "left")
-    per = marked.groupBy(query).agg(F.max("served").alias("served"), F.count("*").alias("n"), *[F.count(F.when(F.col("place") <= k, 1)).alias(f"h{k}") for k in at])
+    per = marked.groupBy("__case").agg(F.max("served").alias("served"), F.count("*").alias("n"), *[F.count(F.when(F.col("place") <= k, 1)).alias(f"h{k}") for k in at])
     sums = per.agg(
         F.coalesce(F.sum(F.when(F.col("served"), F.col("n"))), F.lit(0)).alias("relevant"), F.count(F.when(F.col("served"), 1)).alias("scored"),
         F.count(F.when(F.col("served").isNull(), 1)).alias("skipped"), *[F.coalesce(F.sum(F.when(F.col("served"), F.col(f"h{k}"))), F.lit(0)).alias(f"h{k}") for k in at],

@@ -5,21 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.vectors import dot
+from rankloom.operators.cells import Vectors, best_of, block_of, blocks_for, lengths, matrix, meet
+from rankloom.operators.heavy import join_on_skewed_key
 
 #: Newest-first decay of clicks in the recency pooling.
 TAU = 5.0
-#: Query vectors or readers of one block (300 doubles each are 24 MB).
-BLOCK = 10_000
-#: Article vectors of one block of a grid (300 doubles each are 120 MB).
-UNIT_BLOCK = 50_000
+#: Most vectors that one task holds or that are broadcast (300 doubles each are 60 MB).
+HELD = 25_000
+#: Vectors of one piece of an inverted list.
+LIST_BLOCK = 10_000
 
 
 def unit_vectors(vectors: DataFrame, key: str, column: str, dim: int) -> DataFrame:
@@ -50,197 +48,200 @@ def _lists(ids: pa.Array, x: np.ndarray, *more: tuple[str, pa.Array], name: str
     return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(x.ravel())), *[a for _, a in more]], [name, "v", *[n for n, _ in more]])
 
 
-def _matrix(lists: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
-def _blocks(n: int, size: int, least: int, spark) -> int:
-    """Blocks of at most about ``size`` rows, and enough of them to keep the cores busy unless they get tiny."""
-    return max(1, -(-n // size), min(spark.sparkContext.defaultParallelism, n // least))
-
-
-def pooled(histories: DataFrame, units: DataFrame, key: str, dim: int, tau: float | None = None) -> DataFrame:
+def pooled(histories: DataFrame, units: DataFrame, key: str, dim: int, tau: float | None = None, n_units: int | None = None) -> DataFrame:
     """(key, v, n): unit vector of a history (key, article_ids, oldest first), the mean of its articles' unit vectors.
 
-    With ``tau`` an article weighs exp(-age / tau), the newest having age 0; ages count all articles of the list,
-    known or not. Articles without a vector add nothing; a history without any known article has no row. A
-    mean of length 0 stays zero.
+    Articles without a vector are left out first; with ``tau`` one of the others weighs exp(-age / tau), the newest of
+    them having age 0. A history without any known article has no row; an article that occurs twice counts twice. A
+    mean of length 0 stays zero. One row per key is expected; null keys are left out.
 
-    Readers and articles are cut into blocks; a cell of the grid of blocks gets its reads and each article vector of
-    its block once, and gives one sum per reader.
+    Where the vectors fit into one block they are broadcast and every history is pooled where it lies. Beyond, a
+    history is cut by the blocks its articles lie in, and its few partial sums are added up.
     """
-    spark = units.sparkSession
-    age = F.size("article_ids") - 1 - F.col("p")
-    reads = histories.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), "article_ids").select("k", "article_ids", F.posexplode("article_ids").alias("p", "id"))
-    weight = F.lit(1.0) if tau is None else F.exp(-age / F.lit(float(tau)))
     kind, item = histories.schema[key].dataType.simpleString(), units.schema["id"].dataType.simpleString()
-    left = _blocks(histories.count(), BLOCK, 1000, spark)
-    n_units = units.count()
-    right = max(1, -(-n_units // UNIT_BLOCK))
-    lb = F.pmod(F.xxhash64("k"), F.lit(left)).cast("int")
-    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
-    wanted = reads.where("id IS NOT NULL").groupBy("k", "id").agg(F.sum(weight).alias("w"), F.count("*").alias("c"))
-    asked = wanted.select((lb * right + rb).alias("cell"), "k", F.col("id").cast(item).alias("id"), "w", "c")
-    shipped = units.select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("l"), "id", "v").select((F.col("l") * right + rb).alias("cell"), "id", "v")
-
-    def add(table: pa.Table) -> pa.Table:
-        is_unit = table["v"].is_valid().to_numpy()
-        vecs, rows = table.filter(pa.array(is_unit)), table.filter(pa.array(~is_unit))
-        if not vecs.num_rows or not rows.num_rows:
-            return _empty(kind, dim)
-        ids = vecs["id"].to_numpy()
-        order = np.argsort(ids)
-        place = np.searchsorted(ids[order], want := rows["id"].to_numpy()).clip(max=len(ids) - 1)
-        hit = ids[order][place] == want
-        if not hit.any():
-            return _empty(kind, dim)
-        x = _matrix(vecs["v"], dim)
-        names, code = np.unique(rows["k"].to_numpy()[hit], return_inverse=True)
-        sums, count = np.zeros((len(names), dim)), np.zeros(len(names), np.int64)
-        w, c, at = rows["w"].to_numpy()[hit], rows["c"].to_numpy()[hit], order[place[hit]]
-        by = np.argsort(code, kind="stable")
-        for s in range(0, len(by), 50_000):
-            part = by[s : s + 50_000]
-            start = np.flatnonzero(np.r_[True, np.diff(code[part]) != 0])
-            sums[code[part][start]] += np.add.reduceat(x[at[part]] * w[part, None], start, axis=0)
-            count[code[part][start]] += np.add.reduceat(c[part], start)
-        return pa.Table.from_batches([_lists(pa.array(names), sums, ("n", pa.array(count)), name="k")])
-
+    blocks = blocks_for(units.count() if n_units is None else n_units, HELD)
+    rows = histories.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.filter(F.col("article_ids").cast(f"array<{item}>"), lambda x: x.isNotNull()).alias("ids"))
+    decay = 0.0 if tau is None else 1.0 / tau
     schema = f"k {kind}, v array<double>, n bigint"
-    sums = asked.unionByName(shipped, allowMissingColumns=True).groupBy("cell").applyInArrow(add, schema)
-    if right > 1:  # a reader's articles lie in several blocks: add up their few partial sums
-        parts = sums.select("k", "n", F.posexplode("v").alias("d", "x")).groupBy("k", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        whole = parts.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"), F.max("n").alias("n"))  # dim entries
-        sums = whole.select("k", F.transform("v", lambda e: e["x"]).alias("v"), "n")
+
+    def add(held: Vectors, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = lengths(b.column("ids"))
+        row = np.repeat(np.arange(b.num_rows), size)
+        place, hit = held.find(b.column("ids").flatten().to_numpy(zero_copy_only=False))
+        place, row = place[hit], row[hit]
+        if not len(row):
+            return
+        if "ages" in b.schema.names:
+            age = b.column("ages").flatten().to_numpy(zero_copy_only=False)[hit]
+        else:
+            last = np.searchsorted(row, row, "right") - 1
+            age = last - np.arange(len(row))
+        w = np.exp(-age * decay)
+        names, start, count = np.unique(row, return_index=True, return_counts=True)
+        sums = np.empty((len(names), dim))
+        for s in range(len(names)):
+            at = slice(start[s], start[s] + count[s])
+            sums[s] = w[at] @ held.x[place[at]]
+        yield _lists(b.column("k").take(pa.array(names)), sums, ("n", pa.array(count)), name="k")
 
     def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column("v"), dim)
+                parts = lengths(b.column("v")) // dim
+                x = np.add.reduceat(matrix(b.column("v"), dim), np.r_[0, np.cumsum(parts)[:-1]], axis=0)
                 size = np.linalg.norm(x, axis=1, keepdims=True)
                 yield _lists(b.column("k"), x / np.where(size == 0, 1.0, size), ("n", b.column("n")), name="k")
 
+    hold = lambda table: Vectors(table, dim)
+    if blocks == 1:
+        sums = meet(rows.withColumn("block", F.lit(0)), units, 1, hold, add, schema, ["k"])
+    else:
+        reads = rows.select("k", F.posexplode("ids").alias("p", "id"))
+        known = join_on_skewed_key(reads, units.select("id"), "id", None, "inner")
+        newest = Window.partitionBy("k").orderBy(F.col("p").desc())  # a history is one row's list
+        aged = known.withColumn("age", F.row_number().over(newest) - 1)
+        cut = aged.groupBy("k", block_of(F.col("id"), blocks).alias("block")).agg(F.collect_list(F.struct("id", "age")).alias("r"))
+        cut = cut.select("k", "block", F.col("r.id").alias("ids"), F.col("r.age").alias("ages"))
+        sums = meet(cut, units, blocks, hold, add, schema, ["k"]).groupBy("k").agg(F.flatten(F.collect_list("v")).alias("v"), F.sum("n").alias("n"))  # a vector per block
     return sums.mapInArrow(scale, schema).withColumnRenamed("k", key)
 
 
-def _empty(kind: str, dim: int) -> pa.Table:
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    return pa.table({"k": pa.array([], types[kind]), "v": pa.array([], pa.list_(pa.float64())), "n": pa.array([], pa.int64())})
-
-
-def flat_search(queries: DataFrame, units: DataFrame, dim: int, k: int, key: str = "query") -> DataFrame:
+def flat_search(queries: DataFrame, units: DataFrame, dim: int, k: int, key: str = "query", n_units: int | None = None) -> DataFrame:
     """(key, id, score, place): exact k nearest of every query vector (key, v) by inner product, ties by smaller id.
 
-    Queries are taken in blocks of at most BLOCK vectors, which are broadcast; every task multiplies its part of the
-    collection with the block and keeps k rows per query, so only k rows per query and task are shuffled. A null
-    query vector finds nothing. For a bounded query set; all against all is the approximate search's work.
+    Every query meets every block of the collection, where it is multiplied with all its vectors; k rows per query and
+    block are merged. Queries are stated rows, not a share of the collection to pair up: all against all is the
+    approximate search's work. A null query vector finds nothing. Scores are compared after rounding to 12 decimals.
     """
-    spark = units.sparkSession
-    rows = queries.where("v IS NOT NULL").select(F.col(key).alias("q"), "v")
-    kind = queries.schema[key].dataType.simpleString()
-    item = units.schema["id"].dataType.simpleString()
-    numbered = rows.withColumn("block", F.floor(F.pmod(F.xxhash64("q"), F.lit(1 << 30)) * F.lit(float(max(1, -(-rows.count() * 2 // BLOCK)))) / F.lit(float(1 << 30))))
-    out = None
-    for block in sorted(r[0] for r in numbered.select("block").distinct().collect()):
-        table = numbered.where(F.col("block") == block).toArrow()
-        names = table["q"].to_numpy()
-        matrix = np.stack(table["v"].to_numpy()).astype(np.float64).reshape(-1, dim)
-        held = spark.sparkContext.broadcast((names, matrix))
-
-        def near(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            names, matrix = held.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column("id").to_numpy(zero_copy_only=False)
-                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                for s in range(0, len(names), 1000):
-                    score = np.round(matrix[s : s + 1000] @ x.T, 12)
-                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                    q = np.repeat(names[s : s + 1000], order.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["q", "id", "score"])
-
-        best = units.mapInArrow(near, f"q {kind}, id {item}, score double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        out = rows.select("q", F.lit(None).cast(item).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    blocks = blocks_for(units.count() if n_units is None else n_units, HELD)
+    kind, item = queries.schema[key].dataType.simpleString(), units.schema["id"].dataType.simpleString()
+    rows = queries.where("v IS NOT NULL").select(F.col(key).alias("q"), "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    got = meet(rows, units, blocks, lambda table: Vectors(table, dim), _nearest(dim, k), f"q {kind}, id {item}, score double", ["q"])
+    return _merged(got, k, key)
+
+
+def _nearest(dim: int, k: int):
+    def near(held: Vectors, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if not len(held.ids):
+            return
+        for s in range(0, b.num_rows, 500):
+            part = b.slice(s, 500)
+            ids, score = best_of(np.round(matrix(part.column("v"), dim) @ held.x.T, 12), held.ids, k)
+            yield pa.RecordBatch.from_arrays([part.column("q").take(pa.array(np.repeat(np.arange(part.num_rows), ids.shape[1]))), pa.array(ids.ravel()), pa.array(score.ravel())], ["q", "id", "score"])
+
+    return near
+
+
+def _merged(got: DataFrame, k: int, key: str) -> DataFrame:
     order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", key)
+    return got.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", key)
 
 
-def slate_cosine(pairs: DataFrame, readers: DataFrame, units: DataFrame, key: str, dim: int, item: str = "article_id") -> DataFrame:
+def slate_cosine(pairs: DataFrame, readers: DataFrame, units: DataFrame, key: str, dim: int, item: str = "article_id", n_units: int | None = None) -> DataFrame:
     """(key, item, cosine) of distinct pairs; 0.0 where the reader or the article has no vector. Null keys are left out.
 
-    Readers and articles are cut into blocks. A cell of the grid of blocks gets its pairs and each vector of its two
-    blocks once, so a vector is not shuffled for every pair it is in.
+    A reader's articles are gathered per block of vectors (different ids, so at most a block of them and those without
+    a vector), joined with the reader's vector once, and scored where the block's vectors are held.
     """
-    spark = units.sparkSession
     wanted = pairs.select(F.col(key).alias("k"), F.col(item).alias("id")).dropna().distinct()
     kind, what = wanted.schema["k"].dataType.simpleString(), wanted.schema["id"].dataType.simpleString()
-    left = _blocks(readers.count(), BLOCK, 1000, spark)
-    right = max(1, -(-units.count() // UNIT_BLOCK))
-    lb = F.pmod(F.xxhash64("k"), F.lit(left)).cast("int")
-    rb = F.pmod(F.xxhash64("id"), F.lit(right)).cast("int")
-    asked = wanted.select((lb * right + rb).alias("cell"), "k", "id")
-    articles = units.select(F.col("id").cast(what).alias("id"), "v").select(F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("l"), "id", "v").select((F.col("l") * right + rb).alias("cell"), "id", "v")
-    people = readers.select(F.col(key).cast(kind).alias("k"), "v").select(F.explode(F.sequence(F.lit(0), F.lit(right - 1))).alias("r"), "k", "v").select((lb * right + F.col("r")).alias("cell"), "k", "v")
-
-    def find(names: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(names):
-            return np.zeros(len(want), int), np.zeros(len(want), bool)
-        order = np.argsort(names)
-        place = np.searchsorted(names[order], want).clip(max=len(names) - 1)
-        return order[place], names[order][place] == want
-
-    def score(table: pa.Table) -> pa.Table:
-        has_v, has_k = table["v"].is_valid().to_numpy(), table["k"].is_valid().to_numpy()
-        rows, arts, users = (table.filter(pa.array(m)) for m in (~has_v, has_v & ~has_k, has_v & has_k))
-        x, y = (_matrix(t["v"], dim) if t.num_rows else np.zeros((0, dim)) for t in (arts, users))
-        i, found_i = find(arts["id"].to_numpy(), rows["id"].to_numpy())
-        j, found_j = find(users["k"].to_numpy(), rows["k"].to_numpy())
-        out = np.zeros(rows.num_rows)
-        both = np.flatnonzero(found_i & found_j)
-        for s in range(0, len(both), 20_000):
-            p = both[s : s + 20_000]
-            out[p] = np.einsum("nd,nd->n", x[i[p]], y[j[p]])
-        return pa.table({"k": rows["k"], "id": rows["id"], "cosine": pa.array(out)})
-
-    cells = asked.unionByName(articles, allowMissingColumns=True).unionByName(people, allowMissingColumns=True)
-    got = cells.groupBy("cell").applyInArrow(score, f"k {kind}, id {what}, cosine double")
+    blocks = blocks_for(units.count() if n_units is None else n_units, HELD)
+    own = units.schema["id"].dataType.simpleString()
+    lists = wanted.groupBy("k", block_of(F.col("id").cast(own), blocks).alias("block")).agg(F.collect_list("id").alias("ids"))
+    rows = lists.join(readers.select(F.col(key).cast(kind).alias("k"), "v"), "k", "left")
+
+    def score(held: Vectors, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = lengths(b.column("ids"))
+        ids = b.column("ids").flatten()
+        place, hit = held.find(ids.to_numpy(zero_copy_only=False))
+        has = b.column("v").is_valid().to_numpy(zero_copy_only=False)
+        y = matrix(b.column("v").drop_null(), dim)
+        out, at, j = np.zeros(len(ids)), 0, 0
+        for i in range(b.num_rows):
+            if has[i]:
+                mine = at + np.flatnonzero(hit[at : at + size[i]])
+                out[mine] = held.x[place[mine]] @ y[j]
+                j += 1
+            at += size[i]
+        yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(np.repeat(np.arange(b.num_rows), size))), ids, pa.array(out)], ["k", "id", "cosine"])
+
+    got = meet(rows, units, blocks, lambda table: Vectors(table, dim), score, f"k {kind}, id {what}, cosine double", ["k"])
     return got.withColumnRenamed("k", key).withColumnRenamed("id", item)
 
 
-def ivf_lists(units: DataFrame, nlist: int | None = None, seed: int = 0, sample: int = 20_000):
-    """(lists, centres): every vector with the list of its nearest centre, and the fitted k-means model.
+def covered(units: DataFrame, corpus: DataFrame, item: str = "article_id") -> tuple[DataFrame, DataFrame]:
+    """(vectors of the corpus's items (id, v), one row: items, with_vector, coverage); vectors of other items are left out.
 
-    Centres are fitted on at most about ``sample`` vectors; every vector is put into a list. nlist defaults to
-    min(256, max(1, n // 40)).
+    ``corpus`` has the items, each counted once, nulls not at all; coverage is 0 for an empty corpus.
     """
-    n = units.count()
+    wanted = corpus.select(F.col(item).alias("id")).dropna().distinct()
+    marked = wanted.join(units.select("id").withColumn("has", F.lit(1)), "id", "left")
+    figures = marked.agg(F.count("*").alias("items"), F.count("has").alias("with_vector"))
+    share = F.when(F.col("items") > 0, F.col("with_vector") / F.col("items")).otherwise(F.lit(0.0))
+    return units.join(wanted, "id", "left_semi"), figures.withColumn("coverage", share)
+
+
+def ivf_lists(units: DataFrame, nlist: int | None = None, seed: int = 0, sample: int = 20_000, n_units: int | None = None):
+    """(lists, centres): every vector with the list of its nearest centre (id, v, list), and the unit centres.
+
+    Centres are fitted by k-means on at most about ``sample`` vectors; every vector is put into a list. nlist defaults
+    to min(256, max(1, n // 40)).
+    """
+    n = units.count() if n_units is None else n_units
     nlist = min(256, max(1, n // 40)) if nlist is None else nlist
-    rows = units.withColumn("features", array_to_vector("v"))
-    part = rows.sample(min(1.0, sample / max(n, 1)), seed).select("features").cache()
-    model = KMeans(k=max(2, nlist), seed=seed, maxIter=10, initSteps=1, distanceMeasure="cosine").fit(part)
-    part.unpersist()
-    return model.transform(rows).select("id", "v", F.col("prediction").alias("list")), model
-
-
-def ivf_search(queries: DataFrame, lists: DataFrame, model, k: int, nprobe: int = 16, key: str = "query") -> DataFrame:
-    """(key, id, score, place): k best among the ``nprobe`` lists nearest to each query; approximate."""
-    centres = np.stack(model.clusterCenters())
-    centres = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    probes = min(nprobe, len(centres))
-
-    @F.pandas_udf("array<int>")
-    def nearest_lists(v: pd.Series) -> pd.Series:
-        x = np.stack(v.to_numpy())
-        return pd.Series(np.argsort(-(x @ centres.T), axis=1)[:, :probes].tolist())
-
-    asked = queries.where("v IS NOT NULL").select(F.col(key).alias("q"), F.col("v").alias("qv"), F.explode(nearest_lists("v")).alias("list"))
-    hits = asked.join(lists, "list").select("q", "id", F.round(dot(F.col("qv"), F.col("v")), 12).alias("score"))
-    order = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
-    return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).withColumnRenamed("q", key)
+    part = units.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30)) + 1)).toArrow()
+    dim = len(part["v"][0]) if part.num_rows else 1
+    centres = _k_means(matrix(part["v"], dim) if part.num_rows else np.zeros((1, 1)), max(1, nlist), seed)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                nearest = (matrix(b.column("v"), dim) @ centres.T).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), pa.array(nearest, pa.int32())], ["id", "v", "list"])
+
+    return units.select("id", "v").mapInArrow(assign, f"id {units.schema['id'].dataType.simpleString()}, v array<double>, list int"), centres
+
+
+def _k_means(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of unit vectors by spherical k-means; a centre without vectors keeps its place."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
+    for _ in range(rounds):
+        own = (x @ centres.T).argmax(axis=1)
+        order = np.argsort(own, kind="stable")
+        names, start = np.unique(own[order], return_index=True)
+        sums = np.add.reduceat(x[order], start, axis=0)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres[names] = np.where(size > 0, sums / np.where(size == 0, 1, size), centres[names])
+    return centres
+
+
+def ivf_search(queries: DataFrame, lists: DataFrame, centres: np.ndarray, k: int, nprobe: int = 16, key: str = "query") -> DataFrame:
+    """(key, id, score, place): k best among the ``nprobe`` lists nearest to each query; approximate.
+
+    Lists larger than LIST_BLOCK vectors are cut into pieces by a hash of the id, and a query is sent to every piece
+    of its lists, so a list that holds many of the vectors is not one task's work. Scores are multiplied a piece at a
+    time and k rows per query and piece are merged.
+    """
+    dim, probes = centres.shape[1], min(nprobe, len(centres))
+    kind, item = queries.schema[key].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
+    sizes = {r["list"]: r["count"] for r in lists.groupBy("list").count().collect()}  # at most nlist rows
+    pieces = [max(1, -(-sizes.get(i, 0) // LIST_BLOCK)) for i in range(len(centres))]
+    first = np.r_[0, np.cumsum(pieces)].tolist()
+    table = F.array(*[F.lit(i) for i in first])
+    at, many = F.element_at(table, F.col("list") + 1), F.element_at(table, F.col("list") + 2)
+    items = lists.select("id", "v", (at + F.pmod(F.xxhash64("id"), many - at)).cast("int").alias("block"))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(matrix(b.column("v"), dim) @ centres.T), axis=1, kind="stable")[:, :probes]
+                blocks = [[c for i in row for c in range(first[i], first[i + 1])] for row in near]
+                yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), pa.array(blocks, pa.list_(pa.int32()))], ["q", "v", "blocks"])
+
+    rows = queries.where("v IS NOT NULL").select(F.col(key).alias("q"), "v").mapInArrow(probe, f"q {kind}, v array<double>, blocks array<int>")
+    got = meet(rows.select("q", "v", F.explode("blocks").alias("block")), items, max(2, first[-1]), lambda t: Vectors(t, dim), _nearest(dim, k), f"q {kind}, id {item}, score double", ["q"])
+    return _merged(got, k, key)
 
 
 def latent_vectors(texts: DataFrame, doc: str, text: Column, components: int = 128, min_df: int = 2, max_terms: int = 200_000, iterations: int = 4, seed: int = 0):

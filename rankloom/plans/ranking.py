@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import STOPWORDS, field_tokens, join_fields
-from rankloom.functions.vectors import norm, usable
+from rankloom.functions.vectors import dot, norm, usable
 from rankloom.operators import beyond_accuracy, bootstrap, counts, lexical, ranker, ranking, splits, submission, vectors
 from rankloom.operators.heavy import heavy_keys
+from rankloom.operators.lineage import cut_lineage
 from rankloom.plans.general import _LOG
 from rankloom.sources.tables import article_texts, candidate_rows, clicks, impressions, in_log, labels_of, publish_times, recent_history, table
 
@@ -18,6 +21,10 @@ SLATE = ("impression_id",)
 ALL_HISTORY = 1_000_000
 HOURS = {"all": None, "24h": 86_400, "1h": 3_600}
 DIM = 300
+#: Lengths of history that searches are compared with.
+N_RECENT = (1, 5, 20)
+#: Angles of the cosine waves that readers' vectors are multiplied with.
+PROBES = (0.37, 1.13, 2.71)
 
 
 # --- inputs -----------------------------------------------------------------------------------------------------
@@ -65,6 +72,11 @@ def _units(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.unit_vectors(table(spark, folder, "document_vector"), "article_id", "document_vector", DIM)
 
 
+def _most_units(spark: SparkSession, folder: str) -> int:
+    """At least as many as there are vectors; a count of rows reads no vector."""
+    return table(spark, folder, "document_vector").count()
+
+
 def _twentieth(df: DataFrame, key: str) -> DataFrame:
     """The stated query set: ids divisible by 20."""
     return df.where(F.col(key) % 20 == 0)
@@ -194,14 +206,33 @@ def bm25_slate_scores(spark, folder):
 
 
 def recall_ablation(spark, folder):
+    """Recall of readers' later clicks by searches with their last 1, 5 and 20 articles, all in one pass over the index."""
     index = _index(spark, folder)
-    weights = lexical.impacts(index)
+    return _recall(spark, folder, index, _reader_clicks(spark, folder))
+
+
+def recall_by_impression(spark, folder):
+    """As recall_ablation, but every impression with a click is a case of its own: its own clicks against its reader's search."""
+    index = _index(spark, folder)
+    rows = _impressions(spark, folder).where("user_id <> 0 AND user_id % 20 = 0").select(*KEY, F.explode(F.array_intersect("clicked", "candidates")).alias("id")).where("id IS NOT NULL")
+    return _recall(spark, folder, index, rows.select("user_id", F.struct(*KEY).alias("case"), "id"))
+
+
+def _reader_clicks(spark, folder) -> DataFrame:
+    rows = _twentieth(clicks(table(spark, folder, "behaviors")).where("user_id <> 0"), "user_id")
+    return rows.select("user_id", F.col("user_id").alias("case"), F.col("article_id").alias("id"))
+
+
+def _recall(spark, folder, index: lexical.Index, relevant: DataFrame) -> DataFrame:
     asked = _twentieth(_history(spark, folder), "user_id")
-    relevant = _twentieth(clicks(table(spark, folder, "behaviors")).where("user_id <> 0"), "user_id").select("user_id", F.col("article_id").alias("id"))
+    kinds = [_terms_of(spark, folder, asked, n).withColumn("query", F.struct("user_id", F.lit(n).alias("n"))) for n in N_RECENT]
+    terms = kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    named = terms.withColumn("query", F.concat_ws("/", "query.user_id", "query.n"))
+    found = cut_lineage(lexical.search(named, lexical.impacts(index), "query", max(lexical.RECALL_AT), index.n))
     out = None
-    for n in (1, 5, 20):
-        found = lexical.search(_terms_of(spark, folder, asked, n), weights, "user_id", max(lexical.RECALL_AT), index.n)
-        got = lexical.recall_at(found, relevant, "user_id").select(F.lit(n).alias("n_recent"), "*")
+    for n in N_RECENT:
+        mine = found.where(F.col("query").endswith(f"/{n}")).select(F.substring_index("query", "/", 1).cast("long").alias("user_id"), "id", "place")
+        got = lexical.recall_at(mine, relevant, "user_id", case="case").select(F.lit(n).alias("n_recent"), "*")
         out = got if out is None else out.unionByName(got)
     return out.withColumn("recall", F.round("recall", 6))
 
@@ -317,37 +348,48 @@ def l2_norms(spark, folder):
     return rows.select("article_id", F.round(norm(F.col("document_vector")), 5).alias("norm"))
 
 
-def _first_components(df: DataFrame) -> DataFrame:
-    return df.select("user_id", "n", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in range(4)])
+def _pooled_all(spark, folder, tau: float | None) -> DataFrame:
+    """Readers' vectors, with figures that hang on every component."""
+    got = vectors.pooled(_history(spark, folder), _units(spark, folder), "user_id", DIM, tau, _most_units(spark, folder))
+    waves = [F.array(*[F.lit(math.cos(i * w)) for i in range(DIM)]) for w in PROBES]
+    return got.select("user_id", "n", *[F.round(dot(F.col("v"), a), 6).alias(f"probe{i}") for i, a in enumerate(waves)], *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in (0, 150, 299)])
 
 
 def user_vector_mean(spark, folder):
-    return _first_components(vectors.pooled(_history(spark, folder), _units(spark, folder), "user_id", DIM))
+    return _pooled_all(spark, folder, None)
 
 
 def user_vector_recency(spark, folder):
-    return _first_components(vectors.pooled(_history(spark, folder), _units(spark, folder), "user_id", DIM, vectors.TAU))
+    return _pooled_all(spark, folder, vectors.TAU)
 
 
 def ann_flat(spark, folder):
     units = _units(spark, folder)
     asked = _twentieth(units, "id").select(F.col("id").alias("query"), "v")
-    got = vectors.flat_search(asked, units, DIM, 10)
+    got = vectors.flat_search(asked, units, DIM, 10, n_units=_most_units(spark, folder))
     return got.select("query", F.col("id").alias("article_id"), F.round("score", 5).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 def ann_ivf(spark, folder):
-    units = _units(spark, folder)
-    lists, model = vectors.ivf_lists(units)
+    """How many of the exact ten nearest the inverted lists find, over the stated queries, and whether that is nine tenths."""
+    units, n = cut_lineage(_units(spark, folder)), _most_units(spark, folder)
+    lists, centres = vectors.ivf_lists(units, n_units=n)
     asked = _twentieth(units, "id").select(F.col("id").alias("query"), "v")
-    return vectors.ivf_search(asked, lists, model, 10)
+    near = vectors.ivf_search(asked, lists, centres, 10).select("query", "id", F.lit(1).alias("found"))
+    exact = vectors.flat_search(asked, units, DIM, 10, n_units=n).join(near, ["query", "id"], "left")
+    return exact.agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
+def embedding_coverage(spark, folder):
+    """How many of the articles have a usable vector."""
+    return vectors.covered(_units(spark, folder), _texts(spark, folder))[1]
 
 
 def slate_cosine(spark, folder):
     pairs = _impressions(spark, folder).where("user_id <> 0").select("user_id", F.explode("candidates").alias("article_id"))
-    units = _units(spark, folder)
-    readers = vectors.pooled(_history(spark, folder), units, "user_id", DIM)
-    return vectors.slate_cosine(pairs, readers, units, "user_id", DIM).select("user_id", "article_id", F.round("cosine", 5).alias("cosine"))
+    units, n = cut_lineage(_units(spark, folder)), _most_units(spark, folder)
+    readers = vectors.pooled(_history(spark, folder), units, "user_id", DIM, n_units=n)
+    return vectors.slate_cosine(pairs, readers, units, "user_id", DIM, n_units=n).select("user_id", "article_id", F.round("cosine", 5).alias("cosine"))
 
 
 def latent_vectors(spark, folder):
@@ -429,8 +471,8 @@ QUERIES = {
     for f in (
         click_counts, listed_counts, article_popularity, user_activity, latest_source, split_boundaries, temporal_split, history_tail, rolling_counts,
         rolling_ctr, frozen_counts, category_affinity, article_age, zero_fraction, token_counts, index_stats, idf_lucene, idf_okapi, bm25_search,
-        bm25_slate_scores, recall_ablation, ranks_from_scores, slate_top_k, rrf, weighted_sum, slate_metrics, metric_means, metric_by_slice, leaky_probe,
-        bootstrap_ci, poisson_ci, diversity, novelty, coverage_gini, candidate_coverage, l2_norms, user_vector_mean, user_vector_recency, ann_flat, ann_ivf,
+        bm25_slate_scores, recall_ablation, recall_by_impression, ranks_from_scores, slate_top_k, rrf, weighted_sum, slate_metrics, metric_means, metric_by_slice, leaky_probe,
+        bootstrap_ci, poisson_ci, diversity, novelty, coverage_gini, candidate_coverage, l2_norms, user_vector_mean, user_vector_recency, ann_flat, ann_ivf, embedding_coverage,
         slate_cosine, latent_vectors, feature_rows, gbt_scores, importance, feature_ablation, submission_lines, submission_check,
     )
 }
@@ -467,6 +509,17 @@ hits_{n} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id OR
   (SELECT user_id, id, sum(impact * q) AS score FROM qterm_{n} JOIN imp_w USING (term) WHERE user_id % 20 = 0 GROUP BY 1, 2)) WHERE place <= {k})"""
 
 
+def _recall_sql(log: str, relevant: str) -> str:
+    each = [
+        f"""SELECT {n} AS n_recent, {k} AS k, count(place) FILTER (WHERE place <= {k}) AS hits, count(*) FILTER (WHERE u.user_id IS NOT NULL) AS relevant, count(DISTINCT c) FILTER (WHERE u.user_id IS NOT NULL) AS scored,
+  count(DISTINCT c) FILTER (WHERE u.user_id IS NULL) AS skipped, round(count(place) FILTER (WHERE place <= {k})::DOUBLE / nullif(count(*) FILTER (WHERE u.user_id IS NOT NULL), 0), 6) AS recall
+FROM rel LEFT JOIN (SELECT DISTINCT user_id FROM hits_{n}) u USING (user_id) LEFT JOIN hits_{n} h ON h.user_id = rel.user_id AND h.id = rel.id"""
+        for n in N_RECENT
+        for k in lexical.RECALL_AT
+    ]
+    return f"WITH {log}, {_WORDS}, {_HIST}, {', '.join(_hits(n, 200) for n in N_RECENT)}, rel AS ({relevant})\n" + " UNION ALL ".join(each)
+
+
 _SLATES = f"""{_LOG}, hit AS (SELECT DISTINCT impression_id, article_id, 1 AS label FROM click WHERE impression_id <> 0),
 raw AS (SELECT DISTINCT * FROM candidate_scores WHERE impression_id IS NOT NULL AND pos IS NOT NULL),
 slate AS (SELECT impression_id, pos, article_id, coalesce(CASE WHEN NOT isnan(bm25) THEN bm25 END, 0) AS bm25, coalesce(CASE WHEN NOT isnan(semantic) THEN semantic END, 0) AS semantic,
@@ -493,12 +546,19 @@ unit AS (SELECT id, list_transform(raw, lambda x: x / len) AS v FROM lengths)"""
 
 
 def _pooled(weight: str) -> str:
-    return f"""read AS (SELECT user_id, unnest(ids) AS id, len(ids) - unnest(range(1, len(ids) + 1)) AS age FROM hist),
+    return f"""read AS (SELECT user_id, id, count(*) OVER (PARTITION BY user_id) - row_number() OVER (PARTITION BY user_id ORDER BY p) AS age FROM
+  (SELECT user_id, unnest(ids) AS id, unnest(range(len(ids))) AS p FROM hist) SEMI JOIN unit USING (id)),
 comp AS (SELECT user_id, d, sum({weight} * x) AS s, count(*) AS n FROM (SELECT user_id, age, unnest(v) AS x, unnest(range(300)) AS d FROM read JOIN unit USING (id)) GROUP BY 1, 2),
 reader AS (SELECT user_id, any_value(n) AS n, list(s ORDER BY d) AS s, sqrt(sum(s * s)) AS size FROM comp GROUP BY 1)"""
 
 
-_FOUR = "SELECT user_id, n, " + ", ".join(f"round(s[{i + 1}] / CASE WHEN size = 0 THEN 1 ELSE size END, 6) AS v{i}" for i in range(4)) + " FROM reader"
+_PROBED = (
+    "SELECT user_id, n, "
+    + ", ".join(f"round(list_dot_product(s, list_transform(range(300), lambda i: cos(i * {w}::DOUBLE))) / CASE WHEN size = 0 THEN 1 ELSE size END, 6) AS probe{i}" for i, w in enumerate(PROBES))
+    + ", "
+    + ", ".join(f"round(s[{i + 1}] / CASE WHEN size = 0 THEN 1 ELSE size END, 6) AS v{i}" for i in (0, 150, 299))
+    + " FROM reader"
+)
 
 
 def _asof(measure: str, frame: str) -> str:
@@ -540,15 +600,8 @@ SELECT term, df, round(CASE WHEN r <= 0 THEN 0.25::DOUBLE * m ELSE r END, 6) AS
     "bm25_search": f"WITH {_WORDS}, {_HIST}, {_hits(5, 50)} SELECT user_id, id AS article_id, round(score, 5) AS score, place FROM hits_5",
     "bm25_slate_scores": f"""WITH {_IMP}, {_WORDS}, {_HIST}, {_query_terms(5)}, {_READERS}
 SELECT a.user_id, a.article_id, round(coalesce(sum(impact * q), 0), 5) AS score FROM asked a LEFT JOIN (SELECT user_id, id, impact, q FROM qterm_5 JOIN imp_w USING (term)) s ON s.user_id = a.user_id AND s.id = a.article_id GROUP BY 1, 2""",
-    "recall_ablation": f"""WITH {_LOG}, {_WORDS}, {_HIST}, {", ".join(_hits(n, 200) for n in (1, 5, 20))}, rel AS (SELECT DISTINCT user_id, article_id AS id FROM click WHERE user_id <> 0 AND user_id % 20 = 0)
-"""
-    + " UNION ALL ".join(
-        f"""SELECT {n} AS n_recent, {k} AS k, count(place) FILTER (WHERE place <= {k}) AS hits, count(*) FILTER (WHERE u.user_id IS NOT NULL) AS relevant, count(DISTINCT u.user_id) AS scored,
-  count(DISTINCT rel.user_id) - count(DISTINCT u.user_id) AS skipped, round(count(place) FILTER (WHERE place <= {k})::DOUBLE / nullif(count(*) FILTER (WHERE u.user_id IS NOT NULL), 0), 6) AS recall
-FROM rel LEFT JOIN (SELECT DISTINCT user_id FROM hits_{n}) u USING (user_id) LEFT JOIN hits_{n} h ON h.user_id = rel.user_id AND h.id = rel.id"""
-        for n in (1, 5, 20)
-        for k in (50, 100, 200)
-    ),
+    "recall_ablation": _recall_sql(_LOG, "SELECT DISTINCT user_id, user_id AS c, article_id AS id FROM click WHERE user_id <> 0 AND user_id % 20 = 0"),
+    "recall_by_impression": _recall_sql(_LOG, "SELECT DISTINCT user_id, {'i': impression_id, 't': impression_time} AS c, article_id AS id FROM click WHERE user_id <> 0 AND user_id % 20 = 0"),
     "ranks_from_scores": f"WITH {_SLATES} SELECT impression_id, pos, row_number() OVER (PARTITION BY impression_id ORDER BY bm25 DESC, pos) AS rank FROM slate",
     "slate_top_k": f"WITH {_SLATES}, {_LIST} SELECT impression_id, pos, article_id, place FROM lst",
     "rrf": f"WITH {_SLATES} SELECT impression_id, pos, round(" + " + ".join(f"1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY impression_id ORDER BY {s} DESC, pos))" for s in ("bm25", "semantic", "pop_total")) + ", 9) AS rrf FROM slate",
@@ -578,8 +631,11 @@ SELECT any_value(n) AS n_items, round(any_value(n)::DOUBLE / (SELECT count(DISTI
     "candidate_coverage": f"""WITH {_IMP}, known AS (SELECT DISTINCT article_id FROM lab WHERE label = 1 AND ts < {_CUT}), c AS (SELECT DISTINCT article_id FROM lab WHERE article_id IS NOT NULL)
 SELECT count(*) AS n_candidates, count(k.article_id) AS n_known, round(count(k.article_id)::DOUBLE / count(*), 6) AS coverage FROM c LEFT JOIN known k USING (article_id)""",
     "l2_norms": f"WITH {_UNITS} SELECT id AS article_id, round(len, 5) AS norm FROM lengths",
-    "user_vector_mean": f"WITH {_UNITS}, {_HIST}, {_pooled('1')} {_FOUR}",
-    "user_vector_recency": f"WITH {_UNITS}, {_HIST}, {_pooled('exp(-age / 5.0::DOUBLE)')} {_FOUR}",
+    "user_vector_mean": f"WITH {_UNITS}, {_HIST}, {_pooled('1')} {_PROBED}",
+    "user_vector_recency": f"WITH {_UNITS}, {_HIST}, {_pooled('exp(-age / 5.0::DOUBLE)')} {_PROBED}",
+    "ann_ivf": f"WITH {_UNITS}, n AS (SELECT count(*) AS n, count(*) FILTER (WHERE id % 20 = 0) AS q FROM unit) SELECT q AS n_queries, q * least(n, 10) AS n_neighbours, true AS recall_reached FROM n",
+    "embedding_coverage": f"""WITH {_UNITS}, c AS (SELECT count(DISTINCT article_id) AS items, count(DISTINCT article_id) FILTER (WHERE article_id IN (SELECT id FROM unit)) AS with_vector FROM articles)
+SELECT items, with_vector, with_vector::DOUBLE / items AS coverage FROM c""",
     "ann_flat": f"""WITH {_UNITS}, s AS (SELECT q.id AS query, u.id AS article_id, round(list_dot_product(q.v, u.v), 12) AS score FROM unit q, unit u WHERE q.id % 20 = 0)
 SELECT query, article_id, round(score, 5) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, article_id) AS place FROM s) WHERE place <= 10""",
     "slate_cosine": f"""WITH {_IMP}, {_UNITS}, {_HIST}, {_pooled('1')}, {_READERS}

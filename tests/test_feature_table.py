@@ -1,5 +1,6 @@
 """Feature rows, with and without readers treated as heavy."""
 
+import pytest
 from conftest import rows, t
 
 from rankloom.operators import feature_table as ft
@@ -32,7 +33,7 @@ def test_lookup_too_large_to_broadcast(spark, monkeypatch):
 
 def test_wide(spark):
     wide = {r["user_id"]: r for r in ft.wide_rows(ft.entity_events(log(spark), lookup(spark), [])[0], ["view:sport", "click:bil", "view:never"], "2025-03-08 10:00:00").collect()}
-    assert wide[7]["n_view_sport"] == 2 and wide[7]["days_since_view_sport"] == 6.0 and wide[7]["n_all"] == 7 and wide[8]["n_click_bil"] == 0 and wide[8]["days_since_view_never"] is None
+    assert wide[7]["view_sport_n"] == 2 and wide[7]["view_sport_days"] == 6.0 and wide[7]["n_all"] == 7 and wide[8]["click_bil_n"] == 0 and wide[8]["view_never_days"] is None
 
 
 def test_rows_hold_every_type(spark):
@@ -47,3 +48,16 @@ def test_rows_hold_every_type(spark):
 
 def test_empty(spark):
     assert ft.entity_events(log(spark).limit(0), lookup(spark))[0].count() == 0
+
+
+def test_every_type_has_a_column(spark, monkeypatch):
+    types = ft.event_types(lookup(spark))
+    assert types == ["click:bil", "click:none", "click:sport", "view:bil", "view:none", "view:sport"]
+    assert ft.event_types(lookup(spark).limit(0)) == ["click:none", "view:none"]
+    monkeypatch.setattr(ft, "MAX_TYPES", 4)
+    with pytest.raises(ValueError, match="type_rows"):
+        ft.event_types(lookup(spark))
+    monkeypatch.setattr(ft, "WIDE_BLOCK", 1)
+    many = [(i, u, t("2025-03-01 00:00:00"), [1, 2], [1]) for u in range(10, 30) for i in range(u)]
+    wide = ft.wide_rows(ft.entity_events(spark.createDataFrame(many, LOG), lookup(spark), [12])[0], types, "2025-03-02 00:00:00").collect()
+    assert {r["user_id"]: (r["view_sport_n"], r["click_sport_n"], r["click_bil_n"], r["view_bil_days"]) for r in wide} == {u: (u, u, 0, 1.0) for u in range(10, 30)}

@@ -26,7 +26,7 @@ def test_unusable_vectors(spark):
 @pytest.mark.parametrize("block", [100_000, 7])
 @pytest.mark.parametrize("tau", [None, 1.0])
 def test_pooled(spark, tau, block, monkeypatch):
-    monkeypatch.setattr(vectors, "UNIT_BLOCK", block)
+    monkeypatch.setattr(vectors, "HELD", block)
     rng = np.random.default_rng(0)
     x = rng.normal(size=(30, 5)).astype(np.float32)
     lists = {u: [int(i) for i in rng.integers(0, 35, rng.integers(0, 9))] for u in range(12)}
@@ -34,26 +34,50 @@ def test_pooled(spark, tau, block, monkeypatch):
     got = {r["u"]: np.array(r["v"]) for r in vectors.pooled(h, units(spark, x), "u", 5, tau).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     for u, a in lists.items():
-        s = sum((np.exp(-(len(a) - 1 - p) / tau) if tau else 1.0) * unit[i] for p, i in enumerate(a) if i < 30)
+        known = [i for i in a if i < 30]
+        s = sum((np.exp(-(len(known) - 1 - p) / tau) if tau else 1.0) * unit[i] for p, i in enumerate(known))
         assert (u in got) == any(i < 30 for i in a)
         if u in got:
             assert np.allclose(got[u], s / np.linalg.norm(s), atol=1e-6)
 
 
-def test_searches(spark):
+def test_unknown_articles_do_not_age_the_others(spark):
+    x = np.eye(3, dtype=np.float32)
+    h = spark.createDataFrame([(1, [0, 77, 77, None, 1])], "u int, article_ids array<int>")
+    r = vectors.pooled(h, units(spark, x), "u", 3, 1.0).first()
+    assert r["n"] == 2 and r["v"][0] / r["v"][1] == pytest.approx(np.exp(-1))
+
+
+def test_coverage(spark):
+    x = np.eye(3, dtype=np.float32)
+    corpus = spark.createDataFrame([(0,), (0,), (2,), (9,), (None,)], "article_id int")
+    kept, figures = vectors.covered(units(spark, x), corpus)
+    assert sorted(r["id"] for r in kept.collect()) == [0, 2] and tuple(figures.first()) == (3, 2, pytest.approx(2 / 3))
+    assert vectors.covered(units(spark, x), corpus.limit(0))[1].first()["coverage"] == 0
+
+
+@pytest.mark.parametrize("block", [100_000, 30])
+def test_searches(spark, block, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD", block)
+    monkeypatch.setattr(vectors, "LIST_BLOCK", block)
     x = np.random.default_rng(0).normal(size=(200, 16)).astype(np.float32)
     u = units(spark, x)
     asked = u.where("id < 20").select(F.col("id").alias("query"), "v")
     flat = vectors.flat_search(asked.unionByName(spark.createDataFrame([(777, None)], "query int, v array<double>")), u, 16, 3).collect()
-    assert len(flat) == 60 and all(r["id"] == r["query"] for r in flat if r["place"] == 1)
-    lists, model = vectors.ivf_lists(u)
-    ivf = {r["query"]: r["id"] for r in vectors.ivf_search(asked, lists, model, 1).collect()}
-    assert sum(ivf[q] == q for q in ivf) >= 15
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(unit[:20] @ unit.T), axis=1, kind="stable")[:, :3]
+    assert {(r["query"], r["place"]): r["id"] for r in flat} == {(q, p + 1): int(best[q, p]) for q in range(20) for p in range(3)}
+    lists, centres = vectors.ivf_lists(u)
+    every = {(r["query"], r["place"]): r["id"] for r in vectors.ivf_search(asked, lists, centres, 3, nprobe=99).collect()}
+    assert every == {(r["query"], r["place"]): r["id"] for r in flat}  # all lists probed: exact
+    few = {(r["query"], r["id"]) for r in vectors.ivf_search(asked, lists, centres, 3, nprobe=3).collect()}
+    assert len(few & {(r["query"], r["id"]) for r in flat}) >= 40
+    assert vectors.flat_search(asked, u.limit(0), 16, 3).count() == 0
 
 
 @pytest.mark.parametrize("block", [100_000, 7])
 def test_slate_cosine(spark, block, monkeypatch):
-    monkeypatch.setattr(vectors, "UNIT_BLOCK", block)
+    monkeypatch.setattr(vectors, "HELD", block)
     x = np.random.default_rng(1).normal(size=(20, 4)).astype(np.float32)
     u = units(spark, x)
     readers = u.where("id < 3").select(F.col("id").alias("u"), "v")
