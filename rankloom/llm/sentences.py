@@ -3,17 +3,21 @@
 Marks are found by their Unicode sentence-break properties, so the terminators of all scripts count. A blank line
 always ends a sentence and a single line break never does by itself. Text between a pair of quotation marks is never
 cut; whether its own end mark ends the sentence depends on what follows. A full stop is dropped as an end mark where
-the word before it is an abbreviation that takes what follows, where a number goes on, or where the next word starts
-in lower case. In Thai a space ends a sentence.
+the word before it is an abbreviation of its language that takes what follows, where a number goes on, or
+where the next word starts in lower case. In Thai a space ends a sentence. The language is told sentence by
+sentence, by its script and its frequent words, with the paragraph and the text's label beside them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import regex as re
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 WHITE = " \t\n\r 　"
 #: Marks that end a sentence wherever they stand, those that may (full stops), and the ellipsis.
@@ -43,32 +47,118 @@ _CLOSING = {
     "«": "»", "»": "«»", "‹": "›", "›": "‹›", "「": "」", "『": "』",
 }
 
-# Fixed values. Abbreviations that stand before a name or a word: no sentence ends behind them.
-BEFORE_WORDS = frozenset(
-    # Danish, Norwegian, Swedish
-    "adr afd ang bl.a b.la ca cand dir dr d.v.s dvs e.kr enl eks evt f.eks fhv f.kr f.m forf frk gl hhv hr iflg inkl insp jf jfr jvf kpt kst lign modsv mdl nuv obl opr overs p.g.a pga pr prof præs resp sct sekr skt smed sml spec st stk tidl tilsv t.ex vedr vejl "
-    # English
-    "approx brig capt cdr cf cmdr cpl e.g esp ft i.e messrs mlle mme mr mrs ms mt mx prof sgt st supt v viz vs "
-    # German
-    "abg bzw d.h dipl.-ing ehem einschl evtl geb ggf hl i.d.r inkl insb kath m.e niederl o.g s.o s.u sog u.a vgl z.b z.t z.zt zzgl "
-    # French, Spanish, Italian
-    "c.-à-d env mgr p.ex d.a dott dott.ssa dra ej p.ej sig.ra sr sra sres srta uds "
-    # Russian, Greek
-    "акад бул гр инж ок проф пр рис см ср т.е т.к т.н тов ул δηλ δρ κ.κ κα π.χ περ πρβλ σ.σ "
-    # Hindi, Arabic
-    "डॉ श्री प्रो पं د أ م ش".split()
-)
-# Fixed values. Abbreviations as above that are words in lower case.
-BEFORE_NAMES = frozenset("Col Fr Gen Gov Hon Ing Lic Lt Maj Rep Rev Sen Sig".split())
-# Fixed values. Abbreviations that stand before a number; before anything else they may end a sentence.
-BEFORE_NUMBERS = frozenset(
-    "ab apr art aug bd bl c ca cap ch chap d dec déc feb fig fol jan jul jun kap kl mar n no nos nov nr nrn núm num nº oct okt p pag para pp pág s sec sect sep sept t tab tel tlf v vol "
-    "апр гл п рис с стр αρ σ σελ §".split()
-)
-# Fixed values. Lower-case words of one letter that are words, not abbreviations.
-ONE_LETTER_WORDS = frozenset("å ø ö i y e o u à ó é а и о у я в к с ο η α ω ή".split())
-# Fixed values. Nouns in capitals that go on behind an ordinal number.
-AFTER_ORDINALS = frozenset(
+
+class _Words(NamedTuple):
+    """What a language suppresses full stops for."""
+
+    #: Abbreviations before a name or a word: no sentence ends behind them.
+    words: frozenset
+    #: Abbreviations as above that are other words in lower case, so the capital counts.
+    names: frozenset = frozenset()
+    #: Abbreviations before a number; before anything else they may end a sentence.
+    numbers: frozenset = frozenset()
+    #: Words of one letter in lower case, which are no abbreviations.
+    letters: frozenset = frozenset()
+    #: Frequent words, by which a paragraph's language is told.
+    common: frozenset = frozenset()
+
+
+def _of(words: str, names: str = "", numbers: str = "", letters: str = "", common: str = "") -> _Words:
+    return _Words(*[frozenset(x.split()) for x in (words, names, numbers, letters, common)])
+
+
+# Abbreviations, one-letter words and frequent words of each language.
+LANGUAGES = {
+    "da": _of(
+        "adr afd ang bl.a ca cand dir dr d.v.s dvs e.kr eks evt f.eks fhv f.kr f.m forf frk gl hhv hr iflg inkl insp jf jfr jvf kpt kst lign modsv mdl nuv obl opr overs p.g.a pga pr prof præs resp sct sekr skt smed sml spec st stk tidl tilsv vedr vejl",
+        "", "apr aug bd bl ca d dec feb fig jan jul jun kap kl mar nov nr okt p pp s sep sept tab tel tlf vol", "å ø ö i",
+        "og i at det er en til på som med for af de ikke den han hun et vi jeg du har var fra sig blev kan skal vil om men nu efter ved ud op der også mere hvad mens siden ifølge eller over under fik får blev bliver dem sin deres mod uden",
+    ),
+    "sv": _of(
+        "adr ang bl.a ca d.v.s dr dvs e.kr enl ev evt f.kr f.m forts hr inkl jfr kpt modsv p.g.a pga prof resp sekr skt spec s.k st t.ex tidl",
+        "", "apr aug bd bl ca d dec feb fig jan jul jun kap kl mar nov nr okt p pp s sep sept tab tel vol", "å ö i",
+        "och i att det är en till på som med för av de inte den han hon ett vi jag du har var från sig blev kan ska vill om men nu efter vid ut upp där också mer vad medan sedan enligt eller över under fick får blir dem sin deras mot utan ej",
+    ),
+    "en": _of(
+        "approx brig capt cdr cf cmdr cpl dr e.g esp ft i.e messrs mr mrs ms mt mx prof resp sgt st supt viz vs v",
+        "Col Gen Gov Hon Lt Maj Rep Rev Sen", "apr aug c ca ch chap dec feb fig jan jul jun mar nov oct p para pp sec sect sep sept tab tel vol v", "a i",
+        "the and of to a in is that it for was on with as he she his her be at by this they we you not have had from or an were their which one all would there been has more after who when but will down then into its",
+    ),
+    "de": _of(
+        "abg bzw ca d.h dipl.-ing dr ehem einschl evtl geb ggf hl hr i.d.r inkl insb kath m.e niederl o.g prof s.o s.u sog st u.a vgl z.b z.t z.zt zzgl",
+        "Fr Ing Lic", "abb abs apr art aug bd bl ca dez feb jan jul jun kap kl mar nov nr nrn okt p s sep sept tab tel vol", "",
+        "der die das und ist in den von zu mit sich des auf für nicht ein eine als auch es an er sie wir ich dem war bei nach aus wie im am wird oder um noch über einen hat so zum zur wer was ihr mir dir uns aber wenn nur vor bis man sind einer durch wurde dann doch jetzt",
+    ),
+    "fr": _of("c.-à-d cf dr env m mgr mlle mme p.ex prof st ste", "", "apr art cap ch chap déc fig fol n no nos nov nº oct p para pp s sept t tel v vol", "y à a", "le la les et de des du un une est en que qui dans pour il elle pas sur au aux ce se avec ne par plus nous vous je ils son sa ses ont été mais ou leur cette fut après selon"),
+    "es": _of("d.a dr dra ej lic p.ej prof sr sra sres srta ud uds", "Fr Gen Ing Lic", "art c cap fig fol n no nos num núm nº p pag pp pág t tel v vol", "y e o u a ó", "el la los las y de del un una es en que para se con no por más su al lo como pero sus le ya o fue ha este sí porque esta entre cuando muy sin sobre también me hasta hay donde quién según quien"),
+    "it": _of("dott dott.ssa dr prof sig sig.ra", "", "art cap fig n p pag pp t vol", "e o è é i a", "il lo la gli le e di del della un una è in che per si con non da più suo al come ma anche sono ha nel alla dei delle dal questo"),
+    "ru": _of("акад бул гр инж ок проф пр рис см ср т.е т.к т.н тов ул", "", "апр гл п рис с стр", "а и о у я в к с"),
+    "el": _of("δηλ δρ κ.κ κα π.χ περ πρβλ σ.σ", "", "αρ σ σελ", "ο η α ω ή"),
+    "hi": _of("डॉ श्री प्रो पं"),
+    "ar": _of("د أ م ش"),
+}
+#: Other names of these languages.
+_SAME = {"no": "da", "nb": "da", "nn": "da", "dan": "da", "nor": "da", "swe": "sv", "eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "rus": "ru", "ell": "el", "gre": "el", "hin": "hi", "ara": "ar"}
+_TOLD_BY_WORDS = [x for x, w in LANGUAGES.items() if w.common]
+_PLAIN_WORD = re.compile(r"\p{L}+")
+
+
+def _together(*langs: str) -> _Words:
+    return _Words(*[frozenset().union(*[part[i] for part in (LANGUAGES[x] for x in langs)]) for i in range(len(_Words._fields))])
+
+
+#: Lists of the languages told by script; they share no word with the others, and stand beside those of every text.
+_OTHER_SCRIPTS = _together("ru", "el", "hi", "ar")
+
+
+def language_code(lang: str | None) -> str | None:
+    """The language of LANGUAGES that a label like "da", "DAN " or "en-GB" names; None if it names none."""
+    code = re.split(r"[-_]", lang.strip().lower())[0] if lang else ""
+    code = _SAME.get(code, code)
+    return code if code in LANGUAGES else None
+
+
+def _told(text: str) -> list[tuple[int, str]]:
+    """How many frequent words of each language a text has, the most first."""
+    words = [w.lower() for w in _PLAIN_WORD.findall(text) if len(w) > 1]  # single letters are initials
+    return sorted(((sum(w in LANGUAGES[x].common for w in words), x) for x in _TOLD_BY_WORDS), reverse=True)
+
+
+def _near(told: list[tuple[int, str]]) -> list[str]:
+    """The language with the most words, and close seconds."""
+    return [x for n, x in told if n and n >= 0.75 * told[0][0]]
+
+
+class _Language:
+    """The lists for a sentence as far as it is read. Texts change language from one sentence to the next."""
+
+    def __init__(self, label: str | None):
+        self.label = language_code(label)
+        self._paragraph: tuple[str, list[str]] = ("", [])
+
+    def of(self, paragraph: str, start: int, end: int) -> _Words:
+        """By the words of paragraph[start:end]; where these tell little, by the paragraph and the label as well.
+
+        A sentence without any frequent word is given all lists.
+        """
+        told = _told(paragraph[start:end])
+        near = _near(told)
+        if not near:
+            return _join(*_TOLD_BY_WORDS)
+        if told[0][0] < 2:
+            if self._paragraph[0] is not paragraph:
+                self._paragraph = paragraph, _near(_told(paragraph))
+            near = [*near, *self._paragraph[1], *([self.label] if self.label in _TOLD_BY_WORDS else [])]
+        return _join(*dict.fromkeys(near))
+
+
+@lru_cache(maxsize=256)
+def _join(*langs: str) -> _Words:
+    return _Words(*[a | b for a, b in zip(_together(*langs), _OTHER_SCRIPTS)])
+
+
+# Fixed values. German ordinals are numbers with a full stop; words before them, and nouns in capitals that go on behind.
+_GERMAN_AFTER_ORDINAL = frozenset(
     "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner Quartal Klasse Jahrhundert Platz Stock Etage Liga Tag Runde Spieltag Mal Halbzeit Minute Stunde Woche Monat Jahr Jahrestag Geburtstag Auflage Kapitel Reihe Semester Bezirk Weltkrieg".split()
 )
 _GERMAN_BEFORE_ORDINAL = frozenset("am im vom zum zur der die das dem den des bis ab seit beim ins".split())
@@ -106,7 +196,7 @@ def _quotes(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def _abbreviated(text: str, start: int, dot: int, following: str, after: str) -> bool:
+def _abbreviated(text: str, start: int, dot: int, following: str, after: str, language: _Language) -> bool:
     """Whether the full stop at ``dot`` belongs to the word before it, with ``following`` the next character."""
     m = _WORD_BEFORE.search(text, start, dot) if dot > start else None
     token = m.group() if m else ""
@@ -120,17 +210,21 @@ def _abbreviated(text: str, start: int, dot: int, following: str, after: str) ->
         if _UPPER.match(following):
             head = text[max(start, dot - len(token) - 12) : dot - len(token)].split()
             noun = re.match(r"\p{L}+", after)
-            return bool(head) and head[-1] in _GERMAN_BEFORE_ORDINAL and bool(noun) and noun.group() in AFTER_ORDINALS
+            return bool(head) and head[-1] in _GERMAN_BEFORE_ORDINAL and bool(noun) and noun.group() in _GERMAN_AFTER_ORDINAL
         return False
     if "/" in token and len(word) == 1:
         return False
     last = word.rsplit(".", 1)[-1]
-    if number and (low in BEFORE_NUMBERS or last.lower() in BEFORE_NUMBERS or low in BEFORE_WORDS):
+    lists = language.of(text, start, dot)
+    if number and (low in lists.numbers or last.lower() in lists.numbers or low in lists.words or (token in ("No", "Nos"))):
         return True
-    if low in BEFORE_WORDS or token in BEFORE_NAMES:
+    if low in lists.words or token in lists.names:
+        if token == "St" and not number:  # Main St. is a street, which may end a sentence; St. Ives is none
+            before = _PLAIN_WORD.search(text[start : dot - len(token)].rstrip(WHITE).rsplit(" ", 1)[-1])
+            return before is None or not _UPPER.match(before.group()) or before.start() > 0 or not text[start : dot - len(token)].strip(WHITE).count(" ")
         return True
     head = text[max(start, dot - len(token) - 6) : dot - len(token)].rstrip(WHITE)
-    if low == "ej" or (low in ("п", "д", "б", "h", "b") and head.endswith(".") and head[-2:-1].isalpha() and head[-3:-2] in (" ", "", " ")):
+    if low in ("п", "д", "б", "h", "b", "ej") and (head.endswith(".") and head[-2:-1].isalpha() and head[-3:-2] in (" ", "", " ")):
         # the second half of an abbreviation written with a space: z. B., d. h.; i t. d. may end a sentence
         return low in ("ej", "h", "b")
     if len(last) == 1 and last.isalpha() and not _CASELESS.match(last):
@@ -140,11 +234,11 @@ def _abbreviated(text: str, start: int, dot: int, following: str, after: str) ->
             return False
         if last == "г" and head[-1:].isdigit():
             return False
-        return last not in ONE_LETTER_WORDS and not head[-1:].isdigit()
+        return last not in lists.letters and not head[-1:].isdigit()
     return False
 
 
-def _ends(text: str, start: int, end: int, mark: re.Match, quoted: bool, lead: bool) -> bool:
+def _ends(text: str, start: int, end: int, mark: re.Match, quoted: bool, lead: bool, language: _Language) -> bool:
     """Whether a sentence ends at ``end``, behind ``mark`` and its closing marks; there is more text behind it."""
     gap = _WHITE_RUN.match(text, end)
     at = gap.end() if gap else end
@@ -186,17 +280,17 @@ def _ends(text: str, start: int, end: int, mark: re.Match, quoted: bool, lead: b
             m = _WORD_BEFORE.search(text, start, mark.start())
             token = m.group() if m else ""
             if "." in token and not token[-1:].isdigit():
-                return len(token.rsplit(".", 1)[-1]) > 2 and at + 1 < len(text) and not _abbreviated(text, start, mark.start(), following, text[at : at + 24])
+                return len(token.rsplit(".", 1)[-1]) > 2 and at + 1 < len(text) and not _abbreviated(text, start, mark.start(), following, text[at : at + 24], language)
             if len(token) < 2 and not token.isdigit():
                 return False
             nxt = text[at + 1 : at + 2]
-            return (bool(_LOWER.match(nxt)) or nxt in WHITE) and not _abbreviated(text, start, mark.start(), following, text[at : at + 24])
+            return (bool(_LOWER.match(nxt)) or nxt in WHITE) and not _abbreviated(text, start, mark.start(), following, text[at : at + 24], language)
         if _CASELESS.match(following) and (before.isdigit() or before.isascii()):
             return False
-    return end != mark.end() or not _abbreviated(text, start, mark.start(), following, text[at : at + 24])
+    return end != mark.end() or not _abbreviated(text, start, mark.start(), following, text[at : at + 24], language)
 
 
-def _paragraph(text: str) -> Iterator[tuple[int, int]]:
+def _paragraph(text: str, language: _Language) -> Iterator[tuple[int, int]]:
     """Sentences of a text without blank lines, which starts and ends with a non-white character."""
     spans = _quotes(text)
     opens = {a for a, _ in spans}
@@ -256,7 +350,7 @@ def _paragraph(text: str) -> Iterator[tuple[int, int]]:
         at = max(at, end)
         if end >= n:
             break
-        if _ends(text, start, end, m, quoted, lead):
+        if _ends(text, start, end, m, quoted, lead, language):
             yield start, end
             gap = _WHITE_RUN.match(text, end)
             start = at = gap.end() if gap else end
@@ -275,11 +369,15 @@ def _thai_end(text: str, start: int, gap: re.Match) -> bool:
     return held and (_THAI.match(after) is not None or not before.isalnum())
 
 
-def sentences(text: str | None) -> list[tuple[int, int]]:
-    """Spans (start, end exclusive) of the sentences of a text, in code points; none for null or blank text."""
+def sentences(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """Spans (start, end exclusive) of the sentences of a text, in code points; none for null or blank text.
+
+    ``lang`` is a label, which may be missing or wrong: a sentence's own words come first.
+    """
     out: list[tuple[int, int]] = []
     if not text:
         return out
+    language = _Language(lang)
 
     def add(a: int, b: int) -> None:
         while a < b and text[a] in WHITE:
@@ -288,7 +386,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
             b -= 1
         if a < b:
             part = text[a:b]
-            out.extend((a + x, a + y) for x, y in _paragraph(part))
+            out.extend((a + x, a + y) for x, y in _paragraph(part, language))
 
     at = 0
     for m in _BLANK.finditer(text):
@@ -298,20 +396,22 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def split_sentences(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def split_sentences(documents: DataFrame, doc: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """(doc, start_pos INT, end_pos INT): one row per sentence of every document; end_pos is exclusive.
 
-    Positions count code points. Null and blank texts give no rows; repeated documents give repeated rows; texts of
-    any length are processed whole. Other columns are ignored.
+    ``lang`` names the column of language labels, None if there is none. Positions count code points. Null and blank
+    texts give no rows; repeated documents give repeated rows; texts of any length are processed whole. Other columns
+    are ignored.
     """
-    rows = documents.select(doc, text).where(f"`{text}` IS NOT NULL")
+    label = F.col(f"`{lang}`") if lang else F.lit(None).cast("string")
+    rows = documents.select(F.col(f"`{doc}`"), F.col(f"`{text}`"), label.alias("__lang")).where(f"`{text}` IS NOT NULL")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             ids: list = []
             spans: list = []
-            for i, t in zip(x[doc], x[text]):
-                got = sentences(t)
+            for i, t, label in zip(x[doc], x[text], x["__lang"]):
+                got = sentences(t, label)
                 ids.extend([i] * len(got))
                 spans.extend(got)
             yield pd.DataFrame({doc: pd.Series(ids, dtype=x[doc].dtype), "start_pos": pd.Series([a for a, _ in spans], dtype="int32"), "end_pos": pd.Series([b for _, b in spans], dtype="int32")})

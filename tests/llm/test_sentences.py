@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rankloom.llm.sentences import WHITE, sentences, split_sentences
+from rankloom.llm.sentences import WHITE, language_code, sentences, split_sentences
 
 CASES = [
     "Formanden, H. R. G.J. Fjelkær, trak sig pga. sygdom. | Selskabet hedder nu Nordvig Færger A/S. | Det var 12 mål! | iTavlen viser nu 4 afgange.",
@@ -28,6 +28,11 @@ CASES = [
     "وفق د. سالم. | المجلس وافق. | «نحن جاهزون. لم يسألنا أحد»، قال المدرب. | ماذا بعد؟ | ارتفع 17.8 في المئة.",
     "”Ingen frågade oss. Vi är redo”, säger Jerndal. | ”Vi är redo!” ropade Gramlund. | Bl.a. såldes ca. 13 båtar, t.ex. nr. 12. | De säljer rep, färg m.m. | Enl. dr Pramborg ökade antalet.",
     "Planen blev godkendt i år.|Teatret roste den.",
+    # what one language abbreviates is a word of another
+    "Das gehört dir. | Ich gehe jetzt. | Hans talte med dir. Holm om det.",
+    "Det vet jag ej. | Han gick hem. | Vi ska dra. | Sedan kommer de.",
+    "We walked down Main St. | Then it rained. | They came to St. Ives and St. K. Brun was there. | He loves art. | 3 people came.",
+    "Se venden redes, p. ej. de pesca. | La Dra. Brun leyó el art. 8 de la ley.",
 ]
 
 
@@ -38,6 +43,12 @@ def test_case(marked):
     assert [text[a:b] for a, b in sentences(text)] == want
 
 
+def test_labels_count_where_words_tell_little():
+    assert language_code(" DAN ") == "da" and language_code("en-GB") == "en" and language_code("xx") is language_code(None) is language_code("") is None
+    text = "La Dra. Brun."
+    assert len(sentences(text, "es")) == 1 and sentences(text, "nonsense") == sentences(text, None)
+
+
 def test_layouts():
     text = "\r\n Nr. 13 på listen vandt\r\n\r\nAf Asbeved\n \t\nDette er\nen sætning. Og\xa0en til\n\n　slut"
     assert [text[a:b] for a, b in sentences(text)] == ["Nr. 13 på listen vandt", "Af Asbeved", "Dette er\nen sætning.", "Og\xa0en til", "slut"]
@@ -62,6 +73,8 @@ def test_very_long_text_is_linear():
 
 def test_table(spark):
     df = spark.createDataFrame([(1, "A b. 🎉 C d.", 7), (1, "A b. 🎉 C d.", 7), (2, None, 7), (3, "  ", 7), (None, "Hej du.", 7)], "doc_id bigint, text string, start_pos int")
-    got = sorted((tuple(r) for r in split_sentences(df).collect()), key=repr)
+    got = sorted((tuple(r) for r in split_sentences(df, lang=None).collect()), key=repr)
     assert got == sorted([(1, 0, 6), (1, 7, 11), (1, 0, 6), (1, 7, 11), (None, 0, 7)], key=repr)
-    assert split_sentences(df.limit(0)).count() == 0
+    assert split_sentences(df.limit(0), lang=None).count() == 0
+    named = df.withColumn("lang", df["text"])
+    assert sorted((tuple(r) for r in split_sentences(named).collect()), key=repr) == got
