@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.heavy import heavy_keys, join_on_skewed_key
+from rankloom.operators.heavy import heaviest, join_on_skewed_key
+from rankloom.operators.lineage import cut_lineage
 
 #: Pseudo-tokens of the collection distribution that are added to every record.
 DIRICHLET_MU = 50.0
@@ -24,10 +25,13 @@ def joined_text(*columns: str) -> Column:
 
 
 def term_counts(records: DataFrame, record: str, text: Column) -> DataFrame:
-    """(id, dl, term, tf). One row per record is expected; repeated (id, text) rows are one. Null ids are left out."""
+    """(id, dl, term, tf). One row per record is expected; repeated (id, text) rows are one. Null ids are left out.
+
+    The counts are checkpointed, so texts are split into terms once.
+    """
     words = records.where(F.col(record).isNotNull()).select(F.col(record).alias("id"), text.alias("text"))
     words = words.repartition("id").dropDuplicates(["id", "text"]).select("id", F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("w"))
-    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    return cut_lineage(words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
 
 
 def term_weights(counts: DataFrame, score: str = "divergence", min_df: int = 2, mu: float = DIRICHLET_MU) -> DataFrame:
@@ -39,8 +43,7 @@ def term_weights(counts: DataFrame, score: str = "divergence", min_df: int = 2,
     sums = counts.groupBy("id", "dl").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"), F.sum("dl").alias("tokens")).first()
     n, tokens = sums["n"], sums["tokens"] or 0
     freq = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where((F.col("df") >= min_df) & (F.col("df") < n))
-    hot = heavy_keys(counts, "term")
-    rows = join_on_skewed_key(counts, freq, "term", hot, "inner")
+    rows = join_on_skewed_key(counts, freq, "term", heaviest(freq, "term", "df"), "inner")
     if score == "tf_idf":
         weight = F.col("tf") * F.ln(F.lit(float(n)) / F.col("df"))
     elif score == "divergence":

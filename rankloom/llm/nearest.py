@@ -6,8 +6,8 @@ sign bits are range-partitioned by (curve, key). Within a range they are sorted,
 records behind it by the Hamming distance of the sketches, and the best pairs are kept. The pairs of all curves are
 merged and reranked by the exact cosine of the vectors.
 
-Cost per vector is curves * window sketch comparisons, whatever the number of vectors. Fitting (cell borders, range
-borders) uses a sample of about ``SAMPLE`` vectors; every vector is indexed.
+Cost per vector is curves * window sketch comparisons, whatever the number of vectors. Cell borders are fitted on a
+sample of about ``SAMPLE`` vectors, range borders on ``RANGE_SAMPLE`` keys a range; every vector is indexed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.heavy import heaviest, join_on_skewed_key
 from rankloom.operators.lineage import cut_lineage
+from rankloom.operators.vectors import flat_search, unit_vectors
 
 #: Curves, projected directions of each, and bits of a direction: 16 * 2 bits make a key of 32 bits.
 CURVES, DIRECTIONS, BITS = 24, 16, 2
@@ -29,8 +31,8 @@ CURVES, DIRECTIONS, BITS = 24, 16, 2
 WORDS, WORDS_FIRST = 6, 2
 #: Records behind a record that it is compared with, on every curve.
 WINDOW = 1280
-#: Vectors the borders are fitted on, and records of one range.
-SAMPLE, RANGE_RECORDS = 4096, 50_000
+#: Vectors the cell borders are fitted on, records of one range, and sampled keys that place a range's border.
+SAMPLE, RANGE_RECORDS, RANGE_SAMPLE = 4096, 50_000, 48
 #: Most ids that are broadcast to thin out the vectors before the rerank (8 bytes each); beyond, they are joined.
 BROADCAST_IDS = 1_000_000
 RECORD = np.dtype([("key", "<u4"), ("id", "<i8"), ("s", "<u8", (WORDS,))])
@@ -102,16 +104,24 @@ class Curves:
             y = np.sort((_unit(sample) - self.mean) @ self.directions, axis=0)
             rows = (levels * (len(y) - 1)).astype(int)
             self.borders = y[rows, np.arange(y.shape[1])]
-            keys, sketch = self.encode(sample)
-            for c in range(curves):
-                whole = np.sort(self.order(keys[:, c], sketch))
-                self.ranges[c] = whole[(np.arange(1, self.parts) * len(whole)) // self.parts]
+            self.place_ranges(self.orders(sample))
 
     @staticmethod
     def order(key: np.ndarray, sketch: np.ndarray) -> np.ndarray:
         """Sort key: the Hilbert key, then sketch bits, so that crowded cells are ordered and cut too."""
         return (key.astype(np.uint64) << np.uint64(32)) | (sketch[:, 0] >> np.uint64(32))
 
+    def orders(self, x: np.ndarray) -> np.ndarray:
+        """Sort keys of vectors on every curve (n x curves)."""
+        keys, sketch = self.encode(x)
+        return np.stack([self.order(keys[:, c], sketch) for c in range(self.curves)], axis=1)
+
+    def place_ranges(self, orders: np.ndarray) -> None:
+        """Range borders of every curve at equal shares of the sampled sort keys."""
+        if len(orders):
+            whole = np.sort(orders, axis=0)
+            self.ranges = np.ascontiguousarray(whole[(np.arange(1, self.parts) * len(whole)) // self.parts].T)
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hilbert keys (n x curves) and sketches (n x WORDS) of usable vectors."""
         u = _unit(x)
@@ -164,6 +174,23 @@ def _window_pairs(x: np.ndarray, window: int, most: int, keep: int) -> tuple[np.
     return best()
 
 
+def _pack_records(r: np.ndarray) -> bytes:
+    """Records as planes of bytes of equal weight, in order of their keys: ids and leading key bytes then form runs that shuffles compress."""
+    r = r[np.argsort(r["key"], kind="stable")]
+    return b"".join(np.ascontiguousarray(r[f]).view(np.uint8).reshape(len(r), -1).T.tobytes() for f in ("key", "id")) + r["s"].tobytes()
+
+
+def _unpack_records(blob: bytes) -> np.ndarray:
+    n = len(blob) // RECORD.itemsize
+    out, at = np.empty(n, RECORD), 0
+    for field, width in (("key", 4), ("id", 8)):
+        plane = np.frombuffer(blob, np.uint8, n * width, at).reshape(width, n).T
+        out[field] = np.ascontiguousarray(plane).view(RECORD[field]).ravel()
+        at += n * width
+    out["s"] = np.frombuffer(blob, np.uint64, n * WORDS, at).reshape(n, WORDS)
+    return out
+
+
 def _pack_vectors(x: np.ndarray) -> list[bytes]:
     """Single-precision components, byte by byte of equal weight: rounded vectors then hold runs that shuffles compress."""
     planes = np.ascontiguousarray(x.astype("<f4")).view(np.uint8).reshape(len(x), -1, 4).transpose(0, 2, 1)
@@ -199,21 +226,36 @@ def nearest(
     vector are searched once, as the smallest of their ids, and every copy gets its own k rows. The result is
     approximate: a near pair is missed if no curve brings it into one window, or if its sketches lie more than two
     standard deviations further apart than their cosine says. ``keep`` (8 * k) pairs of a record are kept per curve.
+    ``nearest_exact`` misses none.
     """
     spark = df.sparkSession
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"))
     keep = 8 * k if keep is None else keep
     marks, n, extra = _copies(rows, dim)
-    groups = None
+    groups = hot = None
     if extra:
-        order = Window.partitionBy("digest").orderBy("id")
         first = marks.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-        groups = cut_lineage(marks.join(first, "digest").withColumn("place", F.row_number().over(order)).select("id", "rep", "place"))
+        groups = cut_lineage(join_on_skewed_key(marks, first.select("digest", "rep"), "digest", heaviest(first, "digest", "n"), "inner").select("id", "rep"))
+        hot = heaviest(first, "rep", "n")
         rows = rows.join(groups.where("id <> rep").select("id"), "id", "left_anti")
-    share = min(1.0, 1.25 * SAMPLE / max(n, 1))
-    # "sample" is a share of the ids by hash; it only places borders
-    part = rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1)) & (F.size("v") == dim)).limit(2 * SAMPLE).toArrow()
-    fitted = spark.sparkContext.broadcast(Curves(_usable(part["id"].combine_chunks(), part["v"], dim)[1], dim, n, curves))
+    # samples are shares of the ids by hash; they only place borders
+    sampled = lambda most: rows.where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(min(1.0, 1.25 * most / max(n, 1)) * (1 << 30)) + 1)) & (F.size("v") == dim))
+    part = sampled(SAMPLE).limit(2 * SAMPLE).toArrow()
+    curve = Curves(_usable(part["id"].combine_chunks(), part["v"], dim)[1], dim, n, curves)
+    if RANGE_SAMPLE * curve.parts > SAMPLE:
+        # Many ranges need more keys than the sample of vectors has. Only sort keys are gathered: 8 bytes per curve for
+        # RANGE_SAMPLE vectors a range, that is 200 bytes for every thousand vectors.
+        kept = spark.sparkContext.broadcast(curve)
+
+        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, x = _usable(b.column(0), b.column(1), dim)
+                if len(ids):
+                    yield pa.RecordBatch.from_arrays([pa.array([kept.value.orders(x).tobytes()], pa.binary())], ["o"])
+
+        found = sampled(RANGE_SAMPLE * curve.parts).mapInArrow(keys_of, "o binary").toArrow()["o"].to_pylist()
+        curve.place_ranges(np.concatenate([np.frombuffer(o, np.uint64).reshape(-1, curves) for o in found] or [np.empty((0, curves), np.uint64)]))
+    fitted = spark.sparkContext.broadcast(curve)
     angle = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
     bits = 64 * WORDS
     most = int(bits * angle + 2 * math.sqrt(bits * angle * (1 - angle)))
@@ -233,11 +275,11 @@ def nearest(
                 order = np.argsort(piece, kind="stable")
                 for chunk in np.split(order, np.flatnonzero(np.diff(piece[order])) + 1):
                     where.append(c * fit.parts + int(piece[chunk[0]]))
-                    blobs.append(record[chunk].tobytes())
+                    blobs.append(_pack_records(record[chunk]))
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], ["part", "records"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [np.frombuffer(r.as_buffer(), RECORD) for b in batches for r in b.column(1)]
+        raw = [_unpack_records(r.as_py()) for b in batches for r in b.column(1)]
         if not raw:
             return
         x = np.concatenate(raw)
@@ -277,22 +319,41 @@ def nearest(
     rank = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
     top = both.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k)
     if groups is not None:
-        top = _expand(top, groups, k)
+        top = _expand(top, groups, hot, k)
     return top
 
 
-def _expand(top: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def _expand(top: DataFrame, groups: DataFrame, hot: list, k: int) -> DataFrame:
     """Rows of every copy from those of its representative; a copy's own siblings are neighbours of cosine 1.
 
-    Of a group only its k + 1 smallest ids can be anyone's neighbours among the first k, so each row of a
-    representative becomes at most k + 1 rows of each of its copies.
+    Of a group only its k + 1 smallest ids can be anyone's neighbours among the first k; every task prunes a group to
+    those before it shuffles. A representative's list, at most 2k + 1 long, is one row, which its copies are joined
+    with: those of the ``hot`` representatives by broadcast, so a vector with very many copies is not one task's work.
     """
-    few = groups.where(F.col("place") <= k + 1).select(F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
-    own = groups.select(F.col("rep").alias("id")).distinct().select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
+    few = groups.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("place") <= k + 1)
+    few = few.select(F.col("rep").alias("neighbour"), F.col("id").alias("copy"))
+    own = groups.where("id = rep").select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("cosine"))
     wide = top.select("id", "neighbour", "cosine").unionByName(own).join(few, "neighbour", "left")
     wide = wide.select("id", F.coalesce("copy", "neighbour").alias("neighbour"), "cosine")
     rank = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
-    wide = wide.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= 2 * k + 1).drop("place")
-    members = groups.select(F.col("rep").alias("id"), F.col("id").alias("member"))
-    each = wide.join(members, "id", "left").select(F.coalesce("member", "id").alias("id"), "neighbour", "cosine").where("id <> neighbour")
-    return each.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k)
+    wide = wide.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= 2 * k + 1)
+    packed = wide.groupBy(F.col("id").alias("rep")).agg(F.sort_array(F.collect_list(F.struct("place", "neighbour", "cosine"))).alias("near"))
+    copies = join_on_skewed_key(groups, packed, "rep", hot, "inner")
+    single = packed.join(groups.select("rep").distinct(), "rep", "left_anti").select(F.col("rep").alias("id"), "near")
+    each = copies.select("id", "near").unionByName(single)
+    lists = each.select("id", F.slice(F.filter("near", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("near"))
+    out = lists.select("id", F.posexplode("near").alias("p", "n"))
+    return out.select("id", "n.neighbour", "n.cosine", (F.col("p") + 1).alias("place"))
+
+
+def nearest_exact(df: DataFrame, vec_id: str, vector: str, dim: int, k: int = 5, min_cosine: float = 0.5) -> DataFrame:
+    """As ``nearest`` without loss: every vector is multiplied with every block of vectors.
+
+    The work grows with the square of the number of vectors; it is the way for collections or parts of them where no
+    near pair may be missed, and what recall is measured against.
+    """
+    units = cut_lineage(unit_vectors(df, vec_id, vector, dim))
+    found = flat_search(units.select(F.col("id").alias("query"), "v"), units, dim, k + 1)
+    near = found.where("query <> id").select(F.col("query").cast("long").alias("id"), F.col("id").cast("long").alias("neighbour"), F.col("score").alias("cosine"))
+    rank = Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour")
+    return near.where(F.col("cosine") >= min_cosine).withColumn("place", F.row_number().over(rank)).where(F.col("place") <= k)

@@ -28,8 +28,15 @@ def _usable(score: Column, unknown) -> Column:
     return ok if unknown is None else ok & (score != F.lit(unknown))
 
 
+def hot_groups(df: DataFrame, group: str) -> list:
+    """Groups that are ranked by several tasks, found on the raw column."""
+    rows = df.select(F.col(group).alias("grp")).where("grp IS NOT NULL")
+    n = rows.count()
+    return heavy_keys(rows, "grp", max(HOT_SHARE, HOT_ROWS / max(n, 1))) if n else []
+
+
 def _rank_hot(rows: DataFrame, score: str, tasks: int) -> DataFrame:
-    """Ranks of groups too large for one task: ranges of (group, score, pos), each ranked on its own, plus an offset."""
+    """rank_<score> and have_<score> in groups too large for one task: ranges of (group, score, pos), each ranked on its own, plus an offset."""
     order = [F.col(score).desc_nulls_last(), F.col("pos").asc()]
     cut = cut_lineage(rows.repartitionByRange(tasks, F.col("grp"), *order).withColumn("cut", F.spark_partition_id()))
     have = F.count(score).alias("n")
@@ -40,6 +47,16 @@ def _rank_hot(rows: DataFrame, score: str, tasks: int) -> DataFrame:
     return cut.join(F.broadcast(offsets), ["grp", "cut"]).withColumn(f"rank_{score}", F.when(F.col(score).isNotNull(), place)).drop("cut", "offset")
 
 
+def placed(rows: DataFrame, score: str, hot: list, tasks: int = 64) -> DataFrame:
+    """Adds place: 1 for the highest ``score`` of each group (grp), ties by smaller pos; ``hot`` groups by several tasks."""
+    order = Window.partitionBy("grp").orderBy(F.col(score).desc(), "pos")
+    out = (rows.where(~F.col("grp").isin(hot)) if hot else rows).withColumn("place", F.row_number().over(order))
+    if hot:
+        several = _rank_hot(rows.where(F.col("grp").isin(hot)), score, tasks).withColumnRenamed(f"rank_{score}", "place")
+        out = out.unionByName(several.select(*out.columns))
+    return out
+
+
 def rank_scores(
     df: DataFrame, group: str, pos: str, scores: Sequence[str], unknown: Mapping[str, float] | None = None,
     lower_is_better: Sequence[str] = (), hot: list | None = None, tasks: int = 64,
@@ -55,9 +72,7 @@ def rank_scores(
         F.col(group).alias("grp"), F.col(pos).alias("pos"),
         *[F.when(_usable(F.col(s), unknown.get(s)), -F.col(s).cast("double") if s in lower_is_better else F.col(s).cast("double")).alias(s) for s in scores],
     )
-    if hot is None:
-        n = rows.count()
-        hot = heavy_keys(rows, "grp", max(HOT_SHARE, HOT_ROWS / max(n, 1)))
+    hot = hot_groups(df, group) if hot is None else hot
     columns = ["grp", "pos", *[f"rank_{s}" for s in scores], *[f"have_{s}" for s in scores]]
 
     light = (rows.where(~F.col("grp").isin(hot)) if hot else rows).repartition("grp").dropDuplicates()
@@ -111,8 +126,11 @@ def principal_direction(rows: DataFrame, columns: Sequence[str], directions: Seq
     return {"mean": mean.tolist(), "sd": safe.tolist(), "loading": top.tolist(), "share": float(values[-1] / max(values.sum(), 1e-12))}
 
 
-def fuse_principal(ranks: DataFrame, scores: Sequence[str], directions: Sequence[float] | None = None) -> DataFrame:
-    """(grp, pos, projection, place): items by their projection on the first principal component, ties by pos."""
+def fuse_principal(ranks: DataFrame, scores: Sequence[str], directions: Sequence[float] | None = None, hot: Sequence = ()) -> DataFrame:
+    """(grp, pos, projection, place): items by their projection on the first principal component, ties by pos.
+
+    Projections are compared after rounding to 9 decimals. ``hot`` are the groups of ``hot_groups``.
+    """
     rows = percentiles(ranks, scores)
     columns = [f"u_{s}" for s in scores]
     fit = principal_direction(rows, columns, directions)
@@ -120,14 +138,14 @@ def fuse_principal(ranks: DataFrame, scores: Sequence[str], directions: Sequence
     total = z[0]
     for x in z[1:]:
         total = total + x
-    order = Window.partitionBy("grp").orderBy(F.col("projection").desc(), "pos")
-    return rows.withColumn("projection", total).withColumn("place", F.row_number().over(order)).select("grp", "pos", "projection", "place")
+    return placed(rows.select("grp", "pos", F.round(total, 9).alias("projection")), "projection", list(hot)).select("grp", "pos", "projection", "place")
 
 
 def fuse_reciprocal(ranks: DataFrame, scores: Sequence[str], k: int = RECIPROCAL_K, top: int | None = None) -> DataFrame:
     """(grp, pos, worth, place): items by the sum of 1/(k + rank) over their scores, rounded to 10 decimals, ties by pos.
 
-    This projects the transformed ranks onto the fixed all-ones direction. Items without any score are left out.
+    This projects the transformed ranks onto the fixed all-ones direction. Items without any score are left out. With
+    ``top`` every task prunes a group to that many rows before they are shuffled.
     """
     some = F.coalesce(*[F.col(f"rank_{s}") for s in scores]).isNotNull()
     worth = F.lit(0.0)
