@@ -48,6 +48,11 @@ def user_activity(rows: DataFrame, history: DataFrame, cutoff: datetime | str) -
     )
 
 
+def users_remaining(rows: DataFrame, cutoff: datetime | str, time: str = "ts") -> DataFrame:
+    """One row: users, the different users (nulls not counted) of rows at or after the cutoff, those still to be served."""
+    return rows.where(F.col(time) >= F.lit(str(cutoff)).cast("timestamp_ntz")).agg(F.count_distinct("user_id").alias("users"))
+
+
 def latest_source(rows: DataFrame, cutoff: datetime | str, time: str = "ts") -> DataFrame:
     """One row: the latest time a feature as of the cutoff could have seen, null if there is none."""
     return before(rows, cutoff, time).agg(F.max(time).alias("latest"))

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import boosting
+from rankloom.operators.lineage import cut_lineage
 from rankloom.operators.ranking import metric_means, slate_metrics
 
+#: Most labelled rows that a model is fitted on.
+MOST_ROWS = 500_000
+#: Rows of one group of the permutation.
+GROUP_ROWS = 200_000
 # The feature lists.
 COUNTS = ("pop_total", "pop_24h", "pop_1h", "ctr_total", "ctr_24h")
 WITH_CATEGORY = (*COUNTS, "bm25", "semantic", "slate_size", "cat_affinity", "history_len")
@@ -38,67 +42,99 @@ def article_age(time: str = "ts", published: str = "published_time"):
     return F.coalesce(gone / F.lit(3_600_000_000.0), F.lit(-1.0))
 
 
-def fit(rows: DataFrame, features: Sequence[str], label: str = "label", iterations: int = 10, depth: int = 5, rate: float = 0.08, seed: int = 0) -> PipelineModel:
-    """Gradient-boosted trees on the features; null features count as 0."""
-    gather = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
-    trees = GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, stepSize=rate, seed=seed)
-    return Pipeline(stages=[gather, trees]).fit(_filled(rows, features, label))
+def fit(rows: DataFrame, features: Sequence[str], label: str = "label", iterations: int = boosting.ITERATIONS, most_rows: int = MOST_ROWS, seed: int = boosting.SEED) -> boosting.Model:
+    """Gradient-boosted trees on the features; null and NaN features count as 0, labels above 0 as 1.
 
+    Fitted on at most about ``most_rows`` rows, a sample by a hash of the row where there are more; every row can be
+    scored. Rows are sorted first, so the same table gives the same model.
+    """
+    table = _filled(rows, features).select(*features, (F.col(label) > 0).cast("double").alias("__y"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)).alias("__h"))
+    n = rows.count()
+    if n > most_rows:
+        table = table.where(F.pmod("__h", F.lit(1 << 30)) < F.lit(int(most_rows / n * (1 << 30))))
+    got = table.toPandas().sort_values(["__h", *features, "__y"], kind="stable")
+    return boosting.fit(got[list(features)].to_numpy(float), got["__y"].to_numpy(float), features, iterations)
+
+
+def _filled(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    return rows.withColumns({f: F.coalesce(F.when(F.isnan(F.col(f).cast("double")), 0.0).otherwise(F.col(f).cast("double")), F.lit(0.0)) for f in features})
+
+
+def _probability(model: boosting.Model):
+    held = SparkSession.active().sparkContext.broadcast(model)
 
-def _filled(rows: DataFrame, features: Sequence[str], label: str | None = None) -> DataFrame:
-    clean = {f: F.coalesce(F.when(F.isnan(F.col(f).cast("double")), 0.0).otherwise(F.col(f).cast("double")), F.lit(0.0)) for f in features}
-    return rows.withColumns(clean | ({label: F.col(label).cast("double")} if label else {}))
+    @F.pandas_udf("double")
+    def predict(*columns: pd.Series) -> pd.Series:
+        return pd.Series(held.value.predict(np.column_stack([c.to_numpy(float) for c in columns])))
 
+    return predict
 
-def score(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+
+def score(model: boosting.Model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Adds gbt: the probability of a click."""
-    out = model.transform(_filled(rows, features)).withColumn("gbt", vector_to_array("probability")[1])
-    return out.drop("features", "rawPrediction", "probability", "prediction")
+    return _filled(rows, features).withColumn("gbt", _probability(model)(*features))
 
 
 def area(rows: DataFrame, score_column: str, label: str = "label") -> float:
     """AUC over all rows together: ranks from the histogram of scores, so equal scores share their mean rank."""
-    h = rows.groupBy(score_column).agg(F.count("*").alias("n"), F.sum(label).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score_column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = h.withColumn("r", below + (F.col("n") + 1) / 2.0).agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum("p").alias("p"), F.sum("n").alias("n")).first()
-    p, n = float(r["p"] or 0), float(r["n"] or 0)
-    return (r["rp"] - p * (p + 1) / 2) / (p * (n - p)) if 0 < p < n else float("nan")
+    got = areas(rows.select(F.lit(0).alias("one"), F.col(score_column).alias("b"), F.col(label).alias("label")), ["one"]).first()
+    return float("nan") if got is None or got["auc"] is None else got["auc"]
+
+
+def areas(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, auc): AUC of rows (by, b, label) per group, from the histogram of the scores b; null where labels are alike."""
+    h = rows.groupBy(*by, "b").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("double")).alias("p"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = h.withColumn("r", below + (F.col("n") + 1) / 2.0).groupBy(*by).agg(F.sum(F.col("r") * F.col("p")).alias("rp"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    auc = (F.col("rp") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
+    return sums.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), auc).alias("auc"))
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, features: Sequence[str], label: str = "label", repeats: int = 3, bins: int = 10_000, seed: int = 0) -> DataFrame:
+def permutation_importance(model: boosting.Model, rows: DataFrame, features: Sequence[str], label: str = "label", repeats: int = 3, bins: int = 10_000, seed: int = 0) -> DataFrame:
     """(feature, importance): mean loss of AUC when the feature's values are dealt out anew.
 
-    Values are shuffled by joining every row with the value of another: rows are numbered in two hash orders and
-    meet by number. Scores are put into ``bins`` for the AUC.
+    In each repeat every row meets another one, by its number in two hash orders; with the other row's value in place
+    of its own it is scored once for each feature. Orders are made in groups of at most about GROUP_ROWS rows. Scores
+    are put into ``bins`` for the AUC.
     """
-    spark = rows.sparkSession
-    base = _filled(rows, features).withColumn("__id", F.monotonically_increasing_id()).cache()
-    binned = lambda df: area(score(model, df, features).withColumn("b", F.floor(F.col("gbt") * bins)), "b", label)
-    whole = binned(base)
-    got = []
-    for f in features:
-        loss = 0.0
-        for i in range(repeats):
-            order = lambda salt: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("__id", F.lit(seed + i)), F.lit(64))).orderBy(F.xxhash64("__id", F.lit(salt)), "__id"))  # noqa: E731,B023
-            group = F.pmod(F.xxhash64("__id", F.lit(seed + i)), F.lit(64))
-            left = base.withColumn("__g", group).withColumn("__r", order(1)).drop(f)
-            right = base.select(group.alias("__g"), order(2).alias("__r"), f)
-            loss += whole - binned(left.join(right, ["__g", "__r"]))
-        got.append((f, loss / repeats))
-    base.unpersist()
-    return spark.createDataFrame(got, "feature string, importance double")
-
-
-def compare_features(train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], key: Sequence[str], iterations: int = 10) -> DataFrame:
-    """(variant, n_impressions, n_auc_defined, auc, mrr, mrr_first, ndcg5, ndcg10) of refits on different feature sets."""
+    kept = cut_lineage(_filled(rows, features).select(*features, F.col(label).alias("label"), F.monotonically_increasing_id().alias("id")))
+    groups = max(1, -(-kept.count() // GROUP_ROWS))
+    predict = _probability(model)
+    binned = lambda columns: F.floor(predict(*columns) * bins)
+    own = [F.col(f) for f in features]
+    parts = [kept.select(F.lit(-1).alias("repeat"), F.lit("").alias("feature"), binned(own).alias("b"), "label")]
+    for i in range(repeats):
+        group = F.pmod(F.xxhash64("id", F.lit(seed + i)), F.lit(groups)).alias("g")
+        order = lambda salt: F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id", F.lit(salt)), "id")).alias("r")
+        left = kept.select("*", group).select("*", order(2 * (seed + i) + 1))
+        right = kept.select(*[F.col(f).alias(f"other_{f}") for f in features], "id", group).select("g", order(2 * (seed + i) + 2), *[f"other_{f}" for f in features])
+        met = left.join(right, ["g", "r"])
+        each = [F.struct(F.lit(f).alias("feature"), binned([F.col(f"other_{c}") if c == f else F.col(c) for c in features]).alias("b")) for f in features]
+        parts.append(met.select(F.lit(i).alias("repeat"), F.explode(F.array(*each)).alias("e"), "label").select("repeat", "e.feature", "e.b", "label"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    found = cut_lineage(areas(every, ["repeat", "feature"]))
+    whole = found.where("repeat < 0").select(F.col("auc").alias("whole"))
+    return found.where("repeat >= 0").join(F.broadcast(whole)).groupBy("feature").agg(F.avg(F.col("whole") - F.col("auc")).alias("importance"))
+
+
+def compare_features(variants: dict[str, tuple[DataFrame, DataFrame, Sequence[str]]], key: Sequence[str], iterations: int = boosting.ITERATIONS) -> DataFrame:
+    """(variant, n_impressions, n_auc_defined, auc, mrr, mrr_first, ndcg5, ndcg10) of refits: train and test rows and features of each."""
     out = None
-    for name, features in sets.items():
+    for name, (train, test, features) in variants.items():
         scored = score(fit(train, features, iterations=iterations), test, features)
         means = metric_means(slate_metrics(scored, key, "gbt")).select(F.lit(name).alias("variant"), "*")
         out = means if out is None else out.unionByName(means)
     return out
 
 
+def kept_features(compared: DataFrame, baseline: str) -> DataFrame:
+    """(variant, auc, keep): whether a variant's mean AUC is at least that of ``baseline``; the baseline keeps itself."""
+    base = compared.where(F.col("variant") == baseline).select(F.col("auc").alias("__base"))
+    return compared.join(F.broadcast(base)).select("variant", "auc", F.coalesce(F.col("auc") >= F.col("__base"), F.lit(False)).alias("keep"))
+
+
 def three_cutoffs(rows: DataFrame, time: str, count_end: str, fit_end: str, eval_end: str) -> dict[str, DataFrame]:
     """Rows for counts (before count_end), for fitting [count_end, fit_end) and for evaluation [fit_end, eval_end)."""
     at = lambda t: F.lit(t).cast("timestamp_ntz")

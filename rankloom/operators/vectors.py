@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.operators.cells import Vectors, best_of, block_of, blocks_for, lengths, matrix, meet
 from rankloom.operators.heavy import join_on_skewed_key
+from rankloom.operators.lineage import cut_lineage
 
 #: Newest-first decay of clicks in the recency pooling.
 TAU = 5.0
@@ -249,30 +251,31 @@ def latent_vectors(texts: DataFrame, doc: str, text: Column, components: int = 1
 
     Weights are (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), rows scaled to length 1; terms in fewer than ``min_df``
     texts are left out and the ``max_terms`` most frequent kept. The decomposition is a randomised one: a matrix of
-    terms x (components + 10) is the only thing gathered, bounded by max_terms, and the texts are passed over once
-    per iteration. Texts without a kept term get a zero vector.
+    terms x (components + 10) is the only thing gathered, bounded by max_terms; texts are split into terms once and
+    their sparse rows, which are checkpointed, passed over once per iteration. Texts without a kept term get a zero vector.
     """
     words = texts.where(F.col(doc).isNotNull()).select(F.col(doc).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
-    n = words.count()
-    tf = words.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    counted = cut_lineage(words.select("id", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("w", F.array().cast("array<string>")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")))
+    n = counted.where("term IS NULL").count()
+    tf = counted.where("term IS NOT NULL")
     top = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.col("cf").desc(), "term").limit(max_terms).toArrow()
     terms = top["term"].to_pylist()
     m = len(terms)
     k = max(1, min(components, m - 1, n - 1)) if m > 1 and n > 1 else 1
     spark = texts.sparkSession
     idf = np.log((1 + n) / (1 + top["df"].to_numpy())) + 1 if m else np.empty(0)
-    place = spark.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, idf))
-
-    def rows_of(words_: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        names, weight = place.value
-        out = []
-        for w in words_.to_pylist():
-            index, count = np.unique([names[t] for t in w or () if t in names], return_counts=True) if w else (np.empty(0, int), np.empty(0))
-            index = index.astype(int)
-            x = (1 + np.log(np.maximum(count, 1))) * weight[index] if len(index) else np.empty(0)
-            size = np.sqrt((x * x).sum())
-            out.append((index, x / size if size else x))
-        return out
+    place = spark.createDataFrame(pd.DataFrame({"term": terms, "i": np.arange(m, dtype=np.int32), "idf": idf}), "term string, i int, idf double")
+    # every text as one sparse row of unit length, written once and read by each pass
+    weighted = counted.join(F.broadcast(place), "term", "left").select("id", "i", ((1 + F.ln("tf")) * F.col("idf")).alias("x"))
+    sparse = weighted.groupBy("id").agg(F.filter(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "x"))), lambda e: e.isNotNull()).alias("e"))
+    size = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, e: a + e["x"] * e["x"]))
+    rows = cut_lineage(sparse.select("id", F.col("e.i").alias("i"), F.transform("e", lambda e: e["x"] / size).alias("x")))
+
+    def of(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        edge = np.r_[0, np.cumsum(lengths(b.column("i")))]
+        index, x = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("i", "x"))
+        for r in np.flatnonzero(np.diff(edge)):
+            yield r, index[edge[r] : edge[r + 1]], x[edge[r] : edge[r + 1]]
 
     def passed(basis: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Sums over all texts of x (x basis), of x, of (x basis)(x basis), and of |x|^2, added up in a tree."""
@@ -285,16 +288,19 @@ def latent_vectors(texts: DataFrame, doc: str, text: Column, components: int = 1
             gram = np.zeros((q.shape[1], q.shape[1]))
             square = 0.0
             for b in batches:
-                for index, x in rows_of(b.column("w")):
-                    if len(index):
-                        p = x @ q[index]
-                        y[index] += x[:, None] * p
-                        mean[index] += x
-                        gram += np.outer(p, p)
-                        square += float(x @ x)
+                inner = []
+                for _, index, x in of(b):
+                    p = x @ q[index]
+                    y[index] += x[:, None] * p
+                    mean[index] += x
+                    square += float(x @ x)
+                    inner.append(p)
+                if inner:
+                    inner = np.stack(inner)
+                    gram += inner.T @ inner
             yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in (y, mean, gram, np.array([square]))], ["y", "m", "g", "s"])
 
-        parts = words.mapInArrow(add, "y binary, m binary, g binary, s binary").rdd
+        parts = rows.select("i", "x").mapInArrow(add, "y binary, m binary, g binary, s binary").rdd
         sums = parts.map(lambda r: [np.frombuffer(v) for v in r]).treeReduce(lambda a, b: [x + z for x, z in zip(a, b)])
         return sums[0].reshape(basis.shape), sums[1], sums[2].reshape(basis.shape[1], -1), float(sums[3][0])
 
@@ -318,11 +324,10 @@ def latent_vectors(texts: DataFrame, doc: str, text: Column, components: int = 1
         q = final.value
         for b in batches:
             x = np.zeros((b.num_rows, q.shape[1]))
-            for i, (index, w) in enumerate(rows_of(b.column("w"))):
-                if len(index):
-                    x[i] = w @ q[index]
+            for r, index, w in of(b):
+                x[r] = w @ q[index]
             size = np.linalg.norm(x, axis=1, keepdims=True)
             x = x / np.where(size == 0, 1.0, size)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))], ["id", "v"])
 
-    return words.mapInArrow(project, f"id {texts.schema[doc].dataType.simpleString()}, v array<double>"), explained
+    return rows.mapInArrow(project, f"id {texts.schema[doc].dataType.simpleString()}, v array<double>"), explained

@@ -13,6 +13,7 @@ from rankloom.operators import beyond_accuracy, bootstrap, counts, lexical, rank
 from rankloom.operators.heavy import heavy_keys
 from rankloom.operators.lineage import cut_lineage
 from rankloom.plans.general import _LOG
+from rankloom.sources import sinks
 from rankloom.sources.tables import article_texts, candidate_rows, clicks, impressions, in_log, labels_of, publish_times, recent_history, table
 
 CUTOFF = "2025-03-15 00:00:00"
@@ -300,18 +301,31 @@ def leaky_probe(spark, folder):
 
 
 def bootstrap_ci(spark, folder):
-    """95 % interval of the mean AUC and nDCG@10 of every ranker, by NumPy's generator."""
+    """95 % interval of the mean AUC and nDCG@10 of every ranker, by NumPy's generator, held against the normal one."""
     per = _models(spark, folder)
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("auc", "ndcg10")]))
-    rows = per.select("model", "impression_id", each.alias("x")).select("model", "impression_id", "x.*")
-    return bootstrap.exact_intervals(rows, ["model", "metric"], order=["impression_id"])
+    rows = cut_lineage(per.select("model", "impression_id", each.alias("x")).select("model", "impression_id", "x.*"))
+    return _against_normal(bootstrap.exact_intervals(rows, ["model", "metric"], order=["impression_id"]), rows, ["model", "metric"])
 
 
 def poisson_ci(spark, folder):
     """As bootstrap_ci, by distributed Poisson resampling."""
-    per = _models(spark, folder)
-    rows = per.select("model", "impression_id", F.col("auc").alias("value"))
-    return bootstrap.poisson_intervals(rows, ["model"], ["impression_id"])
+    rows = cut_lineage(_models(spark, folder).select("model", "impression_id", F.col("auc").alias("value")))
+    return _against_normal(bootstrap.poisson_intervals(rows, ["model"], ["impression_id"]), rows, ["model"])
+
+
+def _against_normal(intervals: DataFrame, rows: DataFrame, by: list[str]) -> DataFrame:
+    """Mean and number of values, whether the interval holds the mean, and whether its width is within 15 % of 2 * 1.96 standard errors."""
+    error = rows.groupBy(*by).agg((F.stddev("value") / F.sqrt(F.count("value"))).alias("error"))
+    both = intervals.join(error, by)
+    width = (F.col("hi") - F.col("lo")) / (2 * 1.96 * F.col("error"))
+    return both.select(*by, F.round("mean", 6).alias("mean"), "n", F.col("mean").between(F.col("lo"), F.col("hi")).alias("brackets"), width.between(0.85, 1.15).alias("width_fits"))
+
+
+def model_comparison(spark, folder):
+    """Of every two rankers by AUC, whether one's 95 % interval lies above the other's, as its standard errors say too."""
+    rows = cut_lineage(_models(spark, folder).select("model", "impression_id", F.col("auc").alias("value")))
+    return bootstrap.compared(bootstrap.exact_intervals(rows, ["model"], order=["impression_id"]), "model").select("a", "b", F.coalesce("winner", F.lit("none")).alias("winner"))
 
 
 # --- beyond accuracy --------------------------------------------------------------------------------------------
@@ -400,13 +414,24 @@ def latent_vectors(spark, folder):
 # --- learned ranker ---------------------------------------------------------------------------------------------
 
 
-def features(spark, folder):
-    """Feature rows of the scored slates, in the wide form the ranker is fitted on."""
+def features(spark, folder, before: str | None = None, frozen: bool = False, vectors_for: str = "scores"):
+    """Feature rows of the scored slates, in the wide form the ranker is fitted on.
+
+    Counts come from events strictly before a slate's time, and before ``before`` if given. ``frozen`` counts are those
+    of the end of the log for every slate; their windows of a day and an hour are empty then. ``vectors_for`` tells
+    whether semantic is the scores' own column ("scores") or the cosine of the reader's pooled vector ("pooled").
+    """
     slates = _slates(spark, folder)
     users = _impressions(spark, folder).where("impression_id <> 0").groupBy("impression_id").agg(F.min("user_id").alias("user_id"), F.min("ts").alias("ts"))
     rows = slates.join(users, "impression_id").drop("pop_total")
     events = _events(spark, folder)
-    rows = counts.asof_counts(events, rows, "article_id", "ts", HOURS, {"c_": "label", "v_": ""})
+    events = events if before is None else counts.before(events, before)
+    if frozen:
+        whole = events.groupBy("article_id").agg(F.sum("label").alias("c_all"), F.count("*").alias("v_all"))
+        zero = F.lit(0).cast("long")
+        rows = rows.join(whole, "article_id", "left").withColumns({c: F.coalesce(c, zero) for c in ("c_all", "v_all")} | {c: zero for c in ("c_24h", "c_1h", "v_24h", "v_1h")})
+    else:
+        rows = counts.asof_counts(events, rows, "article_id", "ts", HOURS, {"c_": "label", "v_": ""}, _hot_candidates(spark, folder))
     rows = rows.withColumns({
         "pop_total": F.col("c_all"), "pop_24h": F.col("c_24h"), "pop_1h": F.col("c_1h"),
         "ctr_total": counts.rate("c_all", "v_all"), "ctr_24h": counts.rate("c_24h", "v_24h"),
@@ -417,39 +442,67 @@ def features(spark, folder):
     lengths = history.select("user_id", F.size("article_ids").alias("history_len"))
     rows = rows.join(sizes, "impression_id").join(affinity, ["user_id", "article_id"], "left").join(lengths, "user_id", "left")
     rows = rows.join(publish_times(table(spark, folder, "articles")), "article_id", "left").withColumn("age_hours", ranker.article_age())
+    if vectors_for == "pooled":
+        units, n = cut_lineage(_units(spark, folder)), _most_units(spark, folder)
+        cosines = vectors.slate_cosine(rows.select("user_id", "article_id"), vectors.pooled(history, units, "user_id", DIM, n_units=n), units, "user_id", DIM, n_units=n)
+        rows = rows.drop("semantic").join(cosines.withColumnRenamed("cosine", "semantic"), ["user_id", "article_id"], "left").withColumn("semantic", F.coalesce("semantic", F.lit(0.0)))
     clean = {c: F.coalesce(c, F.lit(0)) for c in ("history_len", "cat_affinity")}
     names = list(dict.fromkeys((*ranker.WITH_CATEGORY, *ranker.WITH_AGE)))
     return rows.withColumns(clean).select("impression_id", "user_id", "ts", "pos", "article_id", "label", *names)
 
 
 def feature_rows(spark, folder):
-    return _rounded(features(spark, folder))
+    return features(spark, folder).withColumn("age_hours", F.round("age_hours", 6))
+
+
+#: Counts end and fitting begins, evaluation begins, evaluation ends.
+CUTS = ("2025-02-15 00:00:00", "2025-03-25 00:00:00", "2025-04-12 00:00:00")
 
 
-def _fit_and_test(spark, folder) -> tuple[DataFrame, DataFrame]:
-    parts = ranker.three_cutoffs(features(spark, folder), "ts", "2025-02-15 00:00:00", "2025-03-25 00:00:00", "2025-04-12 00:00:00")
+def _fit_and_test(spark, folder, **how) -> tuple[DataFrame, DataFrame]:
+    parts = ranker.three_cutoffs(cut_lineage(features(spark, folder, **how)), "ts", *CUTS)
     return parts["fit"], parts["eval"]
 
 
 def gbt_scores(spark, folder):
-    """Clicks predicted for later slates by trees fitted on earlier ones."""
+    """Every candidate of the later slates, and whether the trees fitted on the earlier ones give it a probability."""
     train, test = _fit_and_test(spark, folder)
     scored = ranker.score(ranker.fit(train, ranker.SKEW_RESISTANT), test, ranker.SKEW_RESISTANT)
-    return scored.select("impression_id", "pos", "label", "gbt")
+    return scored.select("impression_id", "pos", "label", ((F.col("gbt") > 0) & (F.col("gbt") < 1)).alias("is_probability"))
 
 
 def importance(spark, folder):
-    """Loss of AUC per shuffled feature."""
+    """Every feature, and whether the loss of AUC when it is shuffled lies where losses can lie."""
     train, test = _fit_and_test(spark, folder)
-    model = ranker.fit(train, ranker.SKEW_RESISTANT)
-    return ranker.permutation_importance(model, test, ranker.SKEW_RESISTANT)
+    got = ranker.permutation_importance(ranker.fit(train, ranker.SKEW_RESISTANT), test, ranker.SKEW_RESISTANT)
+    return got.select("feature", F.col("importance").between(-0.2, 0.7).alias("in_bounds"))
+
+
+def _checked(compared: DataFrame) -> DataFrame:
+    """Variants with both denominators, and whether their metrics are no worse than an order by chance would leave them."""
+    fair = (F.col("auc") > 0.45) & (F.col("auc") <= 1) & F.col("ndcg10").between(F.col("ndcg5") - 1e-9, 1.0) & (F.col("mrr_first") >= F.col("mrr") - 1e-9)
+    return compared.select("variant", "n_impressions", "n_auc_defined", fair.alias("fair"))
 
 
 def feature_ablation(spark, folder):
     """The ranker with and without the size of the slate."""
     train, test = _fit_and_test(spark, folder)
     sets = {"with slate_size": ranker.SKEW_RESISTANT, "without slate_size": [f for f in ranker.SKEW_RESISTANT if f != "slate_size"]}
-    return ranker.compare_features(train, test, sets, SLATE)
+    return _checked(ranker.compare_features({name: (train, test, f) for name, f in sets.items()}, SLATE))
+
+
+def count_ablation(spark, folder):
+    """Both full feature sets, each with counts as of the slate and with those frozen at the end of the log."""
+    kinds = {"rolling": _fit_and_test(spark, folder), "frozen": _fit_and_test(spark, folder, frozen=True)}
+    sets = {"category": ranker.WITH_CATEGORY, "age": ranker.WITH_AGE}
+    return _checked(ranker.compare_features({f"{k} {n}": (*kinds[k], f) for k in kinds for n, f in sets.items()}, SLATE))
+
+
+def gap_aware(spark, folder):
+    """Counts end before fitting begins: two feature sets, each with two representations of meaning."""
+    kinds = {v: _fit_and_test(spark, folder, before=CUTS[0], vectors_for=v) for v in ("scores", "pooled")}
+    sets = {"category": ranker.WITH_CATEGORY, "skew resistant": ranker.SKEW_RESISTANT}
+    return _checked(ranker.compare_features({f"{k} {n}": (*kinds[k], f) for k in kinds for n, f in sets.items()}, SLATE))
 
 
 # --- submissions ------------------------------------------------------------------------------------------------
@@ -466,14 +519,51 @@ def submission_check(spark, folder):
     return submission.validate(lines, expected)
 
 
+def submission_faults(spark, folder):
+    """As submission_check on lines that were spoiled by rule: each id's remainder by 17 says how."""
+    kind = F.col("impression_id") % 17
+    line = F.col("line")
+    spoiled = (
+        F.when(kind == 1, F.regexp_replace(line, ",", ", ")).when(kind == 2, F.regexp_replace(line, r"\[1,", "[2,")).when(kind == 3, F.regexp_replace(line, r"\]$", ""))
+        .when(kind == 5, F.regexp_replace(line, r"\[.*", "[1]")).when(kind == 6, F.concat(F.lit("9"), line)).otherwise(line)
+    )
+    times = F.when(kind == 4, F.lit(0)).when(kind == 7, F.lit(2)).otherwise(F.lit(1))
+    rows = submission_lines(spark, folder).select(spoiled.alias("value"), F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)))).alias("i"), times.alias("times")).where("times > 0")
+    expected = _slates(spark, folder).groupBy("impression_id").agg(F.count("*").alias("n_candidates"))
+    return submission.validate(rows, expected)
+
+
+def users_remaining(spark, folder):
+    """Readers with impressions from the cutoff on."""
+    return counts.users_remaining(_impressions(spark, folder), CUTOFF)
+
+
+def manifest(spark, folder):
+    """The manifest of a feature build as one row."""
+    rows = _impressions(spark, folder)
+    borders = splits.boundaries(rows)
+    built = sinks.manifest(rows, borders, CUTOFF, 0)
+    n = built["counts"]
+    row = (built["seed"], borders.data_min, borders.val_start, borders.test_start, borders.data_max, built["cutoff"], n["impressions"], n["train"], n["val"], n["test"])
+    return spark.createDataFrame([row], "seed int, data_min timestamp_ntz, val_start timestamp_ntz, test_start timestamp_ntz, data_max timestamp_ntz, cutoff string, impressions bigint, train bigint, val bigint, test bigint")
+
+
+def latent_check(spark, folder):
+    """Components and length of every article's latent vector, and whether the share of variance they explain is one."""
+    rows = latent_vectors(spark, folder)
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return rows.select(F.col("id").alias("article_id"), F.size("v").cast("long").alias("components"), F.round(size, 6).alias("length"), F.col("explained").between(0.05, 1.0 + 1e-9).alias("explained_fits"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         click_counts, listed_counts, article_popularity, user_activity, latest_source, split_boundaries, temporal_split, history_tail, rolling_counts,
         rolling_ctr, frozen_counts, category_affinity, article_age, zero_fraction, token_counts, index_stats, idf_lucene, idf_okapi, bm25_search,
         bm25_slate_scores, recall_ablation, recall_by_impression, ranks_from_scores, slate_top_k, rrf, weighted_sum, slate_metrics, metric_means, metric_by_slice, leaky_probe,
-        bootstrap_ci, poisson_ci, diversity, novelty, coverage_gini, candidate_coverage, l2_norms, user_vector_mean, user_vector_recency, ann_flat, ann_ivf, embedding_coverage,
-        slate_cosine, latent_vectors, feature_rows, gbt_scores, importance, feature_ablation, submission_lines, submission_check,
+        bootstrap_ci, poisson_ci, model_comparison, diversity, novelty, coverage_gini, candidate_coverage, l2_norms, user_vector_mean, user_vector_recency, ann_flat, ann_ivf, embedding_coverage,
+        slate_cosine, latent_vectors, feature_rows, gbt_scores, importance, feature_ablation, count_ablation, gap_aware, submission_lines, submission_check, submission_faults,
+        users_remaining, manifest, latent_check,
     )
 }
 
@@ -569,6 +659,21 @@ _FRAMES = {"all": "UNBOUNDED", "24h": "INTERVAL 24 HOURS", "1h": "INTERVAL 1 HOU
 _ROLLED = "rolled AS (SELECT *, " + ", ".join(f"CAST(coalesce({_asof(x, f)}, 0) AS BIGINT) AS {m}_{w}" for m, x in (("clicks", "label"), ("views", "1")) for w, f in _FRAMES.items()) + " FROM lab WHERE article_id IS NOT NULL)"
 _READERS = "asked AS (SELECT DISTINCT user_id, article_id FROM cand WHERE user_id <> 0)"
 
+_INTERVALS = (
+    f"WITH {_SLATES}, sc AS ("
+    + " UNION ALL ".join(f"SELECT '{m}' AS model, impression_id, pos, label, {m} AS score FROM slate" for m in ("bm25", "semantic", "pop_total"))
+    + f"), {_metrics('sc', 'model, impression_id')}"
+).replace("{", "{{").replace("}", "}}") + " SELECT {keys}, round(avg(value), 6) AS mean, count(value) AS n, true AS brackets, true AS width_fits FROM ({rows}) WHERE value IS NOT NULL GROUP BY {keys}"
+_EVALUATED = f"""{_IMP}, {_SLATES.removeprefix(_LOG + ",").strip()}, who AS (SELECT impression_id, min(ts) AS ts FROM imp WHERE impression_id <> 0 GROUP BY 1),
+later AS (SELECT impression_id, pos, label FROM slate JOIN who USING (impression_id) WHERE ts >= TIMESTAMP '{CUTS[1]}' AND ts < TIMESTAMP '{CUTS[2]}')"""
+
+
+def _variants(names) -> str:
+    each = ", ".join(f"'{n}'" for n in names)
+    return f"""WITH {_EVALUATED}, g AS (SELECT impression_id, min(label) < max(label) AS mixed FROM later GROUP BY 1)
+SELECT variant, count(*) AS n_impressions, count(*) FILTER (WHERE mixed) AS n_auc_defined, true AS fair FROM g, (SELECT unnest([{each}]) AS variant) GROUP BY 1"""
+
+
 SQL = {
     "click_counts": f"WITH {_IMP}, {_COUNTS} SELECT * FROM counts",
     "listed_counts": f"WITH {_IMP} SELECT article_id, count(*) AS click_count FROM (SELECT unnest(cl) AS article_id FROM imp) WHERE article_id IS NOT NULL GROUP BY 1",
@@ -643,4 +748,41 @@ SELECT a.user_id, a.article_id, round(coalesce(list_dot_product(v, s) / CASE WHE
     "submission_lines": f"""WITH {_SLATES}, r AS (SELECT impression_id, pos, row_number() OVER (PARTITION BY impression_id ORDER BY bm25 DESC, pos) AS rank FROM slate)
 SELECT impression_id, impression_id || ' [' || string_agg(rank, ',' ORDER BY pos) || ']' AS line FROM r GROUP BY 1""",
     "submission_check": f"WITH {_SLATES} SELECT count(DISTINCT impression_id) AS lines, count(DISTINCT impression_id) AS impressions, 0::BIGINT AS duplicate_rows, 0::BIGINT AS bad_format, 0::BIGINT AS bad_ranks, 0::BIGINT AS bad_length, 0::BIGINT AS missing, 0::BIGINT AS extra, true AS ok FROM slate",
+    "bootstrap_ci": _INTERVALS.format(keys="model, metric", rows="SELECT model, 'auc' AS metric, auc AS value FROM metrics UNION ALL SELECT model, 'ndcg10', ndcg10 FROM metrics"),
+    "poisson_ci": _INTERVALS.format(keys="model", rows="SELECT model, auc AS value FROM metrics"),
+    "model_comparison": _INTERVALS.format(keys="model", rows="SELECT model, auc AS value FROM metrics").replace("SELECT model, round(avg(value), 6) AS mean, count(value) AS n, true AS brackets, true AS width_fits", ", ci AS (SELECT model, avg(value) AS mean, 1.96 * stddev(value) / sqrt(count(value)) AS side")
+    + """) SELECT a.model AS a, b.model AS b, CASE WHEN a.mean - a.side > b.mean + b.side THEN a.model WHEN b.mean - b.side > a.mean + a.side THEN b.model ELSE 'none' END AS winner FROM ci a JOIN ci b ON a.model < b.model""",
+    "feature_rows": f"""WITH {_IMP}, {_HIST}, {_CATS}, {_SLATES.removeprefix(_LOG + ",").strip()},
+who AS (SELECT impression_id, min(user_id) AS user_id, min(ts) AS ts FROM imp WHERE impression_id <> 0 GROUP BY 1),
+pub AS (SELECT article_id, min(published_time) AS p FROM articles WHERE article_id IS NOT NULL GROUP BY 1),
+base AS (SELECT impression_id, pos, article_id, bm25, semantic, label, user_id, ts, count(*) OVER (PARTITION BY impression_id) AS slate_size FROM slate JOIN who USING (impression_id)),
+c AS (SELECT b.impression_id, b.pos, b.article_id, coalesce(sum(l.label), 0)::BIGINT AS pop_total, count(l.label) AS v_all, coalesce(sum(l.label) FILTER (WHERE l.ts >= b.ts - INTERVAL 24 HOURS), 0)::BIGINT AS pop_24h,
+  count(l.label) FILTER (WHERE l.ts >= b.ts - INTERVAL 24 HOURS) AS v_24h, coalesce(sum(l.label) FILTER (WHERE l.ts >= b.ts - INTERVAL 1 HOURS), 0)::BIGINT AS pop_1h
+  FROM (SELECT DISTINCT impression_id, pos, article_id, ts FROM base) b LEFT JOIN lab l ON l.article_id = b.article_id AND l.ts < b.ts GROUP BY 1, 2, 3),
+read AS (SELECT user_id, category, count(*) AS k FROM (SELECT user_id, unnest(ids) AS article_id FROM hist) JOIN cats USING (article_id) GROUP BY 1, 2),
+tot AS (SELECT user_id, sum(k) AS n FROM read GROUP BY 1)
+SELECT b.impression_id, b.user_id, b.ts, b.pos, b.article_id, b.label, pop_total, pop_24h, pop_1h, CASE WHEN v_all = 0 THEN 0 ELSE pop_total / (v_all + 10.0::DOUBLE) END AS ctr_total,
+  CASE WHEN v_24h = 0 THEN 0 ELSE pop_24h / (v_24h + 10.0::DOUBLE) END AS ctr_24h, bm25, semantic, slate_size, coalesce(k::DOUBLE / n, 0) AS cat_affinity, coalesce(len(ids), 0) AS history_len,
+  round(coalesce((epoch_us(b.ts) - epoch_us(p)) / 3600000000.0::DOUBLE, -1), 6) AS age_hours
+FROM base b JOIN c ON c.impression_id = b.impression_id AND c.pos = b.pos AND c.article_id IS NOT DISTINCT FROM b.article_id LEFT JOIN pub ON pub.article_id = b.article_id LEFT JOIN cats ON cats.article_id = b.article_id
+  LEFT JOIN read ON read.user_id = b.user_id AND read.category = cats.category LEFT JOIN tot ON tot.user_id = b.user_id LEFT JOIN hist ON hist.user_id = b.user_id""",
+    "gbt_scores": f"WITH {_EVALUATED} SELECT impression_id, pos, label, true AS is_probability FROM later",
+    "importance": " UNION ALL ".join(f"SELECT '{f}' AS feature, true AS in_bounds" for f in ranker.SKEW_RESISTANT),
+    "feature_ablation": _variants(("with slate_size", "without slate_size")),
+    "count_ablation": _variants([f"{k} {n}" for k in ("rolling", "frozen") for n in ("category", "age")]),
+    "gap_aware": _variants([f"{k} {n}" for k in ("scores", "pooled") for n in ("category", "skew resistant")]),
+    "submission_faults": f"""WITH {_SLATES}, s AS (SELECT impression_id, impression_id % 17 AS kind, count(*) AS n, CASE WHEN impression_id % 17 = 4 THEN 0 WHEN impression_id % 17 = 7 THEN 2 ELSE 1 END AS times,
+  arg_min(rk, pos) AS head FROM (SELECT impression_id, pos, row_number() OVER (PARTITION BY impression_id ORDER BY bm25 DESC, pos) AS rk FROM slate) GROUP BY 1),
+f AS (SELECT sum(times) AS lines, count(*) FILTER (WHERE times > 0 AND NOT (kind = 3 OR kind = 1 AND n > 1)) AS good, count(*) FILTER (WHERE times = 2) AS duplicate_rows,
+  count(*) FILTER (WHERE kind = 3 OR kind = 1 AND n > 1) AS bad_format, count(*) FILTER (WHERE kind = 2 AND n > 1 AND head = 1) AS bad_ranks, count(*) FILTER (WHERE kind = 5 AND n > 1) AS bad_length,
+  count(*) FILTER (WHERE kind IN (3, 4, 6) OR kind = 1 AND n > 1) AS missing, count(*) FILTER (WHERE kind = 6) AS extra FROM s)
+SELECT CAST(lines AS BIGINT) AS lines, good AS impressions, duplicate_rows, bad_format, bad_ranks, bad_length, missing, extra, (duplicate_rows + bad_format + bad_ranks + bad_length + missing + extra) = 0 AS ok FROM f""",
+    "users_remaining": f"WITH {_IMP} SELECT count(DISTINCT user_id) AS users FROM imp WHERE ts >= {_CUT}",
+    "manifest": f"""WITH {_IMP}, e AS (SELECT date_trunc('day', max(ts))::TIMESTAMP AS t, min(ts) AS lo, max(ts) AS hi FROM imp)
+SELECT 0 AS seed, lo AS data_min, t - INTERVAL 1 DAY AS val_start, t AS test_start, hi AS data_max, '{CUTOFF}' AS cutoff, (SELECT count(*) FROM imp) AS impressions,
+  (SELECT count(*) FROM imp WHERE ts < t - INTERVAL 1 DAY) AS train, (SELECT count(*) FROM imp WHERE ts >= t - INTERVAL 1 DAY AND ts < t) AS val, (SELECT count(*) FROM imp WHERE ts >= t) AS test FROM e""",
+    "latent_check": r"""WITH txt AS (SELECT article_id AS id, min({'title': title, 'abstract': abstract}) AS t FROM articles WHERE article_id IS NOT NULL GROUP BY 1),
+w AS (SELECT id, unnest(regexp_extract_all(lower(coalesce(t.title, '') || ' ' || coalesce(t.abstract, '')), '[\p{L}\p{N}_]{2,}')) AS term FROM txt),
+good AS (SELECT term FROM (SELECT DISTINCT id, term FROM w) GROUP BY 1 HAVING count(*) >= 2), m AS (SELECT least(count(*), 200000) AS m FROM good)
+SELECT id AS article_id, greatest(1, least(128, m - 1, (SELECT count(*) FROM txt) - 1)) AS components, CASE WHEN id IN (SELECT id FROM w SEMI JOIN good USING (term)) THEN 1.0::DOUBLE ELSE 0 END AS length, true AS explained_fits FROM txt, m""",
 }

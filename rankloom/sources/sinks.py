@@ -23,6 +23,19 @@ def write_json(path: str | Path, content: dict) -> None:
     Path(path).write_text(json.dumps(content, indent=2, sort_keys=True, default=str))
 
 
+def manifest(rows: DataFrame, boundaries, cutoff, seed: int, ts: str = "ts") -> dict:
+    """What a feature build was made from: seed, split boundaries, cutoff, and the numbers of impressions and of each split.
+
+    ``boundaries`` has data_min, val_start, test_start and data_max. Rows without a time are in no split.
+    """
+    at = lambda t: F.lit(str(t)).cast("timestamp_ntz")
+    t = F.col(ts)
+    val, test = at(boundaries.val_start), at(boundaries.test_start)
+    n = rows.agg(F.count("*").alias("impressions"), F.count(F.when(t < val, 1)).alias("train"), F.count(F.when((t >= val) & (t < test), 1)).alias("val"), F.count(F.when(t >= test, 1)).alias("test")).first()
+    limits = {k: str(getattr(boundaries, k)) for k in ("data_min", "val_start", "test_start", "data_max")}
+    return {"seed": seed, "boundaries": limits, "cutoff": str(cutoff), "counts": n.asDict()}
+
+
 def write_lines(lines: DataFrame, path: str, order: list[str], column: str = "line") -> None:
     """Prediction lines as text in the order of the source rows: parts of the folder, read by name, are in order."""
     lines.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select(column).write.mode("overwrite").text(path)

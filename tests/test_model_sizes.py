@@ -2,7 +2,7 @@
 
 import inspect
 
-from rankloom.operators import bootstrap, ranker
+from rankloom.operators import boosting, bootstrap, ranker
 from rankloom.plans import ranking
 
 
@@ -21,20 +21,21 @@ def spied(monkeypatch, owner, name, instead):
 
 
 def test_trees_and_repeats(spark, monkeypatch):
-    values = [f"cast((id * {i + 3}) % 7 as double) {f}" for i, f in enumerate(ranker.SKEW_RESISTANT)]
+    every = list(dict.fromkeys((*ranker.WITH_CATEGORY, *ranker.WITH_AGE)))
+    values = [f"cast((id * {i + 3}) % 7 as double) {f}" for i, f in enumerate(every)]
     few = spark.range(60).selectExpr("id div 6 impression_id", "id % 6 pos", "cast(id % 3 = 0 as int) label", *values)
-    model = ranker.fit(few, ranker.SKEW_RESISTANT, iterations=1, depth=1)
-    monkeypatch.setattr(ranking, "_fit_and_test", lambda *_: (few, few))
-    monkeypatch.setattr(ranker, "score", lambda m, rows, features: rows.withColumn("gbt", rows["bm25"]))
-    fits = spied(monkeypatch, ranker, "fit", lambda a: model)
-    shuffles = spied(monkeypatch, ranker, "permutation_importance", lambda a: few)
-    for query in (ranking.gbt_scores, ranking.importance, ranking.feature_ablation):
-        query(spark, "")
-    assert [a["iterations"] for a in fits] == [10] * 4 and [a["repeats"] for a in shuffles] == [3]
+    monkeypatch.setattr(ranking, "_fit_and_test", lambda *_, **__: (few, few))
+    fits = spied(monkeypatch, boosting, "fit", lambda a: boosting.Model(a["features"], 0.0))
+    shuffles = spied(monkeypatch, ranker, "permutation_importance", lambda a: few.selectExpr("'a' feature", "0.0 importance"))
+    for query in (ranking.gbt_scores, ranking.importance, ranking.feature_ablation, ranking.count_ablation, ranking.gap_aware):
+        query(spark, "").collect()
+    assert [a["iterations"] for a in fits] == [300] * 12 and {a["leaves"] for a in fits} == {31} and {a["rate"] for a in fits} == {0.08}
+    assert [a["repeats"] for a in shuffles] == [3]
+    assert {a["features"] for a in fits if len(a["features"]) == 10} == {ranker.WITH_CATEGORY, ranker.WITH_AGE}
 
 
 def test_replicates(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "_models", lambda *_: spark.createDataFrame([("a", 1, 0.5)], "model string, impression_id long, auc double"))
-    seen = spied(monkeypatch, bootstrap, "poisson_intervals", lambda a: a["values"])
+    monkeypatch.setattr(ranking, "_models", lambda *_: spark.createDataFrame([("a", i, i / 9) for i in range(9)], "model string, impression_id long, auc double"))
+    seen = spied(monkeypatch, bootstrap, "poisson_intervals", lambda a: a["values"].groupBy("model").agg({"value": "avg"}).selectExpr("model", "`avg(value)` mean", "0.0 lo", "1.0 hi", "9L n"))
     ranking.poisson_ci(spark, "")
     assert [a["iterations"] for a in seen] == [1000]

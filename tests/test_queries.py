@@ -7,7 +7,6 @@ import rankloom.plans.general as general
 import rankloom.plans.ranking as ranking
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"gbt_scores", "importance", "feature_ablation", "ann_ivf"}
 ALL = {**general.QUERIES, **ranking.QUERIES}
 SQL = {**general.SQL, **ranking.SQL}
 
@@ -17,7 +16,7 @@ def test_agrees_with_sql(spark, name):
     assert differences(spark, FOLDER, ALL[name], SQL[name]) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(ALL) - set(SQL)))
 def test_runs(spark, name):
     assert ALL[name](spark, FOLDER).count() > 0
 

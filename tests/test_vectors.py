@@ -102,10 +102,38 @@ def test_ranker(spark):
     rng = np.random.default_rng(0)
     a, noise = rng.random(400), rng.random(400)
     df = spark.createDataFrame([(i // 8, i % 8, float(x), float(z), int(x > 0.6)) for i, (x, z) in enumerate(zip(a, noise))], "id int, pos int, a double, noise double, label int")
-    model = ranker.fit(df, ["a", "noise"], iterations=2, depth=2)
+    model = ranker.fit(df, ["a", "noise"], iterations=20)
     scored = ranker.score(model, df, ["a", "noise"])
-    assert ranker.area(scored, "gbt") > 0.95
-    loss = {r["feature"]: r["importance"] for r in ranker.permutation_importance(model, df, ["a", "noise"], repeats=1).collect()}
+    assert ranker.area(scored, "gbt") > 0.95 and scored.columns == [*df.columns, "gbt"]
+    loss = {r["feature"]: r["importance"] for r in ranker.permutation_importance(model, df, ["a", "noise"]).collect()}
     assert loss["a"] > 0.2 > abs(loss["noise"])
     first, rest = ranker.file_order_split(df, ["id", "pos"])
     assert first.count() == 280 and rest.agg(F.min("id")).first()[0] == 35
+    both = ranker.compare_features({"a": (df, df, ["a"]), "noise": (df, df, ["noise"]), "same": (df, df, ["a"])}, ["id"], iterations=20)
+    assert {r["variant"]: r["keep"] for r in ranker.kept_features(both, "a").collect()} == {"a": True, "noise": False, "same": True}
+    again = ranker.fit(df.repartition(3), ["a", "noise"], iterations=20)
+    assert all((x.cut == y.cut).all() for x, y in zip(model.trees, again.trees))  # the order of rows does not matter
+    few = ranker.fit(df, ["a"], iterations=3, most_rows=100)
+    assert 0 < len(few.trees) <= 3
+    assert ranker.score(ranker.fit(df.limit(0), ["a"]), df, ["a"]).where("gbt < 0.001").count() == 400
+
+
+def test_trees_against_plain_splits():
+    """One tree of two leaves cuts where an exhaustive search over all cuts gains most; log-loss falls with more trees."""
+    from rankloom.operators import boosting
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 3))
+    y = ((x[:, 1] > 0.3) ^ (rng.random(150) < 0.1)).astype(float)
+    p = y.mean()
+    g, h = p - y, np.full(150, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / h[m].sum()
+    best = max((gain(x[:, j] <= c) + gain(x[:, j] > c), j, c) for j in range(3) for c in np.sort(x[:, j])[boosting.LEAST_ROWS - 1 : -boosting.LEAST_ROWS])
+    tree = boosting.fit(x, y, "abc", iterations=1, leaves=2).trees[0]
+    assert tree.feature[0] == best[1] and (x[:, best[1]] <= tree.cut[0]).sum() == (x[:, best[1]] <= best[2]).sum()
+    low = x[:, best[1]] <= best[2]
+    assert tree.predict(x)[low][0] == pytest.approx(-boosting.RATE * g[low].sum() / h[low].sum())
+    loss = [-np.mean(np.log(np.where(y > 0, q, 1 - q))) for q in (boosting.fit(x, y, "abc", iterations=i).predict(x) for i in (0, 1, 10, 60))]
+    assert loss == sorted(loss, reverse=True)
+    flat = boosting.fit(np.zeros((50, 2)), (np.arange(50) % 2).astype(float), "ab", iterations=2)
+    assert np.allclose(flat.predict(np.ones((3, 2))), 0.5)
