@@ -95,3 +95,26 @@ def test_packed_vectors_lose_nothing():
 
     x = np.concatenate([np.random.default_rng(0).normal(size=(3, 6)).astype(np.float32), np.random.default_rng(1).normal(size=(3, 6)).astype(np.float16).astype(np.float32)])
     assert (nn._unpack_vectors(pa.array(nn._pack_vectors(x), pa.binary()), 6) == x).all()
+
+
+def test_packed_records_lose_nothing():
+    rng = np.random.default_rng(2)
+    r = np.empty(50, nn.RECORD)
+    r["key"], r["id"], r["s"] = rng.integers(0, 2**32, 50), rng.integers(-(2**62), 2**62, 50), rng.integers(0, 2**63, (50, nn.WORDS))
+    got = nn._unpack_records(nn._pack_records(r))
+    assert (np.sort(got, order=["id"]) == np.sort(r, order=["id"])).all() and len(nn._unpack_records(b"")) == 0
+
+
+def test_exact(spark):
+    x = clusters(10, 4, 16, 5)
+    want = brute(list(range(40)), x, 3, 0.5)
+    assert pairs(nn.nearest_exact(table(spark, range(40), x), "a", "v", 16, 3, 0.5)) == want
+
+
+def test_ranges_are_placed_by_more_keys(spark, monkeypatch):
+    monkeypatch.setattr(nn, "RANGE_RECORDS", 10)
+    monkeypatch.setattr(nn, "SAMPLE", 200)
+    x = clusters(100, 6, 32, 6)
+    want = brute(list(range(600)), x, 5, 0.6)
+    got = pairs(nn.nearest(table(spark, range(600), x), "a", "v", 32, 5, 0.6))
+    assert len(got & want) / len(want) > 0.8
