@@ -118,10 +118,17 @@ def language_code(lang: str | None) -> str | None:
     return code if code in LANGUAGES else None
 
 
+#: The languages of every frequent word of two letters or more; single letters are initials.
+_LANGUAGES_OF = {w: [x for x in _TOLD_BY_WORDS if w in LANGUAGES[x].common] for x in _TOLD_BY_WORDS for w in LANGUAGES[x].common if len(w) > 1}
+
+
 def _told(text: str) -> list[tuple[int, str]]:
     """How many frequent words of each language a text has, the most first."""
-    words = [w.lower() for w in _PLAIN_WORD.findall(text) if len(w) > 1]  # single letters are initials
-    return sorted(((sum(w in LANGUAGES[x].common for w in words), x) for x in _TOLD_BY_WORDS), reverse=True)
+    counts = dict.fromkeys(_TOLD_BY_WORDS, 0)
+    for w in _PLAIN_WORD.findall(text.lower()):
+        for x in _LANGUAGES_OF.get(w, ()):
+            counts[x] += 1
+    return sorted(((n, x) for x, n in counts.items()), reverse=True)
 
 
 def _near(told: list[tuple[int, str]]) -> list[str]:
@@ -161,6 +168,7 @@ def _join(*langs: str) -> _Words:
 _GERMAN_AFTER_ORDINAL = frozenset(
     "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Jänner Quartal Klasse Jahrhundert Platz Stock Etage Liga Tag Runde Spieltag Mal Halbzeit Minute Stunde Woche Monat Jahr Jahrestag Geburtstag Auflage Kapitel Reihe Semester Bezirk Weltkrieg".split()
 )
+_ANY = _join(*_TOLD_BY_WORDS)
 _GERMAN_BEFORE_ORDINAL = frozenset("am im vom zum zur der die das dem den des bis ab seit beim ins".split())
 # Fixed values. Words of speech that tie the clause behind a quotation to it, in scripts without case.
 _SPEECH = re.compile(r"^(?:と|って|と)|[说說喊问問叫称稱道讲講]|(?:कहा|पूछा|बोल|बताया|कहना)|(?:กล่าว|พูด|ถาม|บอก)|(?:قال|قالت|سأل|أضاف|صرح)|(?:言った|述べた|語った|話した)")
@@ -215,7 +223,9 @@ def _abbreviated(text: str, start: int, dot: int, following: str, after: str, la
     if "/" in token and len(word) == 1:
         return False
     last = word.rsplit(".", 1)[-1]
-    lists = language.of(text, start, dot)
+    # the language is asked for only where some language has the word
+    maybe = low in _ANY.words or low in _ANY.numbers or last.lower() in _ANY.numbers or token in _ANY.names or len(last) == 1
+    lists = language.of(text, start, dot) if maybe else _ANY
     if number and (low in lists.numbers or last.lower() in lists.numbers or low in lists.words or (token in ("No", "Nos"))):
         return True
     if low in lists.words or token in lists.names:
