@@ -151,8 +151,9 @@ def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     """Every margin of the mix with its tokens in the corpus and whether the mix reaches its target.
 
-    A reachable source must have its wanted tokens within 3 % or one document, an unreachable one all it may give;
-    a language's or topic's share must lie within 0.03 of its share in the corpus.
+    A reachable source must have its wanted tokens within 3 % or 4,096 tokens, an unreachable one all it may give; a
+    language's or topic's share must lie within 0.03 or 4,096 tokens of its share in the corpus. The allowance in
+    tokens is for small corpora, where whole documents cannot come nearer.
     """
     docs = _mix_input(spark, folder)
     sizes, mixed = _mix(spark, folder)
@@ -165,7 +166,7 @@ def p9_report(spark: SparkSession, folder: str) -> DataFrame:
     used = docs.where("size > 0").withColumn("key", mixing.same_source(F.col("source"))).join(F.broadcast(keys), "key", "left_semi")
     rows = mixing.margins(used, mixed, F.col("topic"))
     total = rows.where("margin = 'lang'").agg(F.sum("n_tokens").alias("t"), F.sum("drawn").alias("d"))
-    others = rows.crossJoin(F.broadcast(total)).select("margin", "name", F.col("n_tokens").cast("long").alias("n_tokens"), (F.abs(F.col("n_tokens") / F.col("t") - F.col("drawn") / F.col("d")) <= 0.03).alias("reached"))
+    others = rows.crossJoin(F.broadcast(total)).select("margin", "name", F.col("n_tokens").cast("long").alias("n_tokens"), (F.abs(F.col("n_tokens") / F.col("t") - F.col("drawn") / F.col("d")) <= F.greatest(F.lit(0.03), F.lit(float(SEQUENCE)) / F.col("t"))).alias("reached"))
     return sources.unionByName(others)
 
 
