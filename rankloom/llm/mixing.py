@@ -2,10 +2,11 @@
 
 Documents fall into cells of source, language and topic. The cells' token sums, a table bounded by the number of
 cells, are raked by iterative proportional fitting: to each source's wanted tokens, and to the corpus's own shares of
-languages and topics, never beyond a source's repeat cap. A cell's factor is the expected number of uses of its
-documents; a document is used the whole part of it, and once more with the probability of the fraction, decided by a
-hash of its id. The probabilities are calibrated per source on a histogram of those hashes over all documents, so the
-tokens drawn meet the tokens wanted.
+languages and topics, never beyond a source's repeat cap. The fit is given what a source should have, not what it
+can: a source that cannot reach its share ends with all its cells at the cap. A cell's factor is the expected number of
+uses of its documents; a document is used the whole part of it, and once more with the probability of the fraction,
+decided by a hash of its id. The probabilities are calibrated per source on a histogram of those hashes over all
+documents, so the tokens drawn meet the tokens wanted.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from rankloom.operators.lineage import cut_lineage
 MAX_CELLS = 200_000
 #: Bins of the calibration histogram of a source.
 BINS = 2_000
+#: A cell within this part of its cap is at the cap.
+AT_CAP = 1 - 1e-12
 # Language codes of three letters, and the two-letter codes they stand for.
 LONG_CODES = {"dan": "da", "eng": "en", "deu": "de", "ger": "de", "swe": "sv", "nor": "no", "fra": "fr", "fre": "fr", "spa": "es", "jpn": "ja", "zho": "zh", "ara": "ar", "tha": "th", "hin": "hi", "rus": "ru", "ell": "el"}
 
@@ -38,31 +41,36 @@ def same_language(lang: Column) -> Column:
     return F.coalesce(known[code], F.when(code != "", code), F.lit("unknown"))
 
 
+def _goal(wanted: float) -> float:
+    """Wanted tokens as the fit takes them: none below 0, all there is for NaN, which both engines order last."""
+    return float("inf") if np.isnan(wanted) else max(float(wanted), 0.0)
+
+
 def rake(cells: pd.DataFrame, wanted: dict, most: dict, rounds: int = 60) -> np.ndarray:
     """Expected uses of every cell (source, lang, topic, tokens), fitted to the three margins.
 
-    ``wanted``: tokens per source; ``most``: cap on uses per source. The source margin is fitted last and exactly,
-    the others as far as it and the caps allow.
+    ``wanted``: tokens per source, also more than it can give; ``most``: cap on uses per source. The source margin is
+    fitted last and exactly, the others as far as it and the caps allow. All cells of a source that can give no more
+    than is wanted end at the cap itself.
     """
     tokens = cells["tokens"].to_numpy(float)
     cap = cells["source"].map(most).to_numpy(float)
     uses = np.minimum(np.ones(len(cells)), cap)
     groups = {c: pd.factorize(cells[c]) for c in ("source", "lang", "topic")}
-    goal = np.array([wanted[s] for s in groups["source"][1]], dtype=float)
-    total = goal.sum()
+    goal = np.array([_goal(wanted[s]) for s in groups["source"][1]], dtype=float)
+    total = np.minimum(goal, np.bincount(groups["source"][0], tokens * cap, len(goal))).sum()
 
     def to_sources() -> None:
         code = groups["source"][0]
-        for _ in range(30):  # what a capped cell cannot take goes to the source's other cells
-            have = np.bincount(code, tokens * uses, len(goal))
-            free = np.bincount(code, tokens * uses * (uses < cap), len(goal))
-            need = goal - (have - free)
-            factor = np.divide(need, free, out=np.ones_like(need), where=free > 0)
-            moved = np.where(uses < cap, np.minimum(uses * np.maximum(factor, 0)[code], cap), uses)
-            if np.allclose(moved, uses, rtol=1e-12, atol=0):
-                break
-            uses[:] = moved
-            if (np.abs(np.bincount(code, tokens * uses, len(goal)) - goal) <= 1e-9 * np.maximum(goal, 1)).all():
+        while True:  # what a capped cell cannot take goes to the source's other cells; every pass but the last caps one
+            free = uses < cap
+            held = np.bincount(code, tokens * uses * ~free, len(goal))
+            room = np.bincount(code, tokens * uses * free, len(goal))
+            factor = np.divide(goal - held, room, out=np.ones_like(goal), where=room > 0)
+            moved = np.where(free, uses * np.maximum(factor, 0)[code], uses)
+            full = free & (moved >= cap * AT_CAP)
+            uses[:] = np.where(full, cap, moved)
+            if not full.any():
                 break
 
     for _ in range(rounds):
@@ -83,13 +91,14 @@ def rake_table(cells: DataFrame, wanted: dict, most: dict, rounds: int = 20, ref
     """As ``rake`` for any number of cells: (source, lang, topic, tokens, uses), one grouping and join per margin.
 
     Margins of languages and topics are joined, not gathered; those of sources come from the targets, a bounded list.
-    After the rounds the source margin is fitted ``refits`` more times, so that what capped cells cannot take goes to
-    the source's other cells.
+    After the rounds the source margin is fitted ``refits`` more times, and on until no further cell comes to its cap,
+    so that what capped cells cannot take goes to the source's other cells.
     """
     spark = cells.sparkSession
-    goals = F.broadcast(spark.createDataFrame([(k, float(wanted[k]), float(most[k])) for k in wanted], "source string, goal double, cap double"))
-    total = float(sum(wanted.values()))
-    whole = float(cells.agg(F.sum("tokens")).first()[0] or 0) or 1.0
+    goals = F.broadcast(spark.createDataFrame([(k, _goal(wanted[k]), float(most[k])) for k in wanted], "source string, goal double, cap double"))
+    held = {r["source"]: float(r["t"]) for r in cells.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}  # one row per target source
+    total = sum(min(_goal(wanted[k]), t * most[k]) for k, t in held.items())
+    whole = sum(held.values()) or 1.0
     now = cells.join(goals, "source").withColumn("uses", F.least(F.lit(1.0), "cap"))
 
     def to_margin(df: DataFrame, c: str) -> DataFrame:
@@ -101,13 +110,16 @@ def rake_table(cells: DataFrame, wanted: dict, most: dict, rounds: int = 20, ref
         used, free = F.col("tokens") * F.col("uses"), F.col("uses") < F.col("cap")
         sums = df.groupBy("source").agg(F.sum(F.when(~free, used).otherwise(F.lit(0.0))).alias("held"), F.sum(F.when(free, used).otherwise(F.lit(0.0))).alias("open"))
         factor = F.when(F.col("open") > 0, F.greatest((F.col("goal") - F.col("held")) / F.col("open"), F.lit(0.0))).otherwise(F.lit(1.0))
-        moved = df.join(F.broadcast(sums), "source").withColumn("uses", F.when(free, F.least(F.col("uses") * factor, "cap")).otherwise(F.col("uses")))
-        return moved.drop("held", "open")
+        moved = df.join(F.broadcast(sums), "source").withColumn("moved", F.when(free, F.col("uses") * factor).otherwise(F.col("uses")))
+        full = free & (F.col("moved") >= F.col("cap") * AT_CAP)
+        return moved.withColumns({"uses": F.when(full, F.col("cap")).otherwise(F.col("moved")), "full": full}).drop("held", "open", "moved")
 
     for _ in range(rounds):
         now = cut_lineage(to_sources(to_margin(to_margin(now, "lang"), "topic")))
-    for _ in range(refits):
+    done = 0
+    while done < refits or not now.where("full").isEmpty():
         now = cut_lineage(to_sources(now))
+        done += 1
     return now.select("source", "lang", "topic", "tokens", "uses")
 
 
@@ -143,14 +155,25 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: Column, topic: Column,
         F.min("source").alias("source"), F.min("size").alias("size"), F.sum("wanted").alias("wanted"), F.max("max_repeats").alias("max_repeats")
     )
     plan = {r["key"]: r for r in goals.collect()}  # one row per target source
-    wanted = {k: min(r["wanted"], float(r["size"] * r["max_repeats"])) for k, r in plan.items()}
+    wanted = {k: float(r["wanted"]) for k, r in plan.items()}
     most = {k: float(max(0, r["max_repeats"])) for k, r in plan.items()}
-    rows = documents.select(
+    names = documents.sparkSession.createDataFrame([(k, r["source"]) for k, r in plan.items()], "key string, source string")
+    drawn = _draw(_sized(documents, list(plan), tokens, topic), wanted, most, seed)
+    return drawn.join(F.broadcast(names), "key").select("doc_id", "source", "n_tokens", "uses").where("uses > 0")
+
+
+def _sized(documents: DataFrame, keys: list, tokens: Column, topic: Column) -> DataFrame:
+    """(doc_id, key, lang, topic, n_tokens) of the documents with tokens whose source is one of ``keys``."""
+    return documents.select(
         "doc_id", same_source(F.col("source")).alias("key"), same_language(F.col("lang")).alias("lang"), F.coalesce(topic, F.lit("none")).alias("topic"), tokens.cast("long").alias("n_tokens")
-    ).where((F.col("n_tokens") > 0) & F.col("key").isin(list(plan)))
+    ).where((F.col("n_tokens") > 0) & F.col("key").isin(keys))
+
+
+def _draw(rows: DataFrame, wanted: dict, most: dict, seed: int) -> DataFrame:
+    """(doc_id, key, n_tokens, uses) of all ``rows``: cells of the keys fitted, their documents drawn, uses 0 included."""
     table = rows.groupBy(F.col("key").alias("source"), "lang", "topic").agg(F.sum("n_tokens").alias("tokens"))
     cells = table.limit(MAX_CELLS + 1).toPandas()
-    spark = documents.sparkSession
+    spark = rows.sparkSession
     if len(cells) > MAX_CELLS:
         factors = rake_table(table, wanted, most).select(F.col("source").alias("key"), "lang", "topic", F.col("uses").alias("expected"))
     else:
@@ -171,11 +194,33 @@ def mix(documents: DataFrame, targets: DataFrame, tokens: Column, topic: Column,
         edges = np.concatenate([[0], g["bin"].to_numpy() + 1])
         levels[key] = float(edges[int(np.abs(sums - missing).argmin())]) / (BINS / 2.0) if missing > 0 else 0.0
     cut = spark.createDataFrame(list(levels.items()), "key string, level double")
-    names = spark.createDataFrame([(k, r["source"]) for k, r in plan.items()], "key string, source string")
     uses = F.col("sure") + F.when(F.col("need") < F.col("level"), 1).otherwise(0)
-    return (
-        drawn.join(F.broadcast(cut), "key").join(F.broadcast(names), "key").select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
-    )
+    return drawn.join(F.broadcast(cut), "key").select("doc_id", "key", "n_tokens", uses.cast("int").alias("uses"))
+
+
+def reach(documents: DataFrame, targets: DataFrame, tokens: Column, topic: Column, seed: int = 0) -> DataFrame:
+    """(source, max_repeats, wanted, drawn, used_up): what fit and draw give every target, one row per target.
+
+    Targets and wanted as in ``source_sizes``, with nulls and divisions as in SQL; targets that name one source are
+    fitted side by side, each from all its documents. used_up: every document is used max_repeats times, also where
+    there is none; null without max_repeats. A target that is used up and still has less than wanted is out of reach.
+    """
+    spark = documents.sparkSession
+    goals = targets.where("source IS NOT NULL").dropDuplicates().select("source", same_source(F.col("source")).alias("key"), "target_weight", "max_repeats").collect()
+    numbers = F.broadcast(spark.createDataFrame([(str(i), r["key"]) for i, r in enumerate(goals)], "number string, key string"))
+    rows = _sized(documents, sorted({r["key"] for r in goals}), tokens, topic).join(numbers, "key").drop("key").withColumnRenamed("number", "key")
+    rows = cut_lineage(rows)  # texts are read once
+    total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
+    weight = np.float64(sum(r["target_weight"] or 0.0 for r in goals))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        wanted = {str(i): None if r["target_weight"] is None else float(total * np.float64(r["target_weight"]) / weight) for i, r in enumerate(goals)}
+    most = {str(i): float(max(0, r["max_repeats"] or 0)) for i, r in enumerate(goals)}
+    drawn = _draw(rows, {k: w or 0.0 for k, w in wanted.items()}, most, seed)
+    plan = spark.createDataFrame([(str(i), r["source"], r["max_repeats"], wanted[str(i)]) for i, r in enumerate(goals)], "key string, source string, max_repeats int, wanted double")
+    given = F.least("uses", "max_repeats")  # also where max_repeats is below 0
+    got = drawn.join(F.broadcast(plan.select("key", "max_repeats")), "key").groupBy("key").agg(F.sum(F.col("n_tokens") * given).alias("drawn"), F.min(F.col("uses") >= F.col("max_repeats")).alias("all"))
+    used_up = F.when(F.col("max_repeats").isNotNull(), F.coalesce("all", F.lit(True)))
+    return plan.join(got, "key", "left").select("source", "max_repeats", "wanted", F.coalesce("drawn", F.lit(0).cast("long")).alias("drawn"), used_up.alias("used_up"))
 
 
 def margins(documents: DataFrame, mixed: DataFrame, topic: Column) -> DataFrame:

@@ -14,6 +14,8 @@ UNKNOWN = {"pop_total": -1}
 SEQUENCE = 4096
 #: Bounds of p8_vector: documents of a sequence, and the sum of their squared sizes.
 VECTOR_DOCUMENTS, VECTOR_COST = 6, 0.3 * SEQUENCE**2
+#: Parts over which documents without an article are spread.
+NO_ARTICLE_PARTS = 10_000
 #: White characters, as a class both engines know.
 WHITE_CLASS = "[ \\t\\n\\r\\x{00A0}\\x{3000}]"
 
@@ -122,14 +124,16 @@ def _mix_input(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "article_id", packing.byte_tokens(F.col("text")).alias("size"))
     section = F.substring_index(F.lower(F.trim("category_str")), "_", 1)
     topics = table(spark, folder, "articles").where("article_id IS NOT NULL").groupBy("article_id").agg(F.min(F.when(section != "", section)).alias("topic"))
-    return docs.join(topics, "article_id", "left")
+    # part spreads the documents without an article, two in five; it is 0 for others, written so that it stays a key of the join
+    part = F.pmod(F.col("article_id"), F.lit(1)).cast("long")
+    docs = docs.withColumn("part", F.coalesce(part, F.pmod(F.xxhash64("doc_id"), F.lit(NO_ARTICLE_PARTS))))
+    return docs.join(topics.withColumn("part", part), ["article_id", "part"], "left").drop("part")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Sources that cannot reach their share."""
-    docs, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
-    sizes = mixing.source_sizes(docs, targets, packing.byte_tokens(F.col("text")))
-    return sizes.where("NOT reachable").select("source")
+    """Sources of which the mix uses every document as often as it may and still has less than their share."""
+    got = mixing.reach(_mix_input(spark, folder), table(spark, folder, "mix_targets"), F.col("size"), F.col("topic"))
+    return got.where("used_up AND drawn < wanted").select("source")
 
 
 def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
