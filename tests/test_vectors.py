@@ -137,3 +137,45 @@ def test_trees_against_plain_splits():
     assert loss == sorted(loss, reverse=True)
     flat = boosting.fit(np.zeros((50, 2)), (np.arange(50) % 2).astype(float), "ab", iterations=2)
     assert np.allclose(flat.predict(np.ones((3, 2))), 0.5)
+
+
+def never(*_, **__):
+    raise AssertionError("vectors are shipped")
+
+
+def packed(spark, x):
+    return vectors.packed_vectors(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "a int, v array<float>"), "a", "v", x.shape[1])
+
+
+def shuffled_vectors(df):
+    """Exchanges of the plan whose rows hold a vector."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "v#" in line]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_repeated_ids(spark, most, monkeypatch):
+    monkeypatch.setattr(vectors, "REPEATED", most)
+    data = [(1, [3.0, 4.0]), (2, [0.0, 2.0]), (1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [4.0, 3.0]), (3, [3.0, 4.0]), (4, [1.0, 0.0]), (None, [1.0, 1.0]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(data, "a int, v array<float>")
+    assert sorted(tuple(r) for r in vectors.packed_vectors(df, "a", "v", 2).collect()) == [(1, [3.0, 4.0]), (2, [0.0, 2.0]), (3, [3.0, 4.0]), (4, [1.0, 0.0])]
+    assert sorted(tuple(r) for r in vectors.unit_vectors(df, "a", "v", 2).collect()) == [(1, [0.6, 0.8]), (2, [0.0, 1.0]), (3, [0.6, 0.8]), (4, [1.0, 0.0])]
+
+
+def test_vectors_without_repeated_ids_are_not_shuffled(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 2.0])], "a int, v array<float>")
+    assert not shuffled_vectors(vectors.unit_vectors(df, "a", "v", 2)) and not shuffled_vectors(vectors.packed_vectors(df, "a", "v", 2))
+
+
+def test_flat_search_leaves_the_collection_where_it_lies(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD", 30)
+    x = np.random.default_rng(2).normal(size=(200, 16)).astype(np.float32)
+    u = packed(spark, x)
+    few, many = (u.where(f"id < {n}").select(F.col("id").alias("query"), "v") for n in (20, 50))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
+    found = lambda df: {(r["query"], r["place"]): r["id"] for r in df.collect()}
+    want = lambda n: {(q, p + 1): int(best[q, p]) for q in range(n) for p in range(3)}
+    assert found(vectors.flat_search(many, u, 16, 3)) == want(50)  # more queries than are broadcast
+    monkeypatch.setattr(vectors, "meet", never)
+    assert found(vectors.flat_search(few, u, 16, 3)) == want(20)
