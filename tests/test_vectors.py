@@ -179,3 +179,17 @@ def test_flat_search_leaves_the_collection_where_it_lies(spark, monkeypatch):
     assert found(vectors.flat_search(many, u, 16, 3)) == want(50)  # more queries than are broadcast
     monkeypatch.setattr(vectors, "meet", never)
     assert found(vectors.flat_search(few, u, 16, 3)) == want(20)
+
+
+def test_lists_are_searched_where_they_lie(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "HELD", 30)
+    monkeypatch.setattr(vectors, "LIST_BLOCK", 30)
+    x = np.random.default_rng(3).normal(size=(200, 16)).astype(np.float32)
+    u = packed(spark, x)
+    few, many = (u.where(f"id < {n}").select(F.col("id").alias("query"), "v") for n in (20, 50))
+    lists, centres = vectors.ivf_lists(u, nlist=8)
+    found = lambda df: {(r["query"], r["place"]): r["id"] for r in df.collect()}
+    exact, shipped = found(vectors.flat_search(few, u, 16, 3)), found(vectors.ivf_search(many, lists, centres, 3, nprobe=2))
+    monkeypatch.setattr(vectors, "meet", never)
+    assert found(vectors.ivf_search(few, lists, centres, 3, nprobe=99)) == exact
+    assert found(vectors.ivf_search(few, lists, centres, 3, nprobe=2)) == {k: v for k, v in shipped.items() if k[0] < 20}
