@@ -193,3 +193,18 @@ def test_lists_are_searched_where_they_lie(spark, monkeypatch):
     monkeypatch.setattr(vectors, "meet", never)
     assert found(vectors.ivf_search(few, lists, centres, 3, nprobe=99)) == exact
     assert found(vectors.ivf_search(few, lists, centres, 3, nprobe=2)) == {k: v for k, v in shipped.items() if k[0] < 20}
+
+
+@pytest.mark.parametrize("tau", [None, 1.0])
+def test_readers_are_pooled_where_they_lie(spark, tau, monkeypatch):
+    x = np.random.default_rng(5).normal(size=(30, 5)).astype(np.float32)
+    rng = np.random.default_rng(6)
+    h = spark.createDataFrame([(u, [int(i) for i in rng.integers(0, 35, rng.integers(0, 40))]) for u in range(40)] + [(99, None), (98, [77])], "u int, article_ids array<int>")
+    found = lambda: {r["u"]: (r["n"], *np.round(r["v"], 9)) for r in vectors.pooled(h, packed(spark, x), "u", 5, tau).collect()}
+    want = found()
+    assert 30 < len(want) <= 40
+    monkeypatch.setattr(vectors, "meet", never)
+    for rows, ids in ((7, 2_000_000), (20, 25)):  # rows and ids of a batch; single lists are longer than 25
+        monkeypatch.setattr(vectors, "HELD", rows)
+        monkeypatch.setattr(vectors, "HELD_IDS", ids)
+        assert found() == want
