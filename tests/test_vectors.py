@@ -208,3 +208,20 @@ def test_readers_are_pooled_where_they_lie(spark, tau, monkeypatch):
         monkeypatch.setattr(vectors, "HELD", rows)
         monkeypatch.setattr(vectors, "HELD_IDS", ids)
         assert found() == want
+
+
+def test_cosines_with_histories(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=(30, 5)).astype(np.float32)
+    rng = np.random.default_rng(8)
+    h = spark.createDataFrame([(u, [int(i) for i in rng.integers(0, 35, 6)]) for u in range(20)] + [(20, None), (21, [77])], "u int, article_ids array<int>")
+    slates = [(u, [int(i) for i in rng.integers(0, 35, 9)] + [None]) for u in range(24)] * 2
+    lists = spark.createDataFrame([*slates, (None, [1]), (3, None), (4, [])], "u long, candidates array<int>")
+    pairs = lists.select("u", F.explode("candidates").alias("article_id"))
+    u = units(spark, x)
+    want = {(r["u"], r["article_id"]): r["cosine"] for r in vectors.slate_cosine(pairs, vectors.pooled(h, u, "u", 5), u, "u", 5).collect()}
+    monkeypatch.setattr(vectors, "meet", never)
+    for rows, ids in ((25_000, 2_000_000), (3, 25)):
+        monkeypatch.setattr(vectors, "HELD", rows)
+        monkeypatch.setattr(vectors, "HELD_IDS", ids)
+        got = [tuple(r) for r in vectors.history_cosine(lists, h, packed(spark, x), "u", 5).collect()]
+        assert len(got) == len(want) and {r[:2]: pytest.approx(r[2], abs=1e-12) for r in got} == want
