@@ -13,8 +13,6 @@ from rankloom.operators import boosting
 from rankloom.operators.lineage import cut_lineage
 from rankloom.operators.ranking import metric_means, slate_metrics
 
-#: Most labelled rows that a model is fitted on.
-MOST_ROWS = 500_000
 #: Rows of one group of the permutation.
 GROUP_ROWS = 200_000
 # The feature lists.
@@ -42,18 +40,23 @@ def article_age(time: str = "ts", published: str = "published_time"):
     return F.coalesce(gone / F.lit(3_600_000_000.0), F.lit(-1.0))
 
 
-def fit(rows: DataFrame, features: Sequence[str], label: str = "label", iterations: int = boosting.ITERATIONS, most_rows: int = MOST_ROWS, seed: int = boosting.SEED) -> boosting.Model:
+def fit(rows: DataFrame, features: Sequence[str], label: str = "label", iterations: int = boosting.ITERATIONS, most_rows: int | None = None, seed: int = boosting.SEED) -> boosting.Model:
     """Gradient-boosted trees on the features; null and NaN features count as 0, labels above 0 as 1.
 
-    Fitted on at most about ``most_rows`` rows, a sample by a hash of the row where there are more; every row can be
-    scored. Rows are sorted first, so the same table gives the same model.
+    Fitted on all rows. They are gathered as one column after the other; ``most_rows``, where it is given, takes a
+    sample of about as many by a hash of the row instead. Rows are sorted first, so the same table gives the same model.
     """
     table = _filled(rows, features).select(*features, (F.col(label) > 0).cast("double").alias("__y"), F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)).alias("__h"))
-    n = rows.count()
-    if n > most_rows:
+    if most_rows is not None and (n := rows.count()) > most_rows:
         table = table.where(F.pmod("__h", F.lit(1 << 30)) < F.lit(int(most_rows / n * (1 << 30))))
-    got = table.toPandas().sort_values(["__h", *features, "__y"], kind="stable")
-    return boosting.fit(got[list(features)].to_numpy(float), got["__y"].to_numpy(float), features, iterations)
+    got = table.toArrow()
+    columns = {c: got[c].to_numpy() for c in ("__h", *features, "__y")}
+    del got
+    order = np.lexsort([columns[c] for c in reversed(columns)])
+    x = np.empty((len(order), len(features)), order="F")
+    for j, f in enumerate(features):
+        x[:, j] = columns.pop(f)[order]
+    return boosting.fit(x, (columns["__y"][order] > 0).astype(float), features, iterations)
 
 
 def _filled(rows: DataFrame, features: Sequence[str]) -> DataFrame:

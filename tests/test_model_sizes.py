@@ -39,3 +39,10 @@ def test_replicates(spark, monkeypatch):
     seen = spied(monkeypatch, bootstrap, "poisson_intervals", lambda a: a["values"].groupBy("model").agg({"value": "avg"}).selectExpr("model", "`avg(value)` mean", "0.0 lo", "1.0 hi", "9L n"))
     ranking.poisson_ci(spark, "")
     assert [a["iterations"] for a in seen] == [1000]
+
+
+def test_trees_are_fitted_on_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "fit", lambda x, y, features, *_, **__: (x, y))
+    n = 600_000
+    x, y = ranker.fit(spark.range(n).selectExpr("cast(id as double) a", "cast(id % 3 as double) b", "cast(id % 5 = 0 as int) label"), ["a", "b"])
+    assert x.shape == (n, 2) and y.sum() == n / 5 and (x[:, 0] % 3 == x[:, 1]).all() and ((x[:, 0] % 5 == 0) == (y > 0)).all()
