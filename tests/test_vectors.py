@@ -225,3 +225,12 @@ def test_cosines_with_histories(spark, monkeypatch):
         monkeypatch.setattr(vectors, "HELD_IDS", ids)
         got = [tuple(r) for r in vectors.history_cosine(lists, h, packed(spark, x), "u", 5).collect()]
         assert len(got) == len(want) and {r[:2]: pytest.approx(r[2], abs=1e-12) for r in got} == want
+
+
+def test_features_pool_only_the_readers_of_the_slates(spark, monkeypatch):
+    from rankloom.plans import ranking
+
+    monkeypatch.setattr(vectors, "HELD", 100)
+    monkeypatch.setattr(vectors, "meet", never)
+    got = ranking.features(spark, "/root/testdata/sf0.001", vectors_for="pooled").select("semantic").collect()
+    assert len(got) > 100 and any(r[0] != 0 for r in got) and all(abs(r[0]) <= 1 + 1e-9 for r in got)
